@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .langid import op9_langid
+from .packing import op5_packing
 from .simhash import op6_simhash
+from .spotsigs import op1_spotsigs
+from .tokens import op8_token_counts
 
 
 def queries() -> dict:
-    return {"op6_simhash": op6_simhash}
+    return {f.__name__: f for f in (op1_spotsigs, op5_packing, op6_simhash, op8_token_counts, op9_langid)}
 
 
 def oracle_sql() -> dict:
