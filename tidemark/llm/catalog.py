@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from .langid import op9_langid
 from .packing import op5_packing
+from .quality_rules import OP4_SQL, op4_quality_rules
 from .simhash import op6_simhash
 from .spotsigs import op1_spotsigs
 from .tokens import op8_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_spotsigs, op5_packing, op6_simhash, op8_token_counts, op9_langid)}
+    return {f.__name__: f for f in (op1_spotsigs, op4_quality_rules, op5_packing, op6_simhash, op8_token_counts, op9_langid)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op4_quality_rules": OP4_SQL}
