@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .langid import op9_langid
 from .packing import op5_packing
+from .pii import op3_pii
 from .quality_rules import OP4_SQL, op4_quality_rules
 from .simhash import op6_simhash
 from .spotsigs import op1_spotsigs
@@ -11,7 +12,7 @@ from .tokens import op8_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_spotsigs, op4_quality_rules, op5_packing, op6_simhash, op8_token_counts, op9_langid)}
+    return {f.__name__: f for f in (op1_spotsigs, op3_pii, op4_quality_rules, op5_packing, op6_simhash, op8_token_counts, op9_langid)}
 
 
 def oracle_sql() -> dict:
