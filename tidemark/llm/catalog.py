@@ -8,11 +8,12 @@ from .pii import op3_pii
 from .quality_rules import OP4_SQL, op4_quality_rules
 from .simhash import op6_simhash
 from .spotsigs import op1_spotsigs
+from .substrings import op10_suffix_array
 from .tokens import op8_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_spotsigs, op3_pii, op4_quality_rules, op5_packing, op6_simhash, op8_token_counts, op9_langid)}
+    return {f.__name__: f for f in (op1_spotsigs, op3_pii, op4_quality_rules, op5_packing, op6_simhash, op8_token_counts, op9_langid, op10_suffix_array)}
 
 
 def oracle_sql() -> dict:
