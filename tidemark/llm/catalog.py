@@ -5,7 +5,9 @@ from __future__ import annotations
 from .langid import op9_langid
 from .packing import op5_packing
 from .pii import op3_pii
+from .quality_bayes import op2_quality_bayes
 from .quality_rules import OP4_SQL, op4_quality_rules
+from .sentencepieces import op7_sentencepieces
 from .simhash import op6_simhash
 from .spotsigs import op1_spotsigs
 from .substrings import op10_suffix_array
@@ -13,7 +15,7 @@ from .tokens import op8_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_spotsigs, op3_pii, op4_quality_rules, op5_packing, op6_simhash, op8_token_counts, op9_langid, op10_suffix_array)}
+    return {f.__name__: f for f in (op1_spotsigs, op2_quality_bayes, op3_pii, op4_quality_rules, op5_packing, op6_simhash, op7_sentencepieces, op8_token_counts, op9_langid, op10_suffix_array)}
 
 
 def oracle_sql() -> dict:
