@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .langid import op9_langid
 from .packing import op5_packing
 from .pii import op3_pii
@@ -15,7 +17,8 @@ from .tokens import op8_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_spotsigs, op2_quality_bayes, op3_pii, op4_quality_rules, op5_packing, op6_simhash, op7_sentencepieces, op8_token_counts, op9_langid, op10_suffix_array)}
+    named = {f.__name__: f for f in (op1_spotsigs, op2_quality_bayes, op3_pii, op4_quality_rules, op5_packing, op6_simhash, op7_sentencepieces, op8_token_counts, op9_langid, op10_suffix_array)}
+    return named | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .native import let, words
 from .quality_rules import lines, n_dup_lines, n_repeat_words, n_symbols, n_words, word_chars
 
 #: At most so many labelled rows are used for fitting; those with the smallest hashes of their ids.
@@ -31,15 +32,23 @@ def _share_bin(part: Column, whole: Column) -> Column:
     return F.when(part <= 0, 0).otherwise(F.greatest(F.lit(1), F.least(F.lit(BINS - 1), F.lit(9) + F.floor(F.log2(share)).cast("int"))))
 
 
+def _doubled(w: Column) -> Column:
+    """Words equal to the one before."""
+    return F.size(F.filter(F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: a == b), lambda same: same)).cast("long")
+
+
 def properties(text: Column) -> dict[str, Column]:
     n = n_words(text)
     upper = F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).cast("long")
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", "")).cast("long")
     return {
         "symbols": _share_bin(n_symbols(text), n),
-        "dup_lines": _share_bin(n_dup_lines(text), F.size(lines(text))),
+        "dup_lines": F.when(n_dup_lines(text) * 2 > F.size(lines(text)), 2).when(n_dup_lines(text) * 4 > F.size(lines(text)), 1).otherwise(0),
         "repeats": _share_bin(n_repeat_words(text), n),
-        "upper": _share_bin(upper, F.length(text)),
-        "word_length": F.least(F.lit(BINS - 1), (word_chars(text) / F.greatest(n, F.lit(1))).cast("int")),
+        "doubled": let(words(text), lambda w: _share_bin(_doubled(w), F.size(w))),
+        "upper": F.when(2 * upper > letters, 1).otherwise(0),
+        "letters": F.when(2 * letters < word_chars(text), 1).otherwise(0),
+        "word_length": F.when(word_chars(text) < 2 * n, 1).when(word_chars(text) > 20 * n, 2).otherwise(0),
     }
 
 
