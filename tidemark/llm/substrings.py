@@ -8,7 +8,7 @@ whole copies. So the text is cut down first, without losing a match:
    windows have equal anchors. Around an anchor lies its context: all bytes of the windows that can have it.
 2. Anchors meet by hash. Where the whole contexts are equal too, all windows of the later documents are covered. An anchor
    with different contexts in different documents stays open, for the first document of each context only.
-3. The contexts of open anchors, grouped by anchor, are the text that is suffix-sorted, by the difference-cover algorithm:
+3. The contexts of open anchors that agree with another document's on more than the anchor, grouped by anchor, are suffix-sorted, by the difference-cover algorithm:
    sampled triples, recursion on names, merging of the rest. Neighbours with equal LENGTH-byte prefixes are the same
    string; the smallest document keeps it.
 4. What is covered goes back to the documents.
@@ -330,7 +330,7 @@ def _send_contexts(n: int):
                 for p, i in _split((h % np.uint64(n)).astype(np.int64), n):
                     long = right[i] - left[i]
                     source = np.repeat(begin[place[i]] + left[i] - np.cumsum(long) + long, long) + np.arange(long.sum())
-                    rows.append((p, CONTEXT, b"".join(len(c).to_bytes(4, "little") + c for c in (pack_columns(h[i], doc[i], tag[i], left[i].astype("<u4"), long.astype("<u1")), zstandard.ZstdCompressor(level=1).compress(data[source].tobytes())))))
+                    rows.append((p, CONTEXT, b"".join(len(c).to_bytes(4, "little") + c for c in (pack_columns(h[i], doc[i], tag[i], left[i].astype("<u4"), (pos[i] - left[i]).astype("<u1"), long.astype("<u1")), zstandard.ZstdCompressor(level=1).compress(data[source].tobytes())))))
             else:
                 count = right - left - LENGTH + 1
                 own = np.repeat(np.arange(len(h)), count)
@@ -373,6 +373,26 @@ def repeated_windows(contexts: list[bytes], doc: np.ndarray) -> list[tuple[int,
     return list(zip(own[hit].tolist(), (hit - (ends - size)[own[hit]]).tolist(), strict=True))
 
 
+def _may_match(data: np.ndarray, doc: np.ndarray, begin: np.ndarray, at: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """Which contexts share half a window's rest with a context of another document.
+
+    A window has LENGTH - GRAM bytes beside its anchor, so at least half of them on one side: equal windows agree in the anchor
+    with as many bytes before it, or in the anchor with as many after it.
+    """
+    half = (LENGTH - GRAM + 1) // 2
+    rolling, out = Rolling(data), np.zeros(len(doc), bool)
+    for there, start, end in ((at >= half, begin + at - half, begin + at + GRAM), (long - at - GRAM >= half, begin + at, begin + at + GRAM + half)):
+        i = np.flatnonzero(there)
+        key = rolling(start[i], end[i])
+        order = np.lexsort((doc[i], key))
+        if len(order):
+            g = _groups(key[order])
+            starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            d = doc[i][order]
+            out[i[order[(np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts))[g]]]] = True
+    return out
+
+
 def _sort_contexts(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _by_kind(batches)
@@ -382,9 +402,11 @@ def _sort_contexts(n: int):
             size = int.from_bytes(b[:4], "little")
             head.append(b[4 : 4 + size])
             body.append(zstandard.ZstdDecompressor().decompress(b[8 + size :]))
-        h, doc, tag, left, long = joined(head, "<u8", "<i8", "<u4", "<u4", "<u1")
+        h, doc, tag, left, at, long = joined(head, "<u8", "<i8", "<u4", "<u4", "<u1", "<u1")
         data, long = b"".join(body), long.astype(np.int64)
         begin = np.cumsum(long) - long
+        live = _may_match(np.frombuffer(data, np.uint8), doc, begin, at.astype(np.int64), long)
+        h, doc, tag, left, long, begin = (c[live] for c in (h, doc, tag, left, long, begin))
         order = np.lexsort((begin, h))
         group = _groups(h[order]) if len(h) else h
         cuts = np.flatnonzero(np.diff(group, prepend=-1)) if len(h) else np.zeros(0, np.int64)
