@@ -42,7 +42,7 @@ GRAM = 20
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text worked on at once, and of contexts sorted at once.
 STEP = 2 << 20
-SORT = 1 << 20
+SORT = 1 << 19
 #: Different contexts of one anchor above which its windows are dealt out one by one.
 HOT = 20_000
 
@@ -173,7 +173,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list
 
 
 #: Anchors that a task compares with each other before it sends them.
-HELD = 1 << 21
+HELD = 1 << 20
 
 
 def _send_anchors(n: int):
@@ -282,7 +282,7 @@ def _send_texts(n: int):
             ids.append(more)
             blobs += found
             size += sum(map(len, found))
-            if size >= 16 * STEP:
+            if size >= 8 * STEP:
                 yield flush()
                 size = 0
         if blobs:
