@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import simplex as S
 from ..operators import audit, duration, ensemble, governance, network, pit, portfolio, quality, scoring, simulation, targets, technical
+from ..operators.models import latent, neural
 from ..sources import market, snapshots
 from ..sources.durable import written
+from ..streaming import online
 from .oracle import BARS, BASE, EVAL, PANEL, SCORED, with_
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -672,3 +674,103 @@ def interaction_log(spark, sf_dir):
     rows = market.table(spark, sf_dir, "conversations")
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n")
     return rows.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.sum(F.length("text")).alias("chars"), F.substring(F.sha2(text.cast("binary"), 256), 1, 16).alias("response_hash"))
+
+
+# --- models ----------------------------------------------------------------------------------------------------------
+
+INPUTS = ["nifty_ret_1d", "nifty_vol_realized_21d", "nifty_dist_sma50", "vix_level", "breadth_midcap_ret_21d"]
+
+
+@query()
+def hmm_filter(spark, sf_dir):
+    return _five(latent.posterior(_features(spark, sf_dir), INPUTS, "hmm"), ["date"])
+
+
+@query()
+def rsvar_filter(spark, sf_dir):
+    return _five(latent.posterior(_features(spark, sf_dir), INPUTS[:3], "rsvar"), ["date"])
+
+
+@query()
+def mixture_posterior(spark, sf_dir):
+    return _five(latent.posterior(_features(spark, sf_dir), INPUTS[:1], "mixture"), ["date"])
+
+
+@query()
+def model_diagnostics(spark, sf_dir):
+    return latent.diagnostics(_features(spark, sf_dir), INPUTS[:3], rounds=15).drop("panel")
+
+
+def _draws(f):
+    return written(latent.gibbs_draws(f, INPUTS[:2], rounds=60, burn=20), "draws")
+
+
+@query()
+def gibbs_convergence(spark, sf_dir):
+    return latent.convergence(_draws(_features(spark, sf_dir))).drop("panel")
+
+
+@query()
+def gibbs_posterior(spark, sf_dir):
+    f = _features(spark, sf_dir, often=True)
+    out = latent.gibbs_posterior(f, INPUTS[:2], _draws(f), most=20)
+    return _five(out, ["date", "total_entropy", "aleatoric", "epistemic"])
+
+
+def _network(spark, sf_dir, kind, members):
+    f = _features(spark, sf_dir, often=True)
+    out = neural.network_posterior(f.join(targets.soft_targets(f), ["panel", "date"]), INPUTS, kind, members=members)
+    return _five(out, ["date", "total_entropy", "aleatoric", "epistemic"])
+
+
+@query()
+def deep_ensemble(spark, sf_dir):
+    return _network(spark, sf_dir, "deep", 5)
+
+
+@query()
+def dropout_network(spark, sf_dir):
+    return _network(spark, sf_dir, "dropout", 2)
+
+
+@query()
+def variational_network(spark, sf_dir):
+    return _network(spark, sf_dir, "variational", 1)
+
+
+def _embedded(spark, sf_dir, **how):
+    f = _features(spark, sf_dir, often=True)
+    return written(neural.embeddings(f, "nifty_ret_1d", **how), "embedded"), targets.bucket_targets(f)
+
+
+@query()
+def context_probe(spark, sf_dir):
+    return _five(neural.probe(*_embedded(spark, sf_dir)), ["date", "y", "predicted"])
+
+
+@query()
+def patch_probe(spark, sf_dir):
+    return _five(neural.probe(*_embedded(spark, sf_dir, patch=16, dims=32)), ["date", "y", "predicted"])
+
+
+@query()
+def embedding_separation(spark, sf_dir):
+    return neural.separation(*_embedded(spark, sf_dir))
+
+
+@query()
+def information_criteria(spark, sf_dir):
+    ll = written(latent.mixture_log_likelihood(_features(spark, sf_dir), "nifty_ret_1d"), "ll")
+    return scoring.waic(ll).join(latent.psis_loo(ll), ["panel", "model"]).drop("panel")
+
+
+@query()
+def changepoint_segments(spark, sf_dir):
+    return latent.changepoints(_features(spark, sf_dir), "nifty_ret_1d").drop("panel")
+
+
+@query()
+def online_scores(spark, sf_dir):
+    bars = market.hourly_bars(market.table(spark, sf_dir, "events"))
+    rows = bars.select(F.col("symbol").alias("series"), F.col("hour").alias("at"), F.log(F.col("close") / F.col("open")).alias("x"))
+    return online.score_batch(rows, particles=200).withColumn("at", F.date_format("at", "yyyy-MM-dd HH"))
