@@ -2,7 +2,7 @@
 
 Suffixes that begin at positions 1 and 2 modulo 3 are sorted by their first three letters and named; if names repeat, the
 string of names is sorted recursively. The remaining suffixes follow from one letter and the rank of the next suffix, and
-are merged with the others by binary search with the usual comparison of one or two letters and a rank.
+are merged with the sorted suffixes of either residue by one letter and a rank, or two letters and a rank.
 """
 
 from __future__ import annotations
@@ -21,6 +21,21 @@ def _order(*keys: np.ndarray) -> np.ndarray:
     return np.lexsort(keys[::-1])
 
 
+def _before(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> np.ndarray:
+    """For each row of the sorted keys a the number of rows of the sorted keys b that come before it."""
+    width = [int(max(x.max(initial=0), y.max(initial=0))).bit_length() for x, y in zip(a, b, strict=True)]
+    if sum(width) <= 63:
+        x, y = a[0].astype(np.int64), b[0].astype(np.int64)
+        for p, q, w in zip(a[1:], b[1:], width[1:], strict=True):
+            x, y = (x << w) | p, (y << w) | q
+        return np.searchsorted(y, x)
+    order = np.lexsort([np.concatenate([p, q]) for p, q in zip(a, b, strict=True)][::-1])
+    own = order < len(a[0])
+    out = np.empty(len(a[0]), np.int64)
+    out[order[own]] = np.cumsum(~own)[own]
+    return out
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """The starts of all suffixes of an array of non-negative integers in lexicographic order; a prefix comes first."""
     n = len(text)
@@ -44,20 +59,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     ranked = ranked[ranked < n]
     zeros = np.arange(0, n, 3)
     rest = zeros[_order(t[zeros], rank[zeros + 1])]
-    low, high = np.zeros(len(rest), np.int64), np.full(len(rest), len(ranked), np.int64)
-    while True:  # how many sampled suffixes come before each of the rest
-        going = np.flatnonzero(low < high)
-        if not len(going):
-            break
-        mid = (low[going] + high[going]) >> 1
-        i, j = rest[going], ranked[mid]
-        one = j % 3 == 1
-        p, q = t[i], t[j]
-        p2, q2 = np.where(one, rank[i + 1], t[i + 1]), np.where(one, rank[j + 1], t[j + 1])
-        p3, q3 = np.where(one, 0, rank[i + 2]), np.where(one, 0, rank[j + 2])
-        less = (q < p) | ((q == p) & ((q2 < p2) | ((q2 == p2) & (q3 < p3))))
-        low[going[less]] = mid[less] + 1
-        high[going[~less]] = mid[~less]
+    one, two = ranked[ranked % 3 == 1], ranked[ranked % 3 == 2]
+    low = _before((t[rest], rank[rest + 1]), (t[one], rank[one + 1])) + _before((t[rest], t[rest + 1], rank[rest + 2]), (t[two], t[two + 1], rank[two + 2]))
     out = np.empty(n, np.int64)
     at = low + np.arange(len(rest))
     out[at] = rest
