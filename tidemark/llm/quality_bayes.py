@@ -61,7 +61,8 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """(log-likelihood ratios by property and bin, share of good rows) from labelled documents; null labels are left out."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)")
     known = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(most)
-    rows, names = _binned(docs.join(F.broadcast(known), F.col(id_col) == F.col("_id")), text_col, [F.col("_y")])
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_words"))
+    rows, names = _binned(texts.join(F.broadcast(known), F.col("_doc") == F.col("_id")), "_words", [F.col("_y")])
     cells = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"_{n}").alias("bin")) for n in names))).alias("cell")
     counts = {(r[0], r[1], r[2]): r[3] for r in rows.select("_y", cells).groupBy("cell.name", "cell.bin", "_y").count().collect()}
     total = {y: sum(c for (n, _, k), c in counts.items() if k == y and n == names[0]) for y in (0, 1)}
