@@ -19,7 +19,7 @@ from .native import let, words
 from .quality_rules import lines, n_dup_lines, n_repeat_words, n_symbols, n_words, word_chars
 
 #: At most so many labelled rows are used for fitting; those with the smallest hashes of their ids.
-LABELLED = 200_000
+LABELLED = 20_000
 SMOOTHING = 1.0
 #: Bounds of the priors' strengths, in documents.
 STRENGTH = (1.0, 10_000.0)
