@@ -82,10 +82,9 @@ def length_histogram(lengths: DataFrame, col: str = "n_tokens", width: int = 102
 
 def at_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
     """(limit_tokens, total_tokens, kept_tokens, docs_over) for any context limits, from the histogram's rows alone."""
-    spark = histogram.sparkSession
-    wanted = F.broadcast(spark.createDataFrame([(int(x),) for x in limits], "wanted long"))
+    wanted = F.explode(F.array(*(F.lit(int(x)).cast("long") for x in limits))).alias("wanted")
     cut = F.least("limit_tokens", "wanted") * F.col("n_docs")
-    grouped = histogram.join(wanted, how="cross").groupBy("wanted").agg(F.sum(F.col("limit_tokens") * F.col("n_docs")).alias("total_tokens"), F.sum(cut).alias("kept_tokens"), F.sum(F.when(F.col("limit_tokens") > F.col("wanted"), F.col("n_docs")).otherwise(0)).alias("docs_over"))
+    grouped = histogram.select("limit_tokens", "n_docs", wanted).groupBy("wanted").agg(F.sum(F.col("limit_tokens") * F.col("n_docs")).alias("total_tokens"), F.sum(cut).alias("kept_tokens"), F.sum(F.when(F.col("limit_tokens") > F.col("wanted"), F.col("n_docs")).otherwise(0)).alias("docs_over"))
     return grouped.withColumnRenamed("wanted", "limit_tokens")
 
 
