@@ -126,8 +126,8 @@ PROBES = "probes AS (SELECT symbol, CAST(d AS DATE) AS as_of FROM (SELECT DISTIN
 
 
 def _probes(spark, bars):
-    dates = spark.sql("SELECT explode(sequence(DATE '1994-12-15', DATE '2001-12-15', INTERVAL 37 DAY)) AS as_of")
-    return bars.select("symbol").distinct().crossJoin(F.broadcast(dates))
+    dates = F.explode(F.expr("sequence(DATE '1994-12-15', DATE '2001-12-15', INTERVAL 37 DAY)"))
+    return bars.select("symbol").distinct().select("symbol", dates.alias("as_of"))
 
 
 @query(with_(BARS, PROBES) + "SELECT p.symbol, strftime(as_of, '%Y-%m-%d') AS as_of, strftime(b.date, '%Y-%m-%d') AS date, round(b.close, 6) AS close FROM probes p ASOF LEFT JOIN bars b ON p.symbol = b.symbol AND p.as_of >= b.date")
