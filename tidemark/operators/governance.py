@@ -122,9 +122,9 @@ def _off(claims: Column, value, k: int, name: str, tolerance_pp: float) -> Colum
 
 def evidence_bundle(state: DataFrame, features: DataFrame, changepoints: DataFrame) -> DataFrame:
     """(panel, as_of, bundle, bundle_hash): everything known of a date as JSON, each part with its status."""
-    f = features.select("panel", F.col("date").alias("_fd"), F.struct(*(c for c in features.columns if c not in ("panel", "date"))).alias("_f"))
-    c = changepoints.select("panel", F.col("date").alias("_cd"), F.col("changepoint").alias("_c"))
-    rows = state.join(f, (state.panel == f.panel) & (F.col("date") == F.col("_fd")), "left").drop(f.panel).join(c, (state.panel == c.panel) & (F.col("date") == F.col("_cd")), "left").drop(c.panel)
+    f = features.select(F.col("panel").alias("_fp"), F.col("date").alias("_fd"), F.struct(*(c for c in features.columns if c not in ("panel", "date"))).alias("_f"))
+    c = changepoints.select(F.col("panel").alias("_cp"), F.col("date").alias("_cd"), F.col("changepoint").alias("_c"))
+    rows = state.join(f, (F.col("panel") == F.col("_fp")) & (F.col("date") == F.col("_fd")), "left").join(c, (F.col("panel") == F.col("_cp")) & (F.col("date") == F.col("_cd")), "left")
     status = lambda x: F.when(x.isNull(), "UNAVAILABLE").otherwise("VERIFIED")
     bundle = F.to_json(F.struct(
         F.struct("regime", "probability", "entropy", "set_size", "status").alias("regime_state"), F.struct(F.col("_f").alias("values"), status(F.col("_f")).alias("status")).alias("feature_snapshot"),

@@ -24,6 +24,8 @@ def query(sql: str | None = None):
 
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # Unions of children that adaptive execution coalesces differently may otherwise be taken as dealt alike by key.
+            spark.conf.set("spark.sql.unionOutputPartitioning", "false")
             df = fn(spark, sf_dir)
             kinds = dict(df.dtypes)
             return df.select(*(F.round(c, 6).alias(c) if kinds[c] == "double" else F.date_format(c, "yyyy-MM-dd").alias(c) if kinds[c] == "date" else F.col(c).cast("long").alias(c) if kinds[c] in ("int", "bigint") else F.col(c) for c in df.columns))
@@ -774,3 +776,43 @@ def online_scores(spark, sf_dir):
     bars = market.hourly_bars(market.table(spark, sf_dir, "events"))
     rows = bars.select(F.col("symbol").alias("series"), F.col("hour").alias("at"), F.log(F.col("close") / F.col("open")).alias("x"))
     return online.score_batch(rows, particles=200).withColumn("at", F.date_format("at", "yyyy-MM-dd HH"))
+
+
+# --- text forms ------------------------------------------------------------------------------------------------------
+
+
+def _changes(f: DataFrame) -> DataFrame:
+    rows = f.filter("nifty_ret_1d is not null").select(F.col("panel").alias("series"), F.col("date").alias("at"), (0.02 * F.col("nifty_ret_1d")).alias("x"))
+    return online.score_batch(rows, particles=100).select(F.col("series").alias("panel"), F.to_date("at").alias("date"), F.col("cp_short").alias("changepoint"))
+
+
+@query()
+def evidence_bundles(spark, sf_dir):
+    """What is known at each probe date, as JSON with a hash."""
+    f = _features(spark, sf_dir, often=True)
+    state = governance.regime_state(_models(f).filter("model = 'soft'"), _asked(spark))
+    return governance.evidence_bundle(state, f.select("panel", "date", *LINEAR), _changes(f)).drop("panel")
+
+
+@query()
+def narratives(spark, sf_dir):
+    """A paragraph for each day from attributions, model votes and changepoints."""
+    f = _features(spark, sf_dir, often=True)
+    models = _models(f)
+    shares = governance.ablation(f.na.drop(subset=list(LINEAR)), lambda x: sum((x[c] * w for c, w in LINEAR.items()), F.lit(0.0)), list(LINEAR), dict.fromkeys(LINEAR, 0.0))
+    shares = shares.groupBy("panel", "date").agg(*(F.max(F.when(F.col("feature") == c, F.col("attribution"))).alias(f"a_{c}") for c in LINEAR))
+    votes = models.groupBy("panel", "date").agg(F.map_from_entries(F.collect_list(F.struct("model", S.label(S.argmax(F.col("p"))).alias("r")))).alias("votes"))
+    soft = models.filter("model = 'soft'").select("panel", "date", S.label(S.argmax(F.col("p"))).alias("regime"), F.array_max("p").alias("probability"))
+    rows = soft.join(f, ["panel", "date"]).join(shares, ["panel", "date"]).join(votes, ["panel", "date"]).join(_changes(f), ["panel", "date"], "left")
+    agree = F.sort_array(F.map_keys(F.map_filter("votes", lambda k, v: v == F.col("regime"))))
+    differ = F.sort_array(F.map_keys(F.map_filter("votes", lambda k, v: v != F.col("regime"))))
+    features = {c: F.col(c) for c in LINEAR} | {"nifty_vol_ewma_21d": F.col("nifty_vol_realized_21d")}
+    attributions = {c: F.col(f"a_{c}") for c in LINEAR} | {"nifty_vol_ewma_21d": F.lit(0.0)}
+    text = governance.narrative(F.col("regime"), F.col("probability"), features, attributions, agree, differ, F.coalesce("changepoint", F.lit(0.0)))
+    return rows.select("date", "regime", text.alias("narrative"))
+
+
+@query(with_(MC, recursive=True) + "SELECT round(1e6 * avg(r), 3) AS expected_return_amount, round(1e6 * any_value(a), 3) AS var_95_amount, round(1e6 * avg(r) FILTER (r <= a), 3) AS cvar_95_amount, round(1e6 * any_value(b), 3) AS var_99_amount, round(1e6 * avg(r) FILTER (r <= b), 3) AS cvar_99_amount FROM tot, vq")
+def position_at_risk(spark, sf_dir):
+    amounts = portfolio.position_risk(1e6, simulation.tail_risk(simulation.simulate(spark, START, paths=1000)))
+    return amounts.select(*(F.round(c, 3).alias(c) for c in amounts.columns))
