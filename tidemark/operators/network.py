@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .technical import W, log_return
+from .technical import W, correlation, log_return
 
 NODES = ["bank", "it", "midcap", "broad", "bench"]
 WIDTH = 60
@@ -32,7 +32,7 @@ def adjacency(panel: DataFrame, nodes: list[str] = NODES) -> DataFrame:
     """Edges (panel, date, i, j, weight): positive part of the correlation of two nodes in the window before each date."""
     r = returns(panel, nodes)
     full = F.count("*").over(BEFORE()) == WIDTH
-    pairs = [F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.greatest(F.lit(0.0), F.coalesce(F.nanvl(F.corr(a, b).over(BEFORE()), F.lit(0.0)), F.lit(0.0))).alias("weight")) for a, b in combinations(nodes, 2)]
+    pairs = [F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.greatest(F.lit(0.0), F.coalesce(correlation(a, b, BEFORE()), F.lit(0.0))).alias("weight")) for a, b in combinations(nodes, 2)]
     rows = r.select("panel", "date", full.alias("_full"), F.array(*pairs).alias("_e")).filter("_full")
     return rows.select("panel", "date", F.explode("_e").alias("e")).select("panel", "date", "e.*")
 

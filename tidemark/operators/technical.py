@@ -35,6 +35,13 @@ def rolling(fn, c: str | Column, n: int, frame_end: int = 0) -> Column:
     return F.when(F.count(c).over(w) == n, fn(c).over(w))
 
 
+def correlation(a: str, b: str, w) -> Column:
+    """Correlation over a window; null where a side doesn't vary (F.corr divides by zero there in ANSI mode)."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    spread = F.stddev_pop(F.when(both, F.col(a))).over(w) * F.stddev_pop(F.when(both, F.col(b))).over(w)
+    return F.when(spread > 0, F.covar_pop(a, b).over(w) / F.nullif(spread, F.lit(0.0)))
+
+
 def window_features(panel: DataFrame) -> DataFrame:
     """(panel, date, ...) with all features that fixed frames express."""
     p = panel.withColumn("nifty_ret_1d", log_return("bench", 1))
@@ -106,7 +113,7 @@ def rolling_correlation(panel: DataFrame, a: str, b: str, n: int = 63) -> DataFr
     r = panel.select("panel", "date", log_return(a, 1).alias("a"), log_return(b, 1).alias("b"))
     w = W().rowsBetween(1 - n, 0)
     both = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)
-    return r.select("panel", "date", F.when(F.count(both).over(w) == n, F.corr("a", "b").over(w)).alias("corr"))
+    return r.select("panel", "date", F.when(F.count(both).over(w) == n, correlation("a", "b", w)).alias("corr"))
 
 
 def rebased(panel: DataFrame, columns: list[str]) -> DataFrame:
