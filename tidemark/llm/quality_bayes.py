@@ -37,24 +37,34 @@ def _doubled(w: Column) -> Column:
     return F.size(F.filter(F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: a == b), lambda same: same)).cast("long")
 
 
-def properties(text: Column) -> dict[str, Column]:
-    n = n_words(text)
-    upper = F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).cast("long")
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", "")).cast("long")
+def _counts(text: Column) -> dict[str, Column]:
+    """What the properties are made of, each computed once as a column of its own."""
     return {
-        "symbols": _share_bin(n_symbols(text), n),
-        "dup_lines": F.when(n_dup_lines(text) * 2 > F.size(lines(text)), 2).when(n_dup_lines(text) * 4 > F.size(lines(text)), 1).otherwise(0),
-        "repeats": _share_bin(n_repeat_words(text), n),
-        "doubled": let(words(text), lambda w: _share_bin(_doubled(w), F.size(w))),
-        "upper": F.when(2 * upper > letters, 1).otherwise(0),
-        "letters": F.when(2 * letters < word_chars(text), 1).otherwise(0),
-        "word_length": F.when(word_chars(text) < 2 * n, 1).when(word_chars(text) > 20 * n, 2).otherwise(0),
+        "_n": n_words(text), "_chars": word_chars(text), "_sym": n_symbols(text), "_dup": n_dup_lines(text), "_lines": F.size(lines(text)), "_rep": n_repeat_words(text), "_dbl": let(words(text), _doubled),
+        "_up": F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")), "_let": F.length(F.regexp_replace(text, r"[^\p{L}]+", "")),
+    }
+
+
+def properties() -> dict[str, Column]:
+    """Bins over the columns of _counts()."""
+    n, chars, letters = F.col("_n"), F.col("_chars"), F.col("_let")
+    return {
+        "symbols": _share_bin(F.col("_sym"), n),
+        "dup_lines": F.when(F.col("_dup") * 2 > F.col("_lines"), 2).when(F.col("_dup") * 4 > F.col("_lines"), 1).otherwise(0),
+        "repeats": _share_bin(F.col("_rep"), n),
+        "doubled": _share_bin(F.col("_dbl"), n),
+        "upper": F.when(2 * F.col("_up") > letters, 1).otherwise(0),
+        "letters": F.when(2 * letters < chars, 1).otherwise(0),
+        "word_length": F.when(chars < 2 * n, 1).when(chars > 20 * n, 2).otherwise(0),
     }
 
 
 def _binned(docs: DataFrame, text_col: str, keep: list[Column]) -> tuple[DataFrame, list[str]]:
-    bins = properties(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.select(*keep, *(c.cast("int").alias(f"_{name}") for name, c in bins.items())), list(bins)
+    """The columns `keep` and one column for each property, under its name and an underscore."""
+    counted = docs.select(*(c.alias(f"_k{i}") for i, c in enumerate(keep)), *(c.alias(name) for name, c in _counts(F.coalesce(F.col(text_col), F.lit(""))).items()))
+    names = docs.select(*keep).columns
+    bins = properties()
+    return counted.select(*(F.col(f"_k{i}").alias(n) for i, n in enumerate(names)), *(c.cast("int").alias(f"_{name}") for name, c in bins.items())), list(bins)
 
 
 def fit_evidence(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = LABELLED) -> tuple[dict[str, list[float]], float]:
