@@ -180,6 +180,20 @@ def test_governance_and_validator(spark):
     assert got == {1: True, 2: False, 3: False, 4: False, 5: False, 6: False, 7: True}
 
 
+def test_scenarios_run_paths_from_stressed_probabilities(spark):
+    data = [(1, {"usdinr_ret_21d": 0.03}), (2, {"vix_level": 30.0}), (3, {"nifty_ret_1d": -0.03}), (4, {"usdinr_ret_21d": 0.01})]
+    vectors = spark.createDataFrame(data, "id long, shocks map<string,double>")
+    start = [0.3, 0.25, 0.2, 0.1, 0.15]
+    got = {r.id: r for r in simulation.simulate_scenarios(vectors, start).collect()}
+    assert sorted(got) == [1, 2, 3, 4] and len({got[i].var_95 for i in (1, 2, 3)}) == 3 and got[1].var_95 == got[4].var_95
+    for i in (1, 2):
+        r = simulation.tail_risk(simulation.simulate(spark, [got[i][f"p{k}"] for k in range(5)], paths=5000)).first()
+        assert (got[i].var_95, got[i].cvar_95, got[i].expected_return) == pytest.approx((r.var_95, r.cvar_95, r.expected_return), abs=1e-12)
+    assert got[2].var_95 < got[1].var_95 and got[2].expected_return < got[1].expected_return
+    fixed = {r.id: r for r in simulation.simulate_scenarios(vectors, start, parametric=True).collect()}
+    assert fixed[2].var_95 == pytest.approx(-1.645 * 0.15 * (21 / 252) ** 0.5) and fixed[3].expected_return == pytest.approx(-0.63)
+
+
 def test_simulation_is_partition_independent(spark):
     a = simulation.simulate(spark, [0.2] * 5, days=5, paths=50).orderBy("path", "day").collect()
     b = simulation.simulate(spark, [0.2] * 5, days=5, paths=50).repartition(3).orderBy("path", "day").collect()
