@@ -141,6 +141,15 @@ def test_pii(spark, docs, odd, empty):
     assert clean.filter("doc_id = 1").first().text is None
 
 
+def test_iban_before_capitals_and_digits(spark):
+    a, b, c = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO9386011117947"
+    cases = [(f"{a} Please pay", [a]), (f"{b} The account", [b]), (f"{b} AND more", [b]), (f"{a} 2024", [a]), (f"{b} 2024", [b]), (f"AB12 {b} X", [b]), (f"to {c} BE68539007547034 {a} GB29 NWBK 6016 1331 9268 19 A", [c, "BE68539007547034", a, "GB29 NWBK 6016 1331 9268 19"]), (f"{a}x", []), (f"{b}A", []), (f"x{a} A", []), ("DE89 3704 0044 0532 0130 01 A", []), (f"{b}.", [b]), (a, [a])]
+    got = pii.find(spark.createDataFrame(list(enumerate(t for t, _ in cases)), "doc_id long, text string"), ["doc_id", "text"]).select("doc_id", "text", "spans").collect()
+    for r in got:
+        assert [r.text[s.start : s.end] for s in r.spans if s.kind == "iban"] == cases[r.doc_id][1], r.text
+    assert pii.redact(spark.createDataFrame([(1, f"pay {b} The end")], "doc_id long, text string")).first().text == "pay <IBAN> The end"
+
+
 # --- 4
 
 

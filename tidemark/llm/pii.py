@@ -41,6 +41,32 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(F.filter(F.split(moved, ""), lambda c: c != ""), F.lit(0), step) == 1
 
 
+#: Lengths of account numbers by country (fixed values).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN = r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"
+
+
+def iban_end(candidate: Column) -> Column:
+    """Length of the account number that a candidate begins with, null if none.
+
+    Numbers end where a block does. One of its country's length is preferred, then the longest.
+    """
+    own = F.concat(*(F.when(F.substring(candidate, 1, 2).isin(c.split()), F.lit(str(n))).otherwise(F.lit("")) for n, c in IBAN_LENGTHS.items()))
+
+    def prefix(blocks: Column, k: Column) -> Column:
+        plain = F.array_join(F.slice(blocks, F.lit(1), k), "")
+        return F.struct((F.length(plain).cast("string") == own).alias("fits"), (F.length(plain) + k - 1).alias("end"), plain.alias("plain"))
+
+    def best(blocks: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(blocks)), lambda k: prefix(blocks, k))
+        return F.array_max(F.filter(every, lambda x: x["plain"].rlike(_IBAN) & mod97(x["plain"])))["end"]
+
+    return let(F.split(candidate, " "), best)
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
@@ -52,6 +78,11 @@ class Kind:
     score: float
     near: str
     against: str = r"\b(?:version|isbn|build|chapter|section|order|invoice no|serial)\b"
+    #: The group of the pattern that is the candidate, and how many characters the pattern takes if that is ahead of it.
+    group: int = 0
+    taken: int | None = None
+    #: Length of the match that a candidate begins with, null if none; the whole candidate if not given.
+    end: Callable[[Column], Column] | None = None
 
 
 _RUN = r"[A-Za-z0-9._%+-]"
@@ -64,7 +95,8 @@ BASE = (
 )
 #: Kinds that the method adds. National numbers have no checksum and need a word near them.
 MORE = (
-    Kind("iban", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", lambda m: let(F.regexp_replace(m, " ", ""), lambda x: F.length(x).between(15, 34) & mod97(x)), 1.0, r"\b(?:iban|account|konto|cuenta|compte)\b"),
+    # each word that can begin a number is a candidate, with what may follow ahead of it: a number ends no other's search
+    Kind("iban", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))[A-Z]{2}[0-9]{2}", lambda m: F.lit(True), 1.0, r"\b(?:iban|account|konto|cuenta|compte)\b", group=1, taken=4, end=iban_end),
     Kind("national", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), 0.3, r"\b(?:ssn|social security|national id|tax id|passport)\b"),
 )
 KINDS = BASE + MORE
@@ -79,16 +111,29 @@ def _found(text: Column, rank: int, kind: Kind) -> Column:
     """The confirmed matches of a kind with their scores."""
 
     def located(matches: Column) -> Column:
-        size = F.transform(matches, lambda m: F.length(m).cast("long"))
+        size = F.transform(matches, lambda m: F.length(m).cast("long") if kind.taken is None else F.lit(kind.taken).cast("long"))
         gap = F.transform(F.slice(F.split(text, kind.pattern, -1), F.lit(1), F.size(matches)), lambda p: F.length(p).cast("long"))
 
         def spans(size: Column, gap: Column) -> Column:
             before = prefix_sums(F.zip_with(gap, size, lambda a, b: a + b))
             rows = F.zip_with(F.zip_with(before, gap, lambda a, b: a + b), matches, lambda s, m: F.struct(s.alias("start"), m.alias("m")))
+            if kind.end:
+                return let(ended(rows), lambda r: F.transform(apart(r), scored))
             return F.transform(F.filter(rows, lambda x: kind.valid(x["m"])), scored)
 
         return lets([size, gap], spans)
 
+    def ended(rows: Column) -> Column:
+        cut = F.transform(rows, lambda x: let(kind.end(x["m"]), lambda n: F.struct(x["start"].alias("start"), F.substring(x["m"], F.lit(1), n).alias("m"))))
+        return F.filter(cut, lambda x: x["m"].isNotNull())
+
+    def apart(rows: Column) -> Column:
+        """rows without those that begin within the one kept before them."""
+        until = lambda x: x["start"] + F.length(x["m"])
+        overlap = F.exists(F.zip_with(rows, F.slice(rows, F.lit(2), F.size(rows)), lambda a, b: b["start"] < until(a)), lambda x: F.coalesce(x, F.lit(False)))
+        add = lambda a, x: F.when((F.size(a) > 0) & (x["start"] < until(F.element_at(a, -1))), a).otherwise(F.concat(a, F.array(x)))
+        return F.when(overlap, F.aggregate(rows, F.array().cast("array<struct<start:bigint,m:string>>"), add)).otherwise(rows)
+
     def scored(x: Column) -> Column:
         end = x["start"] + F.length(x["m"])
         first = F.greatest(x["start"] - NEAR, F.lit(0))
@@ -96,7 +141,7 @@ def _found(text: Column, rank: int, kind: Kind) -> Column:
         score = F.lit(kind.score) + let(around, lambda a: F.when(a.rlike(kind.near), 0.5).otherwise(0.0) - F.when(a.rlike(kind.against), 0.5).otherwise(0.0))
         return F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), end.cast("long").alias("end"), F.lit(kind.name).alias("kind"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"))
 
-    return F.when(text.rlike(kind.hint), let(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), located)).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(kind.hint), let(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group)), located)).otherwise(F.array().cast(SPAN))
 
 
 def find(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
