@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import catalog, langid, packing, pii, quality_bayes, quality_rules, sentencepieces, simhash, spotsigs, substrings, suffix, tokens
+from tidemark.llm import catalog, langid, near_copies, packing, pii, quality_bayes, quality_rules, sentencepieces, simhash, spotsigs, substrings, suffix, tokens
 from tidemark.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -376,3 +376,43 @@ def test_pipeline(spark, sf, docs, empty):
     for _, stage in corpus_pipeline.STAGES:
         x = stage(spark, x, sf)
     assert x.count() == 0
+
+
+def grams(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def planted(rng):
+    """(id, text): unrelated texts, each with a copy of one changed word and one of more, near a similarity of 0.8."""
+    out = []
+    for k in range(120):
+        n = int(rng.choice([60, 100, 200, 600]))
+        w = [f"w{x}" for x in rng.integers(0, 5000, n)]
+        out.append((10 * k, " ".join(w)))
+        for j, edits in ((1, 1), (2, max(1, round(n * rng.uniform(0.01, 0.05))))):
+            c = list(w)
+            for at in rng.choice(n, edits, replace=False):
+                c[at] = f"x{rng.integers(0, 5000)}"
+            out.append((10 * k + j, " ".join(c)))
+    return out
+
+
+def test_near_dedup_planted_edits(spark, sf):
+    data = planted(np.random.default_rng(5))
+    sets = {i: grams(t) for i, t in data}
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    want = set()
+    for k in range(0, 1200, 10):
+        left = {k, k + 1, k + 2}
+        while left:
+            group, more = set(), {min(left)}
+            while more:
+                group |= more
+                more = {j for j in left - group for i in group if alike(i, j)}
+            want.add(min(group))
+            left -= group
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in data], SCHEMA).repartition(5)
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, sf).collect()} == want and 120 < len(want) < 240
+    many = [(i, " ".join(f"y{x if x != i % 90 else 1000 + i}" for x in range(90)), "en", "s", 1) for i in range(300)]
+    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(many, SCHEMA), sf).collect()] == [0]
