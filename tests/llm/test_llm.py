@@ -416,3 +416,19 @@ def test_near_dedup_planted_edits(spark, sf):
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, sf).collect()} == want and 120 < len(want) < 240
     many = [(i, " ".join(f"y{x if x != i % 90 else 1000 + i}" for x in range(90)), "en", "s", 1) for i in range(300)]
     assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(many, SCHEMA), sf).collect()] == [0]
+
+
+def test_documents_are_rows_not_ids(spark, sf):
+    rng = np.random.default_rng(6)
+    a, b, c, d, e = (" ".join(f"w{x}" for x in rng.integers(0, 5000, 80)) for _ in range(5))
+    data = [(None, a), (None, b), (None, c), (7, d), (7, e), (7, e), (3, d), (9, d), (None, a)]
+    df = spark.createDataFrame([(i, t, "en", f"s{k % 4}", len(t)) for k, (i, t) in enumerate(data)], SCHEMA)
+    kept = corpus_pipeline.near_dedup(spark, df, sf)
+    assert kept.columns == corpus_pipeline.COLUMNS
+    assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == collections.Counter([(None, a), (None, b), (None, c), (3, d), (7, e)])
+    cut = corpus_pipeline.repeated_strings(spark, kept, sf)
+    assert cut.columns == corpus_pipeline.COLUMNS
+    assert collections.Counter((r.doc_id, r.text, r.n_chars) for r in cut.collect()) == collections.Counter((i, t, len(t)) for i, t in [(None, a), (None, b), (None, c), (3, d), (7, e)])
+    source = {r.text: r.source for r in kept.collect()}
+    assert all(r.source == source[r.text] for r in cut.collect())
+    assert corpus_pipeline.repeated_strings(spark, df, sf).count() <= len(data)

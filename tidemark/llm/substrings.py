@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -429,7 +430,11 @@ def _sort_contexts(n: int):
     return run
 
 
-SPANS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary, kept_text string"
+SPANS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary, kept_text string, text_hash long"
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _remove(digests: bool):
@@ -452,7 +457,7 @@ def _remove(digests: bool):
         gone = np.cumsum(change) > 0
         # equal texts of one id have equal records, all of them taken by one of these texts
         taker = _places(texts, np.array([d for d, _ in texts], np.int64), np.array([_tag(b) for _, b in texts], np.uint32))
-        out: list[list] = [[] for _ in range(8)]
+        out: list[list] = [[] for _ in range(9)]
         weight = 0
         for k, (d, b) in enumerate(texts):
             j = taker[k]
@@ -460,17 +465,17 @@ def _remove(digests: bool):
             edge = np.flatnonzero(np.diff(np.r_[False, cut, False].astype(np.int8)))
             kept = np.frombuffer(b, np.uint8)[~cut].tobytes()
             spans = [] if digests else [{"start": s, "end": e} for s, e in edge.reshape(-1, 2).tolist()]
-            for c, v in zip(out, (None if d == LOWEST else d, len(b), int(cut.sum()), len(edge) // 2, hashlib.sha256(kept).hexdigest(), spans, b"" if digests else kept, "" if digests else kept.decode("utf-8", "ignore")), strict=True):
+            for c, v in zip(out, (None if d == LOWEST else d, len(b), int(cut.sum()), len(edge) // 2, hashlib.sha256(kept).hexdigest(), spans, b"" if digests else kept, "" if digests else kept.decode("utf-8", "ignore"), _signed(xxhash.xxh64_intdigest(b, 42))), strict=True):
                 c.append(v)
             weight += len(b)
             if weight > 8 * STEP:
                 yield _batch(out)
-                out, weight = [[] for _ in range(8)], 0
+                out, weight = [[] for _ in range(9)], 0
         yield _batch(out)
 
     def _batch(out: list[list]) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept", "kept_text"])
+        kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary(), pa.string(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept", "kept_text", "text_hash"])
 
     return run
 
@@ -486,7 +491,7 @@ def _finished(df: DataFrame, name: str) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, hot: int = HOT) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed, in bytes), kept and
-    kept_text (without characters of which some bytes are gone).
+    kept_text (without characters of which some bytes are gone), text_hash (Spark's xxhash64 of the whole text).
 
     digests leaves the last three empty. Null texts are empty texts. A null id counts as smaller than every other.
     Rows with the same id are one document: none of them removes bytes of another, and repeated rows get equal results.
