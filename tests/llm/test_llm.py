@@ -74,6 +74,14 @@ def test_spotsigs_pairs(docs, spark):
     assert {(r.rep_a, r.rep_b) for r in spotsigs.near_pairs(prints).collect()} == want and want
 
 
+def test_spotsigs_pairs_with_repeated_and_null_ids(spark):
+    words = np.random.default_rng(7).integers(0, 5000, (3, 200))
+    a, b, c = (" ".join(f"w{x}" for x in w) for w in words)
+    data = [(5, a), (5, a + " more"), (5, b), (None, b + " more"), (None, c), (None, c + " more")]
+    got = spotsigs.near_pairs(spotsigs.fingerprints(spark.createDataFrame(data, "doc_id long, text string"))).collect()
+    assert collections.Counter((r.rep_a, r.rep_b) for r in got) == collections.Counter([(5, 5), (5, None), (None, None)])
+
+
 def test_spotsigs_edges(odd, empty):
     assert spotsigs.fingerprints(odd).count() == odd.count() and spotsigs.fingerprints(empty).count() == 0
 

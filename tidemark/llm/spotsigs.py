@@ -132,12 +132,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def near_pairs(prints: DataFrame, least: float = 0.8) -> DataFrame:
     """(rep_a, rep_b, likeness) between representatives of equal fingerprints with Jaccard of at least `least`.
 
-    rep is the smallest doc_id of a class of equal fingerprints (see classes()). Sets are partitioned by length: band k
+    rep is the smallest doc_id of a class of equal fingerprints (see classes()). Classes are told apart by a hash of the
+    fingerprint, so ids may be null (the second of a pair) or repeated: each pair of classes is a row. Sets are partitioned by length: band k
     holds sizes in (1/least)**k up to the next power, and a set meets only its own and the band above. Within bands,
     sets meet through their rarest values (the first n - ceil(least * n) + 1 in ascending frequency), and the length bound
     is applied to every candidate before its sets are joined. Empty fingerprints form one class and match nothing else.
     """
-    reps = classes(prints).groupBy("fingerprint").agg(F.min("rep").alias("rep")).filter("fingerprint <> ''")
+    ids = classes(prints).groupBy("fingerprint").agg(F.min("rep").alias("id")).filter("fingerprint <> ''")
+    reps = ids.select(F.xxhash64("fingerprint").alias("rep"), "id", "fingerprint")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,8 +156,10 @@ def near_pairs(prints: DataFrame, least: float = 0.8) -> DataFrame:
     other = prefix.withColumn("band", F.explode(F.array("band", F.col("band") + 1))).select("band", "value", F.col("rep").alias("rep_b"), F.col("n").alias("n_b"))
     found = prefix.join(other, ["band", "value"]).filter((F.col("rep") != F.col("rep_b")) & (F.col("n_b") <= F.col("n")) & (F.col("n_b") >= F.col("n") * least - 1e-9))
     found = found.select(F.least("rep", "rep_b").alias("rep_a"), F.greatest("rep", "rep_b").alias("rep_b")).distinct()
-    sets = reps.select("rep", "fingerprint")
-    both = found.join(sets.toDF("rep_a", "fa"), "rep_a").join(sets.toDF("rep_b", "fb"), "rep_b")
+    sets = reps.select("rep", "fingerprint", "id")
+    both = found.join(sets.toDF("rep_a", "fa", "a"), "rep_a").join(sets.toDF("rep_b", "fb", "b"), "rep_b")
+    turned = F.coalesce(F.col("a") > F.col("b"), F.col("a").isNull())
+    both = both.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("rep_a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("rep_b"), "fa", "fb")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
