@@ -314,6 +314,62 @@ def test_language_id(spark, docs, odd, empty):
     assert langid.predict(docs, langid.LanguageModel.fit(empty), ["doc_id"]).filter("lang_pred <> 'und'").count() == 0
 
 
+def plain_grams(text):
+    """The n-grams of a text by hash, one by one."""
+    c = re.sub("[^a-z\x80-\U0010ffff]+", " ", f" {text.lower()} ")
+    for n in langid.ORDERS:
+        for i in range(len(c) - n + 1):
+            h = 0
+            for k, x in enumerate(c[i : i + n]):
+                h = (h * 0x9E3779B97F4A7C15 + ord(x) + k + 1) % 2**64
+            yield int(langid.mix(np.array([h], np.uint64))[0]) % langid.BUCKETS
+
+
+def test_language_model_against_plain_python(spark, docs):
+    some = [r for r in docs.select("doc_id", "text", "lang").orderBy("doc_id").limit(40).collect()]
+    table, prior = collections.defaultdict(collections.Counter), collections.Counter()
+    for r in some[:30]:
+        if r.lang is not None and r.text is not None:
+            prior[r.lang] += 1
+            table[r.lang].update(plain_grams(r.text[:3000]))
+    cut = spark.createDataFrame([(r.doc_id, (r.text or "")[:3000] if r.text is not None else None, r.lang) for r in some], "doc_id long, text string, lang string")
+    ids = [r.doc_id for r in some[:30]]
+    model = langid.LanguageModel.fit(cut.filter(F.col("doc_id").isin(ids)))
+    assert model.langs == sorted(prior)
+    for r in langid.predict(cut, model, ["doc_id", "text"]).collect():
+        if r.lang_pred != "und":
+            grams = list(plain_grams(r.text))
+            score = {x: np.log(prior[x] / sum(prior.values())) + sum(np.log((table[x][g] + 0.5) / (sum(table[x].values()) + 0.5 * langid.BUCKETS)) for g in grams) for x in prior}
+            best = max(score.values())
+            p = {x: np.exp(v - best) for x, v in score.items()}
+            assert r.lang_pred == max(score, key=score.get) and r.score == pytest.approx(1 / sum(p.values()), abs=1e-3)
+
+
+def test_long_texts_have_whole_counts(spark):
+    long = "The quick-brown fox; ünd dér 123 Hund! " * 20000
+    assert len(long) > 2 * langid.PIECE
+    whole = collections.Counter()
+    c = re.sub("[^a-z\x80-\U0010ffff]+", " ", f" {long.lower()} ")
+    for n in langid.ORDERS:
+        whole.update(c[i : i + n] for i in range(len(c) - n + 1))
+    got = {r.feature: r.n for r in langid.counts(spark.createDataFrame([(long, "x")], "text string, lang string"), "text", "lang").collect()}
+    assert got.pop(-1) == 1 and sum(got.values()) == sum(whole.values())
+    want = collections.Counter()
+    for g, n in whole.items():
+        h = 0
+        for k, x in enumerate(g):
+            h = (h * 0x9E3779B97F4A7C15 + ord(x) + k + 1) % 2**64
+        want[int(langid.mix(np.array([h], np.uint64))[0]) % langid.BUCKETS] += n
+    assert got == dict(want)
+
+
+def test_too_many_languages(spark):
+    many = spark.createDataFrame([(f"text {i}", f"l{i}") for i in range(30)], "text string, lang string")
+    with pytest.raises(Exception, match="more than 20 languages"):
+        langid.LanguageModel.fit(many, languages=20)
+    assert len(langid.LanguageModel.fit(many, languages=30).langs) == 30
+
+
 # --- 10
 
 

@@ -9,28 +9,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices
+from .common import materialize, mix
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 ALPHA = 0.5
+#: Most languages that a model may have: its table, 4 bytes for each language and bucket, is broadcast.
+LANGUAGES = 1000
 #: Code points whose n-grams are hashed at once; bounds a worker's memory whatever the batch holds.
 STEP = 1 << 19
-#: Characters of one piece of a very long text.
+#: First code points of n-grams in one portion of a very long text.
 PIECE = 1 << 18
 
 
-def _features(texts: list[str], orders: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(feature, index of the text) for each n-gram of the lower-cased texts; runs of ASCII non-letters are single spaces."""
-    codes, owner = [], []
-    for i, t in enumerate(texts):
-        c = np.frombuffer(f" {t.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-        blank = (c < 128) & ((c < 97) | (c > 122))
-        c = np.where(blank, np.uint32(32), c)
-        c = c[~(blank & np.r_[False, blank[:-1]])]
-        codes.append(c)
-        owner.append(np.full(len(c), i, np.int32))
-    c, own = np.concatenate(codes).astype(np.uint64), np.concatenate(owner)
+def _codes(text: str) -> np.ndarray:
+    """The code points of a text in lower case with a blank at either end; runs of ASCII non-letters are single blanks."""
+    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = (c < 128) & ((c < 97) | (c > 122))
+    return np.where(blank, np.uint32(32), c)[~(blank & np.r_[False, blank[:-1]])]
+
+
+def _features(pieces: list[np.ndarray], starts: list[int], orders: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, index of the piece) for each n-gram that lies in one piece and begins in its first `starts` code points."""
+    size = [len(c) for c in pieces]
+    c, own = np.concatenate(pieces).astype(np.uint64), np.repeat(np.arange(len(pieces), dtype=np.int32), size)
+    first = np.arange(len(c)) - np.repeat(np.cumsum(size) - size, size) < np.repeat(starts, size)
     out, owners = [], []
     h = np.zeros(len(c), np.uint64)
     for n in range(1, max(orders) + 1):
@@ -38,41 +41,60 @@ def _features(texts: list[str], orders: tuple[int, ...], buckets: int) -> tuple[
             break
         h = h[: len(c) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + c[n - 1 :] + np.uint64(n)
         if n in orders:
-            same = own[: len(h)] == own[n - 1 :]
-            out.append((mix(h[same]) & np.uint64(buckets - 1)).astype(np.int64))
-            owners.append(own[: len(h)][same])
+            mine = (own[: len(h)] == own[n - 1 :]) & first[: len(h)]
+            out.append((mix(h[mine]) & np.uint64(buckets - 1)).astype(np.int64))
+            owners.append(own[: len(h)][mine])
     return np.concatenate(out), np.concatenate(owners)
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
-    """Pieces of texts with the indices of the texts, about STEP characters at a time."""
-    pieces = [(i, t[at : at + PIECE]) for i, t in enumerate(texts) for at in range(0, len(t), PIECE) or (0,)]
-    for a, b in slices([len(p) + 2 for _, p in pieces], STEP):
-        yield [i for i, _ in pieces[a:b]], [p for _, p in pieces[a:b]]
-
+def _portions(texts: list[str], orders: tuple[int, ...], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(feature, index of the text) of all n-grams, about STEP code points at a time.
 
-def counts(docs: DataFrame, text_col: str, lang_col: str, orders=ORDERS, buckets: int = BUCKETS) -> DataFrame:
+    A long text's pieces overlap by the length of an n-gram less one, so each of its n-grams is in just one portion.
+    """
+    own: list[int] = []
+    pieces: list[np.ndarray] = []
+    starts: list[int] = []
+    size = 0
+    for i, t in enumerate(texts):
+        c = _codes(t)
+        for at in range(0, len(c), PIECE):
+            if size and size + min(PIECE, len(c) - at) > STEP:
+                feature, of = _features(pieces, starts, orders, buckets)
+                yield feature, np.array(own)[of]
+                own, pieces, starts, size = [], [], [], 0
+            own.append(i)
+            pieces.append(c[at : at + PIECE + max(orders) - 1])
+            starts.append(PIECE)
+            size += len(pieces[-1])
+    if pieces:
+        feature, of = _features(pieces, starts, orders, buckets)
+        yield feature, np.array(own)[of]
+
+
+def counts(docs: DataFrame, text_col: str, lang_col: str, orders=ORDERS, buckets: int = BUCKETS, languages: int = LANGUAGES) -> DataFrame:
     """(lang, feature, n): n-gram counts by language over all rows; feature -1 counts the documents.
 
-    Each task returns at most one row for each language and feature, which are then summed.
+    Each task returns at most one row for each language and feature, which are then summed. More than `languages`
+    different values are an error: such a column doesn't hold languages, and the table would outgrow a worker.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for b in batches:
-            langs = b.column(1).to_pylist()
-            for lang in langs:
-                total.setdefault(lang, np.zeros(buckets + 1, np.int64))[buckets] += 1
-            names = sorted(total)
-            code = np.array([names.index(x) for x in langs], np.int64)
-            for own, pieces in _chunks(b.column(0).to_pylist()):
-                feature, at = _features(pieces, orders, buckets)
-                joint = np.bincount(code[own][at] * buckets + feature, minlength=len(names) * buckets).reshape(-1, buckets)
-                for name, row in zip(names, joint, strict=True):
-                    total[name][:buckets] += row
+            names, code = np.unique(np.array(b.column(1).to_pylist(), object).astype(str), return_inverse=True)
+            if len(total.keys() | set(names)) > languages:
+                raise ValueError(f"more than {languages} languages")
+            for name, n in zip(names, np.bincount(code, minlength=len(names)), strict=True):
+                total.setdefault(name, np.zeros(buckets + 1, np.int64))[buckets] += n
+            for feature, own in _portions(b.column(0).to_pylist(), orders, buckets):
+                cell, n = np.unique(code[own] * buckets + feature, return_counts=True)
+                cut = np.searchsorted(cell, np.arange(len(names) + 1) * buckets)
+                for k, name in enumerate(names):
+                    total[name][cell[cut[k] : cut[k + 1]] - k * buckets] += n[cut[k] : cut[k + 1]]
         for lang, row in total.items():
             at = np.flatnonzero(row)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(np.where(at == buckets, -1, at).astype(np.int32)), pa.array(row[at])], names=["lang", "feature", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([str(lang)] * len(at), pa.string()), pa.array(np.where(at == buckets, -1, at).astype(np.int32)), pa.array(row[at])], names=["lang", "feature", "n"])
 
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
     return rows.mapInArrow(run, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
@@ -85,9 +107,13 @@ class LanguageModel:
         self.langs, self.prior, self.matrix, self.orders = langs, prior, matrix, orders
 
     @staticmethod
-    def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", orders=ORDERS, buckets: int = BUCKETS, alpha: float = ALPHA) -> LanguageModel:
-        rows = counts(docs, text_col, lang_col, orders, buckets).toPandas()
-        langs = sorted(rows.lang.unique())
+    def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", orders=ORDERS, buckets: int = BUCKETS, alpha: float = ALPHA, languages: int = LANGUAGES) -> LanguageModel:
+        rows = materialize(counts(docs, text_col, lang_col, orders, buckets, languages), "ngrams")
+        named = [r.lang for r in rows.select("lang").distinct().limit(languages + 1).collect()]
+        if len(named) > languages:
+            raise ValueError(f"more than {languages} languages")
+        rows = rows.toPandas()
+        langs = sorted(named)
         table = np.zeros((buckets + 1, len(langs)))
         table[rows.feature.to_numpy(), rows.lang.map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=np.int64)] = rows.n.to_numpy()
         documents, table = table[-1], table[:-1] + alpha
@@ -95,10 +121,9 @@ class LanguageModel:
 
     def logits(self, texts: list[str]) -> np.ndarray:
         out = np.tile(self.prior, (len(texts), 1))
-        for own, pieces in _chunks(texts):
-            feature, at = _features(pieces, self.orders, len(self.matrix))
-            starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            np.add.at(out, np.array(own)[at[starts]], np.add.reduceat(self.matrix[feature], starts, axis=0, dtype=np.float64))
+        for feature, own in _portions(texts, self.orders, len(self.matrix)):
+            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            np.add.at(out, own[starts], np.add.reduceat(self.matrix[feature], starts, axis=0, dtype=np.float64))
         return out
 
 
@@ -131,7 +156,11 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: st
 
 
 def op9_langid(spark, sf_dir: str) -> DataFrame:
-    """Learns where crc32(doc_id) mod 3 is not 1 and lang is known; predicts every document. A null id isn't held out."""
+    """Learns where crc32(doc_id) mod 3 is not 1 and lang is known; predicts every document, however long its text.
+
+    A null id isn't held out. Null texts and texts without a letter are `und`; repeated rows count each and give rows of their
+    own; an empty table gives none; other columns aren't read.
+    """
     from .common import documents
 
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)).alias("held_out"))
