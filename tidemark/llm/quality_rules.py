@@ -17,8 +17,12 @@ from .native import BLANKS, SPACE, WORD, let, total, words
 
 #: Characters that count as symbols (fixed values).
 SYMBOLS = "#*$%&|<>"
-#: Rows of the sample on which costs and selectivities are estimated.
+#: Rows of the sample on which costs and selectivities are estimated, and one in how many rows may belong to it.
 SAMPLE = 400
+SPREAD = 8
+#: Times that a condition is evaluated on each row of the sample; seconds below which costs can't be told apart.
+REPEATS = 8
+LEAST_COST = 1e-3
 
 
 def n_words(text: Column) -> Column:
@@ -93,33 +97,50 @@ def default_rules(text: Column) -> list[Rule]:
     ]
 
 
-def measure(docs: DataFrame, rules: list[Rule], sample: int = SAMPLE) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds, share rejected) on at most `sample` rows."""
-    rows = docs.limit(sample).persist()
-    try:
-        rows.count()
-        out = []
-        for rule in rules:
-            began = time.perf_counter()
-            share = rows.agg(F.avg(F.when(rule.rejects, 1.0).otherwise(0.0))).first()[0] or 0.0
-            out.append((rule, time.perf_counter() - began, share))
-        return out
-    finally:
-        rows.unpersist()
+def sampled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """At most `sample` rows: those whose texts' hashes fall into one of SPREAD classes, so that no head of the table stands for all."""
+    return docs.filter(F.pmod(F.xxhash64(*docs.columns), F.lit(SPREAD)) == 0).limit(sample)
+
+
+def measure(rows: DataFrame, rules: list[Rule], repeats: int = REPEATS) -> list[tuple[Rule, float, float]]:
+    """(rule, seconds, share rejected) over the rows of a sample, of the conditions as they are.
+
+    Each condition is evaluated `repeats` times on every row, so that its own work shows, once to have it compiled and once
+    timed; what a job without a condition takes on the same rows is subtracted. An empty sample gives costs and shares of 0.
+    """
+    many = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+
+    def timed(condition: Column) -> tuple[float, float]:
+        job = many.agg(F.avg(F.when(condition, 1.0).otherwise(0.0)))
+        job.first()
+        began = time.perf_counter()
+        share = job.first()[0] or 0.0
+        return time.perf_counter() - began, share
+
+    empty = timed(F.col("_copy") < 0)[0]
+    return [(rule, max(seconds - empty, 0.0), share) for rule in rules for seconds, share in [timed(rule.rejects)]]
+
+
+def ordered(rules: list[tuple[Rule, float, float]]) -> list[Rule]:
+    """Rules in descending order of rejection per cost. Costs below LEAST_COST can't be told from none and count as that much."""
+    return [r for r, *_ in sorted(rules, key=lambda x: (-x[2] / max(x[1], LEAST_COST), x[1], x[0].name))]
 
 
 def cascade(rules: list[tuple[Rule, float, float]]) -> Column:
-    """The name of a rule that rejects the row, null if none does; rules in descending order of rejection per cost."""
+    """The name of the first rule in order that rejects the row, null if none does."""
     out = None
-    for rule, *_ in sorted(rules, key=lambda x: (-x[2] / max(x[1], 1e-9), x[1], x[0].name)):
+    for rule in ordered(rules):
         out = F.when(rule.rejects, rule.name) if out is None else out.when(rule.rejects, rule.name)
     return out
 
 
 def rejected_by(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Column:
     """The cascade over docs' text column (null texts count as empty and are rejected), ordered by a sample of docs."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return cascade(measure(docs.select(text_col), default_rules(text), sample))
+    rows = sampled(docs.select(text_col), sample).persist()
+    try:
+        return cascade(measure(rows, default_rules(F.coalesce(F.col(text_col), F.lit("")))))
+    finally:
+        rows.unpersist()
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
@@ -127,16 +148,28 @@ def keep_good(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) ->
     return docs.filter(rejected_by(docs, text_col, sample).isNull())
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select("doc_id", "text", n_words(text).alias("n_words"), word_chars(text).alias("word_chars"), n_symbols(text).alias("n_symbols"), n_dup_lines(text).alias("n_dup_lines"), n_repeat_words(text).alias("n_repeat_words"))
+
+
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
-    """Base counts, base_failed and the cascade's verdict for every document."""
+    """Base counts, base_failed and the cascade's verdict for every document.
+
+    The counts are returned anyway, so rules over them are measured, and run, on the counted columns. Null and empty texts have
+    no words and fail; repeated rows give rows of their own; an empty table gives none; other columns aren't read.
+    """
     from .common import documents
 
     docs = documents(spark, sf_dir).select("doc_id", "text")
     text = F.coalesce(F.col("text"), F.lit(""))
-    verdict = cascade([(Rule(r.name, _on_counts(r, text)), cost, share) for r, cost, share in measure(docs, default_rules(text))])
-    counted = docs.select("doc_id", "text", n_words(text).alias("n_words"), word_chars(text).alias("word_chars"), n_symbols(text).alias("n_symbols"), n_dup_lines(text).alias("n_dup_lines"), n_repeat_words(text).alias("n_repeat_words"))
+    rows = _counted(sampled(docs)).persist()
+    try:
+        verdict = cascade(measure(rows, [Rule(r.name, _on_counts(r, text)) for r in default_rules(text)]))
+    finally:
+        rows.unpersist()
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & verdict.isNull()).alias("kept"))
+    return _counted(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & verdict.isNull()).alias("kept"))
 
 
 def _on_counts(rule: Rule, text: Column) -> Column:
