@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 
 from .langid import op9_langid
-from .packing import op5_packing
+from .packing import op5_packing, pack_dialogues
 from .pii import op3_pii
 from .quality_bayes import op2_quality_bayes
 from .quality_rules import OP4_SQL, op4_quality_rules
@@ -17,7 +17,7 @@ from .tokens import op8_token_counts
 
 
 def queries() -> dict:
-    named = {f.__name__: f for f in (op1_spotsigs, op2_quality_bayes, op3_pii, op4_quality_rules, op5_packing, op6_simhash, op7_sentencepieces, op8_token_counts, op9_langid, op10_suffix_array)}
+    named = {f.__name__: f for f in (op1_spotsigs, op2_quality_bayes, op3_pii, op4_quality_rules, op5_packing, op6_simhash, op7_sentencepieces, op8_token_counts, op9_langid, op10_suffix_array, pack_dialogues)}
     return named | {"pipeline": corpus_pipeline.run}
 
 

@@ -162,6 +162,33 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", loss_c
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1024 tokens; every token bears loss, as in pretraining.
+
+    Null and empty texts are the end id alone. Repeated rows, repeated and null ids are packed as rows of their own; an empty
+    table gives none; other columns aren't read; long texts are cut, whole, into pieces.
+    """
     from .common import documents
 
     return pack(documents(spark, sf_dir))
+
+
+#: Limits for dialogues: about four fifths of a sequence's tokens may bear loss, and at most three answers share one.
+DIALOGUES = Limits(tokens=1024, segments=3, loss=800)
+
+
+def answers(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, prompt): every assistant's turn after the turn before it, which bears no loss; doc_id is conversation * 1000 + turn.
+
+    Turns are joined by (conversation, turn), so a very long conversation is spread like many short ones. A turn without one before
+    it has no prompt; null texts are empty; of rows with the same conversation and turn each meets each.
+    """
+    rows = conversations.select(F.col(id_col).cast("long").alias("c"), F.col(turn_col).cast("long").alias("t"), F.col(role_col).alias("r"), F.coalesce(F.col(text_col), F.lit("")).alias("x"))
+    before = rows.select(F.col("c").alias("bc"), (F.col("t") + 1).alias("bt"), F.concat("x", F.lit("\n")).alias("b"))
+    both = rows.filter("r = 'assistant'").join(before, (F.col("c") == F.col("bc")) & (F.col("t") == F.col("bt")), "left")
+    asked = F.coalesce("b", F.lit(""))
+    return both.select((F.col("c") * 1000 + F.col("t")).alias("doc_id"), F.concat(asked, F.col("x")).alias("text"), F.length(asked).cast("long").alias("prompt"))
+
+
+def pack_dialogues(spark, sf_dir: str) -> DataFrame:
+    """Answers of all conversations under the limits on tokens, segments and loss-bearing tokens at once."""
+    return pack(answers(spark.read.parquet(f"{sf_dir}/conversations.parquet")), loss_col="prompt", limits=DIALOGUES)
