@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, materialize
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -59,7 +59,7 @@ def token_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long")
 
 
-def length_histogram(lengths: DataFrame, col: str = "n_tokens", width: int = 1024) -> DataFrame:
+def length_histogram(lengths: DataFrame, col: str = "n_tokens", width: int = 256) -> DataFrame:
     """The exact histogram of lengths with prefix and suffix sums: one row for each length that occurs.
 
     limit_tokens is the length, n_docs the documents of it, docs_over and tokens_over the documents longer than it and
@@ -67,8 +67,10 @@ def length_histogram(lengths: DataFrame, col: str = "n_tokens", width: int = 102
     share of documents not longer. Between two rows kept_tokens is linear, so the table answers every context limit.
     Documents are counted before anything is ordered; the sums run within bands of `width` lengths and over the bands,
     so no task holds more than `width` lengths or one row for each band. Null lengths are left out; an empty table gives none.
+    The histogram is written to the shared folder, so that what counts the lengths runs once.
     """
     hist = lengths.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("long").alias("limit_tokens")).agg(F.count("*").alias("n_docs"))
+    hist = materialize(hist, "lengths")
     hist = hist.withColumn("band", F.floor(F.col("limit_tokens") / width)).withColumn("tokens", F.col("limit_tokens") * F.col("n_docs"))
     bands = hist.groupBy("band").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     later = Window.orderBy("band").rowsBetween(1, Window.unboundedFollowing)
@@ -94,6 +96,11 @@ def quantile(histogram: DataFrame, q: float) -> DataFrame:
 
 
 def op8_token_counts(spark, sf_dir: str) -> DataFrame:
+    """The histogram of the documents' encoded lengths.
+
+    Null and empty texts have length 0; repeated rows, repeated and null ids count each; an empty table gives no rows;
+    other columns aren't read. Lengths are of whole texts, however long.
+    """
     from .common import documents
 
     return length_histogram(token_lengths(documents(spark, sf_dir)))
