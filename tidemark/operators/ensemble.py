@@ -47,7 +47,7 @@ def stacking_weights(predictions: DataFrame, truth: DataFrame, rounds: int = 25)
 
 def mixture(predictions: DataFrame, weights: DataFrame) -> DataFrame:
     """(panel, date, p): the weighted mean of the models' probabilities, over the models that have the date."""
-    rows = predictions.join(F.broadcast(weights.select("model", "weight")), "model")
+    rows = predictions.join(weights.select("model", "weight"), "model")
     sums = rows.groupBy("panel", "date").agg(F.sum("weight").alias("w"), *(F.sum(F.col("weight") * F.get("p", F.lit(k))).alias(f"s{k}") for k in range(5)))
     return sums.select("panel", "date", F.array(*(F.col(f"s{k}") / F.col("w") for k in range(5))).alias("p"))
 

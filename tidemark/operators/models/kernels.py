@@ -21,8 +21,8 @@ def gaussian_log(x: np.ndarray, mean: np.ndarray, cov: np.ndarray, jitter: float
         return -0.5 * (np.log(2 * math.pi * var) + (x - mean) ** 2 / var).sum(1)
 
 
-def forward(log_b: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """(filtered, predicted, log-likelihood) of a hidden Markov chain with emission log densities (n, k)."""
+def forward_plain(log_b: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """forward() one step after the other."""
     n, k = log_b.shape
     filtered, predicted, total = np.zeros((n, k)), np.zeros((n, k)), 0.0
     p = start
@@ -37,17 +37,75 @@ def forward(log_b: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np
     return filtered, predicted, total
 
 
+def _blocks(x: np.ndarray, size: int, fill: float) -> np.ndarray:
+    """(blocks, size, columns) of the rows of x, the last block filled up."""
+    n = -(-len(x) // size)
+    return np.concatenate([x, np.full((n * size - len(x), x.shape[1]), fill)]).reshape(n, size, -1)
+
+
+def forward(log_b: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(filtered, predicted, log-likelihood) of a hidden Markov chain with emission log densities (n, k).
+
+    A step is a matrix, so the chain is cut into blocks that advance together: first the blocks' products, then the probabilities
+    with which each block begins, then all steps within blocks. Two times the square root of n operations instead of n.
+    """
+    n, k = log_b.shape
+    if n < 16:
+        return forward_plain(log_b, trans, start)
+    size = math.isqrt(n)
+    top = log_b.max(axis=1)
+    w = _blocks(np.exp(log_b - top[:, None]), size, 1.0)
+    product = np.broadcast_to(np.eye(k), (len(w), k, k))
+    for i in range(size):
+        product = (product * w[:, i, None]) @ trans
+        product = product / np.maximum(product.max(axis=(1, 2), keepdims=True), 1e-300)
+    begin, p = np.empty((len(w), k)), start
+    for b in range(len(w)):
+        begin[b] = p
+        p = p @ product[b]
+        p = p / max(p.sum(), 1e-300)
+    filtered, predicted, sums, p = np.empty_like(w), np.empty_like(w), np.empty(w.shape[:2]), begin
+    for i in range(size):
+        predicted[:, i] = p
+        u = p * w[:, i]
+        sums[:, i] = u.sum(axis=1)
+        filtered[:, i] = u / np.maximum(sums[:, i, None], 1e-300)
+        p = filtered[:, i] @ trans
+    if not sums.reshape(-1)[:n].min() > 1e-200:
+        return forward_plain(log_b, trans, start)
+    return filtered.reshape(-1, k)[:n], predicted.reshape(-1, k)[:n], float(np.log(sums.reshape(-1)[:n]).sum() + top.sum())
+
+
 def smooth(filtered: np.ndarray, predicted: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(smoothed, expected transition counts) by the backward recursion."""
+    """(smoothed, expected transition counts) by the backward recursion, in blocks as forward().
+
+    With r = smoothed / predicted it is linear: r[t] = filtered[t] / predicted[t] * (trans @ r[t + 1]).
+    """
     n, k = filtered.shape
-    smoothed, counts = filtered.copy(), np.zeros((k, k))
-    for t in range(n - 2, -1, -1):
-        ratio = smoothed[t + 1] / np.maximum(predicted[t + 1], 1e-300)
-        joint = filtered[t][:, None] * trans * ratio[None]
-        joint /= max(joint.sum(), 1e-300)
-        counts += joint
-        smoothed[t] = joint.sum(1)
-    return smoothed, counts
+    size = math.isqrt(n)
+    ratio = filtered / np.maximum(predicted, 1e-300)
+    w, known = _blocks(ratio[::-1], size, 1.0), _blocks(predicted[::-1], size, 1.0 / k)
+    w[0, 0] = 1.0
+    step = np.tile(trans.T, (len(w), 1, 1))
+    steps = [step.copy()] + [step] * (size - 1)
+    steps[0][0] = np.eye(k)
+    product = np.broadcast_to(np.eye(k), (len(w), k, k))
+    for i in range(size):
+        product = product @ steps[i] * w[:, i, None]
+        product = product / np.maximum(product.max(axis=(1, 2), keepdims=True), 1e-300)
+    begin, p = np.empty((len(w), k)), ratio[-1]
+    for b in range(len(w)):
+        begin[b] = p
+        p = p @ product[b]
+        p = p / max((p * known[b, -1]).sum(), 1e-300)
+    r, p = np.empty_like(w), begin
+    for i in range(size):
+        p = (p[:, None] @ steps[i])[:, 0] * w[:, i]
+        p = p / np.maximum((p * known[:, i]).sum(axis=1, keepdims=True), 1e-300)
+        r[:, i] = p
+    r = r.reshape(-1, k)[:n][::-1]
+    smoothed = predicted * r
+    return smoothed / smoothed.sum(axis=1, keepdims=True), trans * (filtered[:-1].T @ (r[1:] / np.maximum((filtered[:-1] @ trans * r[1:]).sum(axis=1, keepdims=True), 1e-300)))
 
 
 def start_means(x: np.ndarray, k: int) -> np.ndarray:
@@ -100,12 +158,15 @@ def sample_states(log_b: np.ndarray, trans: np.ndarray, start: np.ndarray, rng:
     """Forward filtering, backward sampling."""
     filtered, _, _ = forward(log_b, trans, start)
     n, k = filtered.shape
-    u, s = rng.rand(n), np.empty(n, int)
-    s[-1] = min(int(np.searchsorted(filtered[-1].cumsum(), u[-1])), k - 1)
+    u = rng.rand(n)
+    last = min(int(np.searchsorted(filtered[-1].cumsum(), u[-1])), k - 1)
+    w = filtered[:, None, :] * trans.T[None]
+    cum = (w / np.maximum(w.sum(axis=2, keepdims=True), 1e-300)).cumsum(axis=2)
+    earlier = np.minimum((cum < u[:, None, None]).sum(axis=2), k - 1).tolist()
+    states = [last]
     for t in range(n - 2, -1, -1):
-        w = filtered[t] * trans[:, s[t + 1]]
-        s[t] = min(int(np.searchsorted((w / max(w.sum(), 1e-300)).cumsum(), u[t])), k - 1)
-    return s
+        states.append(earlier[t][states[-1]])
+    return np.array(states[::-1])
 
 
 def inverse_wishart(nu: float, psi: np.ndarray, rng: np.random.RandomState) -> np.ndarray:

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -113,19 +113,26 @@ def gibbs_posterior(features: DataFrame, columns: list[str], draws: DataFrame, m
     return data.groupBy("panel").cogroup(some.groupBy("panel")).applyInPandas(run, PROBA + ", total_entropy double, aleatoric double, epistemic double")
 
 
-def mixture_log_likelihood(features: DataFrame, column: str, draws: int = 100, seed: int = 42) -> DataFrame:
-    """(panel, model, obs, draw, ll) of mixtures of 2 to 4 components, for information criteria."""
+def mixture_draws(features: DataFrame, column: str, draws: int = 100, seed: int = 42) -> DataFrame:
+    """(panel, model, draw, parts): posterior draws of mixtures of 2 to 4 components, parts as (weight, mean, sd)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         k, x = int(pdf["k"].iloc[0]), pdf.sort_values("date")[column].to_numpy(float)
         d = K.gibbs_mixture(x, seed, k=k, rounds=100 + draws, burn=100)
-        logs = np.log(d["weights"])[:, None] - np.log(d["sds"])[:, None] - 0.5 * ((x[None, :, None] - d["means"][:, None]) / d["sds"][:, None]) ** 2 - 0.5 * math.log(2 * math.pi)
-        ll = np.logaddexp.reduce(logs, axis=2)
-        n = len(x)
-        return pd.DataFrame({"panel": pdf["panel"].iloc[0], "model": f"mixture_{k}", "obs": np.tile(np.arange(n), draws), "draw": np.repeat(np.arange(draws), n), "ll": ll.ravel()})
+        parts = [[{"w": w, "m": m, "s": s} for w, m, s in zip(*row, strict=True)] for row in zip(*(d[n].tolist() for n in ("weights", "means", "sds")), strict=True)]
+        return pd.DataFrame({"panel": pdf["panel"].iloc[0], "model": f"mixture_{k}", "draw": np.arange(draws), "parts": parts})
 
     data = features.select("panel", "date", column).na.drop().withColumn("k", F.explode(F.array(F.lit(2), F.lit(3), F.lit(4))))
-    return data.groupBy("panel", "k").applyInPandas(run, "panel string, model string, obs long, draw long, ll double")
+    return data.groupBy("panel", "k").applyInPandas(run, "panel string, model string, draw long, parts array<struct<w:double,m:double,s:double>>")
+
+
+def mixture_log_likelihood(features: DataFrame, column: str, draws: DataFrame) -> DataFrame:
+    """(panel, model, obs, draw, ll) of each row under each posterior draw of mixture_draws(); obs numbers a panel's dates."""
+    rows = features.select("panel", "date", column).na.drop()
+    rows = rows.select("panel", F.col(column).alias("x"), (F.row_number().over(Window.partitionBy("panel").orderBy("date")) - 1).cast("long").alias("obs"))
+    logs = F.transform("parts", lambda c: F.log(c["w"]) - F.log(c["s"]) - 0.5 * F.pow((F.col("x") - c["m"]) / c["s"], 2) - 0.5 * math.log(2 * math.pi))
+    both = rows.join(draws, "panel").select("panel", "model", "obs", "draw", logs.alias("logs")).withColumn("top", F.array_max("logs"))
+    return both.select("panel", "model", "obs", "draw", (F.col("top") + F.log(F.aggregate("logs", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top"))))).alias("ll"))
 
 
 def psis_loo(log_likelihood: DataFrame) -> DataFrame:

@@ -12,12 +12,18 @@ from pyspark.sql import functions as F
 from .kernels import Network
 
 
-def network_posterior(targets: DataFrame, columns: list[str], kind: str = "deep", members: int = 5, passes: int = 10, epochs: int = 100, seed: int = 42) -> DataFrame:
+#: Forward passes of all members together.
+PASSES = {"deep": 1, "dropout": 100, "variational": 50}
+
+
+def network_posterior(targets: DataFrame, columns: list[str], kind: str = "deep", members: int = 5, passes: int | None = None, epochs: int = 100, seed: int = 42) -> DataFrame:
     """(panel, date, model, p, total_entropy, aleatoric, epistemic) of an ensemble fitted to soft targets: (panel, date, columns..., p).
 
-    kind: `deep` (plain members), `dropout` (Monte Carlo dropout) or `variational` (Gaussian weights). Only rows whose
-    split is 'train' are fitted if there is a column split.
+    kind: `deep` (plain members), `dropout` (Monte Carlo dropout) or `variational` (Gaussian weights). Members take part in
+    `passes` forward passes each, by default so that all members together make PASSES. Only rows whose split is 'train'
+    are fitted if there is a column split.
     """
+    passes = passes or -(-PASSES[kind] // members)
     has_split = "split" in targets.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -75,7 +81,7 @@ def separation(embedded: DataFrame, labels: DataFrame, sample: int = 1500) -> Da
     dims = range(len(rows.select("embedding").first()[0]))
     x = [F.get("embedding", F.lit(i)) for i in dims]
     per = rows.groupBy("y").agg(F.count("*").alias("n"), F.array(*(F.avg(v) for v in x)).alias("centre"), F.array(*(F.var_pop(v) for v in x)).alias("var"))
-    spread = rows.join(F.broadcast(per), "y").withColumn("d", F.sqrt(F.aggregate(F.zip_with("embedding", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v))).groupBy("y").agg(F.avg("d").alias("s"))
+    spread = rows.join(per, "y").withColumn("d", F.sqrt(F.aggregate(F.zip_with("embedding", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v))).groupBy("y").agg(F.avg("d").alias("s"))
     groups = per.join(spread, "y").orderBy("y").toPandas()
     centre, n, s = np.array(groups["centre"].tolist()), groups["n"].to_numpy(float), groups["s"].to_numpy(float)
     mean = (n[:, None] * centre).sum(0) / n.sum()

@@ -21,26 +21,35 @@ def assert_no_leak(features: DataFrame, as_of: Column) -> DataFrame:
     return features.filter(ok)
 
 
+def _united(probes: DataFrame, facts: DataFrame, key: str, probe_at: str, fact_at: str, values: list[str]) -> DataFrame:
+    rows = facts.select(key, F.col(fact_at).alias("_at"), F.lit(0).alias("_probe"), F.struct(F.col(fact_at).alias("_fact_at"), *values).alias("_fact"), F.lit(None).cast(probes.schema[probe_at].dataType).alias(probe_at))
+    asks = probes.select(key, F.col(probe_at).alias("_at"), F.lit(1).alias("_probe"), F.lit(None).cast(rows.schema["_fact"].dataType).alias("_fact"), probe_at)
+    return rows.unionByName(asks)
+
+
 def asof_backward(probes: DataFrame, facts: DataFrame, key: str, probe_at: str, fact_at: str, values: list[str]) -> DataFrame:
     """Each probe with the values of the last fact of its key at or before it; null if there is none.
 
     One shuffle by key of both sides together and one sort, instead of a join of all pairs.
     """
-    rows = facts.select(key, F.col(fact_at).alias("_at"), F.lit(0).alias("_probe"), F.struct(F.col(fact_at).alias("_fact_at"), *values).alias("_fact"), F.lit(None).cast(probes.schema[probe_at].dataType).alias(probe_at))
-    asks = probes.select(key, F.col(probe_at).alias("_at"), F.lit(1).alias("_probe"), F.lit(None).cast(rows.schema["_fact"].dataType).alias("_fact"), probe_at)
     w = Window.partitionBy(key).orderBy("_at", "_probe")
-    found = rows.unionByName(asks).withColumn("_fact", F.last("_fact", ignorenulls=True).over(w)).filter("_probe = 1")
+    found = _united(probes, facts, key, probe_at, fact_at, values).withColumn("_fact", F.last("_fact", ignorenulls=True).over(w)).filter("_probe = 1")
     return found.select(key, probe_at, F.col("_fact._fact_at").alias(fact_at), *(F.col(f"_fact.{v}").alias(v) for v in values))
 
 
 def asof_nearest(probes: DataFrame, facts: DataFrame, key: str, probe_at: str, fact_at: str, values: list[str]) -> DataFrame:
-    """Each probe with the fact nearest in time (the earlier one of two equally near) and whether it lies in the future."""
-    back = asof_backward(probes, facts, key, probe_at, fact_at, values).select(key, probe_at, F.struct(fact_at, *values).alias("_b"))
-    turned = asof_backward(probes.withColumn("_n", F.datediff(F.lit("1970-01-01").cast("date"), F.col(probe_at))), facts.withColumn("_f", F.datediff(F.lit("1970-01-01").cast("date"), F.col(fact_at))), key, "_n", "_f", [fact_at, *values])
-    ahead = turned.select(key, F.date_sub(F.lit("1970-01-01").cast("date"), F.col("_n")).alias(probe_at), F.struct(fact_at, *values).alias("_a")).distinct()
-    near = F.datediff(F.col(probe_at), F.col(f"_b.{fact_at}")) <= F.datediff(F.col(f"_a.{fact_at}"), F.col(probe_at))
-    pick = F.when(F.col(f"_a.{fact_at}").isNull() | near, F.col("_b")).otherwise(F.col("_a"))
-    return back.join(ahead, [key, probe_at]).select(key, probe_at, pick.alias("_x")).select(key, probe_at, F.col(f"_x.{fact_at}").alias(fact_at), *(F.col(f"_x.{v}").alias(v) for v in values), (F.col(f"_x.{fact_at}") > F.col(probe_at)).alias("is_future"))
+    """Each probe with the fact nearest in time (the earlier one of two equally near) and whether it lies in the future.
+
+    One shuffle, as for asof_backward, and two sorts: one for the facts before a probe, one for those after it.
+    """
+    found = _united(probes, facts, key, probe_at, fact_at, values)
+    back = F.last("_fact", ignorenulls=True).over(Window.partitionBy(key).orderBy("_at", "_probe"))
+    ahead = F.last("_fact", ignorenulls=True).over(Window.partitionBy(key).orderBy(F.col("_at").desc(), "_probe"))
+    found = found.withColumn("_b", back).withColumn("_a", ahead).filter("_probe = 1")
+    near = F.datediff(F.col(probe_at), F.col("_b._fact_at")) <= F.datediff(F.col("_a._fact_at"), F.col(probe_at))
+    pick = F.when(F.col("_b").isNotNull() & (F.col("_a").isNull() | near), F.col("_b")).otherwise(F.col("_a"))
+    found = found.select(key, probe_at, pick.alias("_x"))
+    return found.select(key, probe_at, F.col("_x._fact_at").alias(fact_at), *(F.col(f"_x.{v}").alias(v) for v in values), (F.col("_x._fact_at") > F.col(probe_at)).alias("is_future"))
 
 
 def carry_forward(df: DataFrame, key: str, at: str, columns: list[str]) -> DataFrame:
@@ -60,5 +69,5 @@ def split_by_date(df: DataFrame, at: str, calibration_from: str, test_from: str)
 
 
 def in_episodes(df: DataFrame, episodes: DataFrame, at: str = "date") -> DataFrame:
-    """Interval join with a literal table of a few episodes; both ends count."""
-    return df.join(F.broadcast(episodes), (F.col(at) >= F.col("start_date")) & (F.col(at) <= F.col("end_date")))
+    """Interval join with a table of a few episodes, which the optimizer broadcasts by its size; both ends count."""
+    return df.join(episodes, (F.col(at) >= F.col("start_date")) & (F.col(at) <= F.col("end_date")))

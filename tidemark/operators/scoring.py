@@ -46,9 +46,8 @@ def tournament(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     every = predictions.select("panel", "date", "model", "p").unionByName(clim.select("panel", "date", "model", "p")).unionByName(pers.select("panel", "date", "model", "p"))
     table = scores(every, truth)
     names = ["log_loss", "brier_score", "rps"]
-    for base in ("climatology", "persistence"):
-        own = table.filter(F.col("model") == base).select("panel", *(F.col(c).alias(f"{base}_{c}") for c in names))
-        table = table.join(F.broadcast(own), "panel")
+    panel = Window.partitionBy("panel")
+    table = table.withColumns({f"{b}_{c}": F.max(F.when(F.col("model") == b, F.col(c))).over(panel) for b in ("climatology", "persistence") for c in names})
     skills = [(1 - F.col(c) / F.greatest(F.col(f"{b}_{c}"), F.lit(1e-6))).alias(f"skill_vs_{b}_{c}") for b in ("climatology", "persistence") for c in names]
     beats = [(F.col(c) < F.col(f"persistence_{c}")).alias(f"beats_persistence_{c}") for c in names]
     return table.select("panel", "model", "n", *names, *skills, *beats)
@@ -75,13 +74,20 @@ def directional_accuracy(predictions: DataFrame, forward: DataFrame) -> DataFram
     return rows.groupBy("panel", "model").agg(F.avg((up == (F.col("fwd_ret") > 0)).cast("double")).alias("directional_accuracy"))
 
 
+def _ranked(rows: DataFrame, value: str) -> DataFrame:
+    """rows with k, the rank of a value among those of its panel and model from 0 on, and n, their number: a sort, not a list in a row."""
+    group = Window.partitionBy("panel", "model")
+    return rows.withColumn("k", F.row_number().over(group.orderBy(value)) - 1).withColumn("n", F.count("*").over(group))
+
+
 def conformal_quantile(predictions: DataFrame, truth: DataFrame, alpha: float = 0.1) -> DataFrame:
     """(panel, model, n, q_hat): the adjusted quantile of the calibration scores, linear between them."""
     rows = predictions.join(truth.filter("y is not null"), ["panel", "date"]).select("panel", "model", S.aps_score(F.col("p"), F.col("y")).alias("s"))
-    per = rows.groupBy("panel", "model").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("s")).alias("all"))
+    ranked = _ranked(rows, "s")
     at = F.least(F.lit(1.0), F.ceil((F.col("n") + 1) * (1 - alpha)) / F.col("n")) * (F.col("n") - 1)
-    low = F.floor(at).cast("int")
-    return per.select("panel", "model", "n", (F.get("all", low) + (at - low) * (F.coalesce(F.get("all", low + 1), F.get("all", low)) - F.get("all", low))).alias("q_hat"))
+    low = F.floor(at)
+    share = F.when(F.col("k") == low, 1 - (at - low)).when(F.col("k") == low + 1, at - low)
+    return ranked.filter(share > 0).groupBy("panel", "model").agg(F.max("n").alias("n"), F.sum(F.col("s") * share).alias("q_hat"))
 
 
 def conformal_sets(predictions: DataFrame, alpha: Column | float = 0.1) -> DataFrame:
@@ -102,8 +108,8 @@ def split_conformal(predictions: DataFrame, truth: DataFrame, alpha: float = 0.1
     rows = predictions.join(truth.filter("y is not null"), ["panel", "date"])
     rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("panel", "model").orderBy("date"))).withColumn("n", F.count("*").over(Window.partitionBy("panel", "model")))
     half = F.floor(F.col("n") / 2)
-    first = rows.filter(F.col("k") <= half).groupBy("panel", "model").agg(F.count("*").alias("m"), F.sort_array(F.collect_list(1 - S.at(F.col("p"), F.col("y")))).alias("s"))
-    q = first.select("panel", "model", F.element_at("s", F.least(F.col("m"), F.ceil((F.col("m") + 1) * (1 - alpha))).cast("int")).alias("q"))
+    first = _ranked(rows.filter(F.col("k") <= half).select("panel", "model", (1 - S.at(F.col("p"), F.col("y"))).alias("s")), "s")
+    q = first.filter(F.col("k") + 1 == F.least(F.col("n"), F.ceil((F.col("n") + 1) * (1 - alpha)))).select("panel", "model", F.col("s").alias("q"))
     sets = rows.filter(F.col("k") > half).join(q, ["panel", "model"])
     return sets.select("panel", "model", "date", "y", F.filter(F.sequence(F.lit(0), F.lit(4)), lambda i: 1 - F.get("p", i) <= F.col("q")).alias("set"))
 
@@ -160,7 +166,7 @@ def fit_temperature(predictions: DataFrame, truth: DataFrame, low: float = 0.05,
         for _ in range(rounds if bounds else 0):
             asked = [(panel, model, lo + i * (hi - lo) / grid, (hi - lo) / grid) for panel, model, lo, hi in bounds for i in range(grid + 1)]
             asked = spark.createDataFrame(asked, "panel string, model string, t double, step double")
-            loss = rows.join(F.broadcast(asked), ["panel", "model"]).groupBy("panel", "model", "t", "step").agg(F.avg(S.log_loss(S.tempered(F.col("p"), F.exp("t")), F.col("y"))).alias("nll"))
+            loss = rows.join(asked, ["panel", "model"]).groupBy("panel", "model", "t", "step").agg(F.avg(S.log_loss(S.tempered(F.col("p"), F.exp("t")), F.col("y"))).alias("nll"))
             best = loss.groupBy("panel", "model").agg(F.min_by(F.struct("t", "step", "nll"), "nll").alias("b")).select("panel", "model", "b.*").collect()
             bounds = [(r.panel, r.model, max(math.log(low), r.t - r.step), min(math.log(high), r.t + r.step)) for r in best]
             found = [(r.panel, r.model, math.exp(r.t), r.nll) for r in best]

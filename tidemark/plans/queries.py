@@ -49,9 +49,9 @@ def rounded(columns: str, source: str) -> str:
 
 
 def _features(spark, sf_dir, often: bool = False):
-    """Features of the panel; where a plan reads them often, the panel (a row for each day) is written first."""
-    panel = market.panel(spark, sf_dir)
-    return technical.window_features(written(panel, "panel") if often else panel)
+    """Features of the panel; where a plan reads them often, they (a row for each day) are written first."""
+    features = technical.window_features(market.panel(spark, sf_dir))
+    return written(features, "features") if often else features
 
 
 def _models(features: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def _truth(features: DataFrame) -> DataFrame:
 
 def _setup(spark, sf_dir):
     f = _features(spark, sf_dir, often=True)
-    return _models(f), _truth(f)
+    return _models(f), written(_truth(f), "truth")
 
 
 def _five(df: DataFrame, keep: list[str], p: str = "p") -> DataFrame:
@@ -168,8 +168,8 @@ def chronological_splits(spark, sf_dir):
     return rows.groupBy("symbol", "split", "by_date").agg(F.count("*").alias("n"))
 
 
-@query(with_(BARS, "lines AS (SELECT symbol, concat_ws(',', strftime(date, '%Y-%m-%d'), printf('%.6f', open), printf('%.6f', high), printf('%.6f', low), printf('%.6f', close), printf('%.6f', volume)) AS line FROM bars)")
-       + "SELECT symbol, count(*) AS n_rows, sha256(string_agg(line, chr(10) ORDER BY line)) AS sha256 FROM lines GROUP BY symbol")
+@query(with_(BARS, "lines AS (SELECT symbol, date, concat_ws(',', strftime(date, '%Y-%m-%d'), printf('%.6f', open), printf('%.6f', high), printf('%.6f', low), printf('%.6f', close), printf('%.6f', volume)) AS line FROM bars)")
+       + "SELECT symbol, CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(h, '' ORDER BY date)) AS sha256 FROM (SELECT symbol, date, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY line)) AS h FROM lines GROUP BY 1, 2) GROUP BY symbol")
 def snapshot_hashes(spark, sf_dir):
     return snapshots.series_hashes(market.daily_bars(spark, sf_dir))
 
@@ -610,7 +610,7 @@ def _cases(values: list[float], k: str) -> str:
 
 U = "((('0x' || substr(sha256('42|' || path || '|' || day), {at}, 8))::BIGINT + 0.5) / 4294967296.0)"
 CUM = [[round(sum(row[: i + 1]), 12) for i in range(5)] for row in simulation.TRANSITION]
-MC = f"""grid AS (SELECT path, day, {U.format(at=1)} AS u0, {U.format(at=9)} AS u1, {U.format(at=17)} AS u2, {U.format(at=25)} AS u3, {U.format(at=33)} AS u4 FROM (SELECT unnest(range(0, 1000)) AS path), (SELECT unnest(range(0, 21)) AS day)),
+MC = f"""grid AS (SELECT path, day, {U.format(at=1)} AS u0, {U.format(at=9)} AS u1, {U.format(at=17)} AS u2, {U.format(at=25)} AS u3, {U.format(at=33)} AS u4 FROM (SELECT unnest(range(0, 10000)) AS path), (SELECT unnest(range(0, 21)) AS day)),
 st AS (SELECT path, day, least(4, len(list_filter([0.3, 0.55, 0.75, 0.85, 1.0], lambda c: c < u0))) AS state FROM grid WHERE day = 0 UNION ALL
   SELECT g.path, g.day, least(4, len(list_filter({CUM}[st.state + 1], lambda c: c < g.u0))) FROM st JOIN grid g ON g.path = st.path AND g.day = st.day + 1),
 mc AS (SELECT path, day, state, {_cases(simulation.MEANS, 'state')} / 252 + {_cases(simulation.VOLS, 'state')} / sqrt(252) * (sqrt(-2 * ln(u1)) * cos(2 * pi() * u2) / sqrt((-2 * ln(u3) - 2 * ln(u4) + (sqrt(-2 * ln(u1)) * sin(2 * pi() * u2)) ^ 2) / 5) / sqrt(5 / 3.0)) AS ret FROM st JOIN grid USING (path, day)),
@@ -619,18 +619,18 @@ tot AS (SELECT path, exp(sum(ln(1 + ret))) - 1 AS r FROM mc GROUP BY path), vq A
 
 @query(with_(MC, recursive=True) + rounded("path day %state #ret", "mc"))
 def regime_paths(spark, sf_dir):
-    return simulation.simulate(spark, START, paths=1000)
+    return simulation.simulate(spark, START)
 
 
 @query(with_(MC, recursive=True) + "SELECT round(any_value(a), 6) AS var_95, round(avg(r) FILTER (r <= a), 6) AS cvar_95, round(any_value(b), 6) AS var_99, round(avg(r) FILTER (r <= b), 6) AS cvar_99, round(avg(r), 6) AS expected_return, round(stddev_pop(r), 6) AS path_volatility FROM tot, vq")
 def tail_risk(spark, sf_dir):
-    return simulation.tail_risk(simulation.simulate(spark, START, paths=1000))
+    return simulation.tail_risk(simulation.simulate(spark, START))
 
 
 @query(with_(MC, "wl AS (SELECT path, day, exp(sum(ln(1 + ret)) OVER (PARTITION BY path ORDER BY day)) AS x FROM mc)", recursive=True)
        + "SELECT day, " + ", ".join(f"round(quantile_cont(x, {q}), 6) AS q{round(100 * q):02d}" for q in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95)) + " FROM wl GROUP BY day")
 def fan_chart(spark, sf_dir):
-    return simulation.fan_chart(simulation.simulate(spark, START, paths=1000))
+    return simulation.fan_chart(simulation.simulate(spark, START))
 
 
 @query(with_(*BASE, "sc(scenario, r, v, b, u) AS (VALUES " + ", ".join(f"('{n}', {s['nifty_ret_1d']}, {s['vix_level']}, {s['breadth_midcap_ret_21d']}, {s['usdinr_ret_21d']})" for n, s in simulation.SHOCKS.items()) + ")")
@@ -671,11 +671,12 @@ def response_claims(spark, sf_dir):
     return governance.validate_responses(rows).select("id", F.size("violations").alias("n_violations"), "is_trusted")
 
 
-@query("SELECT conv_id, count(*) AS n_turns, CAST(sum(length(text)) AS BIGINT) AS chars, substr(sha256(string_agg(text, chr(10) ORDER BY turn)), 1, 16) AS response_hash FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, count(*) AS n_turns, CAST(sum(length(text)) AS BIGINT) AS chars, substr(sha256(string_agg(sha256(coalesce(text, '')), '' ORDER BY turn, sha256(coalesce(text, '')))), 1, 16) AS response_hash FROM conversations GROUP BY conv_id")
 def interaction_log(spark, sf_dir):
-    rows = market.table(spark, sf_dir, "conversations")
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n")
-    return rows.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.sum(F.length("text")).alias("chars"), F.substring(F.sha2(text.cast("binary"), 256), 1, 16).alias("response_hash"))
+    """Of a conversation, a row holds the hashes of its turns, not their texts."""
+    rows = market.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("h"))
+    hashes = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "h"))), lambda x: x["h"]), "")
+    return rows.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.sum(F.length("text")).alias("chars"), F.substring(F.sha2(hashes.cast("binary"), 256), 1, 16).alias("response_hash"))
 
 
 # --- models ----------------------------------------------------------------------------------------------------------
@@ -700,11 +701,11 @@ def mixture_posterior(spark, sf_dir):
 
 @query()
 def model_diagnostics(spark, sf_dir):
-    return latent.diagnostics(_features(spark, sf_dir), INPUTS[:3], rounds=15).drop("panel")
+    return latent.diagnostics(_features(spark, sf_dir), INPUTS[:3]).drop("panel")
 
 
 def _draws(f):
-    return written(latent.gibbs_draws(f, INPUTS[:2], rounds=60, burn=20), "draws")
+    return written(latent.gibbs_draws(f, INPUTS[:2]), "draws")
 
 
 @query()
@@ -715,29 +716,29 @@ def gibbs_convergence(spark, sf_dir):
 @query()
 def gibbs_posterior(spark, sf_dir):
     f = _features(spark, sf_dir, often=True)
-    out = latent.gibbs_posterior(f, INPUTS[:2], _draws(f), most=20)
+    out = latent.gibbs_posterior(f, INPUTS[:2], _draws(f))
     return _five(out, ["date", "total_entropy", "aleatoric", "epistemic"])
 
 
-def _network(spark, sf_dir, kind, members):
+def _network(spark, sf_dir, kind):
     f = _features(spark, sf_dir, often=True)
-    out = neural.network_posterior(f.join(targets.soft_targets(f), ["panel", "date"]), INPUTS, kind, members=members)
+    out = neural.network_posterior(f.join(targets.soft_targets(f), ["panel", "date"]), INPUTS, kind)
     return _five(out, ["date", "total_entropy", "aleatoric", "epistemic"])
 
 
 @query()
 def deep_ensemble(spark, sf_dir):
-    return _network(spark, sf_dir, "deep", 5)
+    return _network(spark, sf_dir, "deep")
 
 
 @query()
 def dropout_network(spark, sf_dir):
-    return _network(spark, sf_dir, "dropout", 2)
+    return _network(spark, sf_dir, "dropout")
 
 
 @query()
 def variational_network(spark, sf_dir):
-    return _network(spark, sf_dir, "variational", 1)
+    return _network(spark, sf_dir, "variational")
 
 
 def _embedded(spark, sf_dir, **how):
@@ -775,7 +776,7 @@ def changepoint_segments(spark, sf_dir):
 def online_scores(spark, sf_dir):
     bars = market.hourly_bars(market.table(spark, sf_dir, "events"))
     rows = bars.select(F.col("symbol").alias("series"), F.col("hour").alias("at"), F.log(F.col("close") / F.col("open")).alias("x"))
-    return online.score_batch(rows, particles=200).withColumn("at", F.date_format("at", "yyyy-MM-dd HH"))
+    return online.score_batch(rows).withColumn("at", F.date_format("at", "yyyy-MM-dd HH"))
 
 
 # --- text forms ------------------------------------------------------------------------------------------------------
@@ -783,7 +784,7 @@ def online_scores(spark, sf_dir):
 
 def _changes(f: DataFrame) -> DataFrame:
     rows = f.filter("nifty_ret_1d is not null").select(F.col("panel").alias("series"), F.col("date").alias("at"), (0.02 * F.col("nifty_ret_1d")).alias("x"))
-    return online.score_batch(rows, particles=100).select(F.col("series").alias("panel"), F.to_date("at").alias("date"), F.col("cp_short").alias("changepoint"))
+    return online.score_batch(rows).select(F.col("series").alias("panel"), F.to_date("at").alias("date"), F.col("cp_short").alias("changepoint"))
 
 
 @query()
@@ -814,5 +815,5 @@ def narratives(spark, sf_dir):
 
 @query(with_(MC, recursive=True) + "SELECT round(1e6 * avg(r), 3) AS expected_return_amount, round(1e6 * any_value(a), 3) AS var_95_amount, round(1e6 * avg(r) FILTER (r <= a), 3) AS cvar_95_amount, round(1e6 * any_value(b), 3) AS var_99_amount, round(1e6 * avg(r) FILTER (r <= b), 3) AS cvar_99_amount FROM tot, vq")
 def position_at_risk(spark, sf_dir):
-    amounts = portfolio.position_risk(1e6, simulation.tail_risk(simulation.simulate(spark, START, paths=1000)))
+    amounts = portfolio.position_risk(1e6, simulation.tail_risk(simulation.simulate(spark, START)))
     return amounts.select(*(F.round(c, 3).alias(c) for c in amounts.columns))

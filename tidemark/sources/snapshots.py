@@ -14,9 +14,14 @@ def _line(columns: list[str]) -> Column:
 
 
 def series_hashes(bars: DataFrame, columns: list[str] = BAR_COLUMNS) -> DataFrame:
-    """(symbol, n_rows, sha256 of the symbol's lines in date order). Lines of a day are in text order, so repeated rows count."""
-    lines = bars.select("symbol", _line(columns).alias("line"))
-    return lines.groupBy("symbol").agg(F.count("*").alias("n_rows"), F.sha2(F.array_join(F.sort_array(F.collect_list("line")), "\n").cast("binary"), 256).alias("sha256"))
+    """(symbol, n_rows, sha256 of the hashes of the symbol's days in date order).
+
+    A day's hash is that of its lines in text order, so repeated rows count; a symbol's row holds one hash for each day.
+    """
+    hashed = lambda c, end: F.sha2(F.array_join(c, end).cast("binary"), 256)
+    days = bars.select("symbol", "date", _line(columns).alias("line")).groupBy("symbol", "date").agg(F.count("*").alias("n"), hashed(F.sort_array(F.collect_list("line")), "\n").alias("h"))
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("date", "h"))), lambda x: x["h"])
+    return days.groupBy("symbol").agg(F.sum("n").alias("n_rows"), hashed(in_order, "").alias("sha256"))
 
 
 def master_hash(hashes: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.market import in_time
 from .kernels import Changepoints, ParticleFilter
 
 OUT = "series string, at timestamp, p0 double, p1 double, p2 double, p3 double, p4 double, cp_zero double, cp_short double, run_length int"
@@ -51,8 +52,8 @@ def score_stream(rows: DataFrame, particles: int = 1000, seed: int = 42) -> Data
 def windowed_bars(events: DataFrame, size: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Bars of event values by type over tumbling windows; events later than the watermark are left out."""
     e = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
-    order = F.struct("at", "event_id", "value")
-    out = e.groupBy(F.window("at", size), "event_type").agg(F.min(order)["value"].alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max(order)["value"].alias("close"), F.count("*").alias("volume"))
+    order = in_time(F.col("at"), F.col("event_id"))
+    out = e.groupBy(F.window("at", size), "event_type").agg(F.min_by("value", order).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", order).alias("close"), F.count("*").alias("volume"))
     return out.select(F.col("event_type").alias("symbol"), F.col("window.start").alias("hour"), "open", "high", "low", "close", "volume")
 
 
