@@ -70,6 +70,15 @@ def disagreement(predictions: DataFrame) -> DataFrame:
     return per.select("panel", "mean_js", "max_js", F.greatest(F.lit(0.0), 1 - F.col("mean_js")).alias("concordance"))
 
 
+def reconcile_estimates(ours: DataFrame, theirs: DataFrame, max_distance: float = 0.15, max_difference: float = 50.0) -> DataFrame:
+    """(model, frobenius, delta_ll, is_reconciled) of two implementations' estimates (model, ll, trans): the distance of their transition
+    matrices and the difference of their log-likelihoods. A model that only one of them has isn't reconciled."""
+    both = ours.select("model", F.col("ll").alias("a"), F.flatten("trans").alias("p")).join(theirs.select("model", F.col("ll").alias("b"), F.flatten("trans").alias("q")), "model", "full")
+    distance = F.sqrt(S.fold(F.zip_with("p", "q", lambda x, y: (x - y) * (x - y)), lambda x: x))
+    rows = both.select("model", distance.alias("frobenius"), F.abs(F.col("a") - F.col("b")).alias("delta_ll"))
+    return rows.withColumn("is_reconciled", F.coalesce((F.col("frobenius") < max_distance) & (F.col("delta_ll") < max_difference), F.lit(False)))
+
+
 def reconcile(online: DataFrame, batch: DataFrame, max_kl: float = 0.25) -> DataFrame:
     """(panel, date, kl, tvd, is_consistent) of the online against the batch probabilities."""
     rows = online.select("panel", "date", F.col("p").alias("a")).join(batch.select("panel", "date", F.col("p").alias("b")), ["panel", "date"])

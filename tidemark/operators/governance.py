@@ -49,31 +49,49 @@ def changepoint_alert(p: Column) -> Column:
 
 
 def commentary(regime: Column, probability: Column, epistemic: Column, cvar: Column, changepoint: Column) -> Column:
-    """The committee's stance for a day."""
-    pct = lambda c, digits: F.concat(F.format_number(c * 100, digits), F.lit("%"))
+    """The committee's stance for a day, in one sentence. Models that disagree come before any regime."""
+    pct = lambda c, digits: F.concat(F.format_string(f"%.{digits}f", c * 100), F.lit(" %"))
     return (
-        F.when(epistemic > 0.4, F.concat(F.lit("Elevated epistemic uncertainty ("), F.format_number(epistemic, 2), F.lit("): models disagree; conservative posture.")))
-        .when(regime == "Risk-Off", F.concat(F.lit("Defensive posture: Risk-Off at "), pct(probability, 1), F.lit("; 21-day 95% CVaR "), pct(cvar, 2), F.lit(".")))
-        .when(regime == "Risk-On", F.concat(F.lit("Constructive stance: Risk-On at "), pct(probability, 1), F.lit("; tail risk muted.")))
-        .otherwise(F.concat(F.lit("Mixed indicators: hedged allocation; changepoint probability "), pct(changepoint, 1), F.lit(".")))
+        F.when(epistemic > 0.4, F.concat(F.lit("Stay cautious: the models part ways (epistemic uncertainty "), F.format_string("%.2f", epistemic), F.lit(").")))
+        .when(regime == "Risk-Off", F.concat(F.lit("Protect capital: Risk-Off holds "), pct(probability, 1), F.lit(" of the probability and the worst twentieth of months loses "), pct(cvar, 2), F.lit(" on average.")))
+        .when(regime == "Risk-On", F.concat(F.lit("Lean in: Risk-On holds "), pct(probability, 1), F.lit(" of the probability.")))
+        .otherwise(F.concat(F.lit("Keep hedges: no side prevails, a break is "), pct(changepoint, 1), F.lit(" likely.")))
     )
 
 
-def narrative(regime: Column, probability: Column, features: dict[str, Column], attributions: dict[str, Column], agreeing: Column, dissenting: Column, changepoint: Column) -> Column:
-    """One paragraph from the day's numbers: drivers whose attribution exceeds 0.05, agreement of the models, changepoints."""
-    pct = lambda c: F.format_number(c * 100, 1)
-    strong = lambda f: F.abs(attributions[f]) > 0.05
-    vix, breadth, trend, vol = (features[f] for f in ("vix_level", "breadth_midcap_ret_21d", "nifty_dist_sma50", "nifty_vol_ewma_21d"))
-    drivers = F.array_compact(F.array(
-        F.when(attributions["vix_level"] > 0.05, F.concat(F.when(vix > 20, F.lit("elevated volatility index (")).otherwise(F.lit("compressed volatility index (")), F.format_number(vix, 1), F.lit(")"))),
-        F.when(strong("breadth_midcap_ret_21d") & (F.abs(breadth) > 0.005), F.concat(F.when(breadth > 0, F.lit("robust midcap participation (")).otherwise(F.lit("deteriorating breadth (")), pct(breadth), F.lit("%)"))),
-        F.when(strong("nifty_dist_sma50") & (F.abs(trend) > 0.01), F.concat(F.when(trend > 0, F.lit("positive trend (")).otherwise(F.lit("trend breakdown (")), pct(trend), F.lit("% from the 50-day mean)"))),
-        F.when(attributions["nifty_vol_ewma_21d"] > 0.05, F.concat(F.lit("realized volatility of "), pct(vol), F.lit("% a year"))),
-    ))
-    why = F.when(F.size(drivers) > 0, F.array_join(drivers, "; ")).otherwise("evidence across momentum and volatility")
-    who = F.when(F.size(agreeing) >= 3, F.concat(F.lit("Broad consensus: "), F.array_join(agreeing, ", "))).when(F.size(agreeing) > 0, F.concat(F.array_join(agreeing, ", "), F.lit(" agree, "), F.array_join(dissenting, ", "), F.lit(" differ"))).otherwise(F.concat(F.lit("High dispersion: "), F.array_join(dissenting, ", "), F.lit(" differ")))
-    notice = F.when(changepoint > 0.30, F.concat(F.lit(" Changepoint probability "), pct(changepoint), F.lit("%."))).otherwise("")
-    return F.concat(regime, F.lit(" at "), pct(probability), F.lit("%: "), why, F.lit(". "), who, F.lit("."), notice)
+def top_drivers(attributions: DataFrame, positive: int = 3, negative: int = 2) -> DataFrame:
+    """(panel, date, side, place, feature, attribution): the largest positive and the most negative attributions of each day."""
+    def ranked(side: str, keep: Column, order: Column, most: int) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("panel", "date").orderBy(order, "feature"))
+        return attributions.filter(keep).select("panel", "date", F.lit(side).alias("side"), place.alias("place"), "feature", "attribution").filter(F.col("place") <= most)
+
+    a = F.col("attribution")
+    return ranked("up", a > 0, a.desc(), positive).unionByName(ranked("down", a < 0, a.asc(), negative))
+
+
+#: Features that a narrative may name: words for a high and a low value, and the value that parts them (fixed values).
+DRIVERS = {
+    "vix_level": ("a tense volatility index", "a calm volatility index", 20.0), "breadth_midcap_ret_21d": ("midcaps in the lead", "midcaps falling behind", 0.0),
+    "nifty_dist_sma50": ("prices above their 50-day mean", "prices below their 50-day mean", 0.0), "nifty_vol_ewma_21d": ("high realized volatility", "low realized volatility", 0.2),
+    "nifty_ret_1d": ("a rising index", "a falling index", 0.0),
+}
+
+
+def narrative(regime: Column, probability: Column, features: dict[str, Column], attributions: dict[str, Column], agreeing: Column, dissenting: Column, changepoint: Column, least: float = 0.05) -> Column:
+    """One paragraph from the day's numbers: up to three drivers for and two against, by the size of attributions beyond `least`;
+    how many models agree; a break if its probability exceeds 0.3."""
+    pct = lambda c: F.concat(F.format_string("%.1f", c * 100), F.lit(" %"))
+    parts = F.array(*(F.struct(attributions[f].alias("a"), F.lit(f).alias("f"), F.when(features[f] > mid, high).otherwise(low).alias("words")) for f, (high, low, mid) in DRIVERS.items() if f in features))
+    words = lambda x: F.array_join(F.transform(x, lambda d: d["words"]), ", ")
+    up = F.slice(F.reverse(F.array_sort(F.filter(parts, lambda d: d["a"] > least))), 1, 3)
+    down = F.slice(F.array_sort(F.filter(parts, lambda d: d["a"] < -least)), 1, 2)
+    why = F.when(F.size(up) > 0, F.concat(F.lit(" It rests on "), words(up), F.lit("."))).otherwise(" No single feature carries it.")
+    why_not = F.when(F.size(down) > 0, F.concat(F.lit(" Against it: "), words(down), F.lit("."))).otherwise("")
+    n = F.size(agreeing) + F.size(dissenting)
+    others = F.when(F.size(dissenting) > 0, F.concat(F.lit("; not "), F.array_join(F.slice(dissenting, 1, 2), ", "))).otherwise("")
+    who = F.concat(F.lit(" "), F.size(agreeing).cast("string"), F.lit(" of "), n.cast("string"), F.lit(" models agree"), others, F.lit("."))
+    notice = F.when(changepoint > 0.30, F.concat(F.lit(" A break is "), pct(changepoint), F.lit(" likely."))).otherwise("")
+    return F.concat(regime, F.lit(" at "), pct(probability), F.lit("."), why, why_not, who, notice)
 
 
 def ablation(rows: DataFrame, score, features: list[str], baseline: dict[str, float]) -> DataFrame:
@@ -85,39 +103,69 @@ def ablation(rows: DataFrame, score, features: list[str], baseline: dict[str, fl
     return out.select("panel", "date", "x.feature", F.when(F.col("total") > 0, F.col("x.d") / F.col("total")).otherwise(0.0).alias("attribution"))
 
 
-#: Wordings that claim a dominant regime, and context words (fixed values).
-CLAIM = r"(?i)(?:dominant|current|called?|calling)\s+regime\s+(?:is\s+)?"
-SET_SIZE = r"(?i)conformal(?:\s+prediction)?\s+set\s+(?:is\s+of\s+size\s+|of\s+size\s+|size\s+(?:is\s+)?|contains\s+)(\d+)"
-STALE = r"\b0\.0003\b|\b0\.0014\b|\b0\.0011\b"
+#: Figures of earlier reports that must not be quoted any more (fixed values).
+SUPERSEDED = ("0.0003", "0.0014", "0.0011")
+#: Characters around a percentage in which what it is about is looked for.
+NEAR = 50
+_NAMES = "|".join(S.REGIMES)
+#: The word regime and, within the sentence, the name that is claimed for it; the size of a prediction set.
+_CLAIM = rf"(?i)\bregime\b(?:[^.%\n]{{0,24}}?)\b({_NAMES})\b"
+_SET = r"(?i)\b(?:conformal|prediction)\b[^.\n]{0,20}?\bset\b[^.\n0-9]{0,24}([0-9]+)"
+_PERCENT = r"[0-9]+(?:\.[0-9]+)?\s*%"
+
+
+def percentages(text: Column) -> Column:
+    """Every percentage of a text, in order: (value, before, after), with the NEAR characters on either side of it."""
+    pieces, matches = F.split(text, _PERCENT, -1), F.regexp_extract_all(text, F.lit(_PERCENT), F.lit(0))
+
+    def located(x: Column) -> Column:
+        lengths = F.zip_with(F.slice(x["pieces"], F.lit(1), F.size(x["matches"])), x["matches"], lambda a, b: F.length(a) + F.length(b))
+        ends = F.transform(lengths, lambda _, i: F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0), lambda a, v: a + v))
+
+        def one(end: Column, i: Column) -> Column:
+            m = F.get(x["matches"], i)
+            start = end - F.length(m)
+            first = F.greatest(start - NEAR, F.lit(0))
+            return F.struct(F.regexp_extract(m, "[0-9.]+", 0).cast("double").alias("value"), F.substring(text, first + 1, start - first).alias("before"), F.substring(text, end + 1, F.lit(NEAR)).alias("after"))
+
+        return F.transform(ends, one)
+
+    return S.let(F.struct(pieces.alias("pieces"), matches.alias("matches")), located)
+
+
+def subject(x: Column) -> Column:
+    """What a percentage is about: the name or `changepoint` right after it, else the last one before it, else the first after it."""
+    word = f"(?:{_NAMES}|change-?points?|bocpd|transition prob)"
+    known = lambda c: F.when(F.lower(c).rlike("^(?:change|bocpd|transition)"), "changepoint").otherwise(F.lower(c))
+    at_once = F.regexp_extract(x["after"], rf"(?i)^\s*(?:(?:for|in|of|on|to|probability of|chance of)\s+)?({word})", 1)
+    last = F.regexp_extract(x["before"], rf"(?is)^.*({word})", 1)
+    first = F.regexp_extract(x["after"], rf"(?i)({word})", 1)
+    return known(F.coalesce(*(F.nullif(c, F.lit("")) for c in (at_once, last, first))))
 
 
-def validate_responses(responses: DataFrame, tolerance_pp: float = 2.5) -> DataFrame:
+def validate_responses(responses: DataFrame, tolerance_pp: float = 2.5, superseded: tuple[str, ...] = SUPERSEDED) -> DataFrame:
     """(id, violations, is_trusted) of texts against their evidence: (id, text, regime, p, set_size, changepoint), nulls for what isn't known.
 
-    Checked are stale figures, the dominant regime, percentages within 50 characters of a regime's name against its
-    probability, the prediction set's size, and changepoint probabilities.
+    Checked are superseded figures, every claim of a regime, every percentage against the probability of what it is about
+    (see subject(); percentages about nothing known aren't claims), and the size of a prediction set. Each kind of violation counts once a text.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
-    claims = F.regexp_extract_all(t, F.lit(r"(?s)(.{0,50}?\d+\.?\d*\s*%.{0,50})"), F.lit(1))
-    value = lambda c: F.regexp_extract(c, r"(\d+\.?\d*)\s*%", 1).cast("double")
+    rows = responses.withColumn("_said", F.transform(percentages(t), lambda x: F.struct(x["value"].alias("value"), subject(x).alias("of"))))
+    claimed = F.transform(F.regexp_extract_all(t, F.lit(_CLAIM), F.lit(1)), F.lower)
+    off = lambda name, known: F.exists("_said", lambda x: (x["of"] == name) & (known.isNull() | (F.abs(x["value"] - 100 * known) > tolerance_pp)))
     wrong = []
     for k, name in enumerate(S.REGIMES):
-        said = t.rlike(CLAIM + name)
+        said = F.array_contains(claimed, name.lower())
         wrong.append(F.when(said & F.col("regime").isNull(), f"claims regime {name} without evidence").when(said & (F.col("regime") != name), f"claims regime {name} against the evidence"))
-        off = _off(claims, value, k, name, tolerance_pp)
-        wrong.append(F.when(off, f"probability of {name} differs from the evidence"))
-    size = F.regexp_extract(t, SET_SIZE, 1)
-    changepoint = F.exists(claims, lambda c: F.lower(c).rlike("changepoint|bocpd|transition prob") & (F.col("changepoint").isNull() | (F.abs(value(c) - 100 * F.col("changepoint")) > tolerance_pp)))
+        wrong.append(F.when(off(name.lower(), F.get("p", F.lit(k))), f"probability of {name} differs from the evidence"))
+    size = F.regexp_extract(t, _SET, 1)
+    old = "|".join(f.replace(".", r"\.") for f in superseded)
     wrong += [
-        F.when(t.rlike(STALE), "uses a superseded figure"),
-        F.when((size != "") & F.col("set_size").isNull(), "claims a prediction set without evidence").when((size != "") & (size.cast("int") != F.col("set_size")), "claims another set size than the evidence"),
-        F.when(changepoint, "changepoint probability differs from the evidence"),
+        F.when(t.rlike(rf"(?<![0-9.])(?:{old})(?![0-9])"), "uses a superseded figure") if superseded else F.lit(None).cast("string"),
+        F.when((size != "") & F.col("set_size").isNull(), "claims a prediction set without evidence").when((size != "") & (F.nullif(size, F.lit("")).cast("int") != F.col("set_size")), "claims another set size than the evidence"),
+        F.when(off("changepoint", F.col("changepoint")), "changepoint probability differs from the evidence"),
     ]
-    return responses.select("id", F.array_compact(F.array(*wrong)).alias("violations")).withColumn("is_trusted", F.size("violations") == 0)
-
-
-def _off(claims: Column, value, k: int, name: str, tolerance_pp: float) -> Column:
-    return F.exists(claims, lambda c: F.lower(c).contains(name.lower()) & (F.col("p").isNull() | (F.abs(value(c) - 100 * F.get("p", F.lit(k))) > tolerance_pp)))
+    return rows.select("id", F.array_compact(F.array(*wrong)).alias("violations")).withColumn("is_trusted", F.size("violations") == 0)
 
 
 def evidence_bundle(state: DataFrame, features: DataFrame, changepoints: DataFrame) -> DataFrame:
@@ -131,3 +179,48 @@ def evidence_bundle(state: DataFrame, features: DataFrame, changepoints: DataFra
         F.struct(F.col("_c").alias("probability"), changepoint_alert(F.col("_c")).alias("alert"), status(F.col("_c")).alias("status")).alias("changepoint_signal"),
     ))
     return rows.select("panel", "as_of", bundle.alias("bundle")).withColumn("bundle_hash", F.substring(F.sha2("bundle", 256), 1, 16))
+
+
+def audit_records(state: DataFrame, text: Column) -> DataFrame:
+    """state (of regime_state) with a narrative and record_id, a hash of all that the record says."""
+    parts = ("panel", "as_of", "date", "regime", "status")
+    whole = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in parts), F.when(F.col("probability").isNotNull(), F.format_string("%.6f", "probability")).otherwise(""), F.coalesce(F.col("set_size").cast("string"), F.lit("")), F.col("narrative"))
+    return state.withColumn("narrative", text).withColumn("record_id", F.substring(F.sha2(whole.cast("binary"), 256), 1, 16))
+
+
+def analogs(predictions: DataFrame, forward: DataFrame, most: int = 5) -> DataFrame:
+    """(panel, regime, place, date, probability, fwd_ret): of each regime the days that it was most probable on, and what came after."""
+    top = S.argmax(F.col("p"))
+    rows = predictions.select("panel", "date", S.label(top).alias("regime"), F.array_max("p").alias("probability"))
+    place = F.row_number().over(Window.partitionBy("panel", "regime").orderBy(F.col("probability").desc(), "date"))
+    return rows.withColumn("place", place).filter(F.col("place") <= most).join(forward.select("panel", "date", "fwd_ret"), ["panel", "date"], "left").select("panel", "regime", "place", "date", "probability", "fwd_ret")
+
+
+def exact_lookup(probes: DataFrame, facts: DataFrame, values: list[str], at: str = "as_of") -> DataFrame:
+    """probes (panel, as_of) with the values of the very date; status UNAVAILABLE and nulls if there are none. No date stands in for another."""
+    known = facts.select(F.col("panel").alias("_p"), F.col("date").alias("_d"), *values)
+    rows = probes.join(known, (F.col("panel") == F.col("_p")) & (F.col(at) == F.col("_d")), "left")
+    return rows.select(*probes.columns, *values, F.when(F.col("_d").isNull(), "UNAVAILABLE").otherwise("VERIFIED").alias("status"))
+
+
+#: Tilts that the committee's memo gives for each regime (fixed values).
+TILTS = {"Risk-On": "cyclicals and midcaps", "Late-Cycle": "quality and energy", "Transitional": "balanced sectors", "Post-Shock": "beaten-down leaders", "Risk-Off": "staples, health care and cash"}
+
+
+def committee_memo(state: DataFrame, tail: DataFrame) -> DataFrame:
+    """(panel, as_of, memo): a page in Markdown for each state: regime, probability, tilt, and the tail risk of the month ahead (one row)."""
+    tilt = F.element_at(F.create_map(*(F.lit(x) for pair in TILTS.items() for x in pair)), F.col("regime"))
+    pct = lambda c: F.format_string("%.1f %%", 100 * F.col(c))
+    lines = [F.concat(F.lit("# Regime memo, "), F.date_format("as_of", "yyyy-MM-dd")), F.lit(""), F.concat(F.lit("- Regime: **"), F.col("regime"), F.lit("** ("), pct("probability"), F.lit(")")), F.concat(F.lit("- Tilt: "), tilt),
+             F.concat(F.lit("- Month ahead: VaR "), pct("var_95"), F.lit(", CVaR "), pct("cvar_95"))]
+    return state.filter("regime is not null").join(F.broadcast(tail)).select("panel", "as_of", F.array_join(F.array(*lines), "\n").alias("memo"))
+
+
+def template_answer(question: Column, state: dict[str, Column]) -> Column:
+    """An answer without a language model: what the question asks of the state, by the words it uses; all of it if none fits."""
+    asks = lambda words: F.lower(question).rlike(words)
+    pct = lambda c: F.format_string("%.1f %%", 100 * c)
+    regime = F.concat(F.lit("The regime is "), state["regime"], F.lit(" at "), pct(state["probability"]), F.lit("."))
+    sets = F.concat(F.lit("The prediction set has "), state["set_size"].cast("string"), F.lit(" members."))
+    risk = F.concat(F.lit("The month's CVaR is "), pct(state["cvar"]), F.lit("."))
+    return F.when(asks("cvar|tail|risk of loss|drawdown"), risk).when(asks("set|uncertain|conformal"), sets).when(asks("regime|state|outlook"), regime).otherwise(F.concat_ws(" ", regime, sets, risk))

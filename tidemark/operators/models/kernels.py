@@ -265,6 +265,21 @@ def rsvar_proba(x: np.ndarray, m: dict) -> np.ndarray:
     return out
 
 
+def gibbs_regression(x: np.ndarray, y: np.ndarray, seed: int, scale: np.ndarray | None = None, rounds: int = 1000, burn: int = 200) -> np.ndarray:
+    """Draws of the coefficients of y on the columns of x; scale: deviations of their normal priors around 0 (infinite: flat)."""
+    rng = np.random.RandomState(seed)
+    n, d = x.shape
+    precision = np.zeros((d, d)) if scale is None else np.diag(1 / scale**2)
+    xx, xy, var, out = x.T @ x, x.T @ y, float(y.var()) + 1e-12, []
+    for it in range(rounds):
+        cov = np.linalg.inv(xx / var + precision + 1e-12 * np.eye(d))
+        b = rng.multivariate_normal(cov @ (xy / var), cov)
+        var = float(((y - x @ b) ** 2).sum() / 2 + 1e-12) / rng.gamma(n / 2)
+        if it >= burn:
+            out.append(b)
+    return np.array(out)
+
+
 def gibbs_mixture(x: np.ndarray, seed: int, k: int = 5, rounds: int = 600, burn: int = 200) -> dict:
     """Mixture of normal distributions on one feature, by Gibbs sampling: draws of weights, means and deviations, means ascending."""
     rng = np.random.RandomState(seed)

@@ -14,30 +14,39 @@ from . import kernels as K
 PROBA = "panel string, date date, model string, p array<double>"
 
 
-def _matrix(pdf: pd.DataFrame, columns: list[str], scale: bool) -> np.ndarray:
+def _known(pdf: pd.DataFrame, until: str | None) -> np.ndarray:
+    """Which rows a model may learn from: those before `until`, all if it is None."""
+    return np.ones(len(pdf), bool) if until is None else (pd.to_datetime(pdf["date"]) < pd.Timestamp(until)).to_numpy()
+
+
+def _matrix(pdf: pd.DataFrame, columns: list[str], scale: bool, until: str | None = None) -> np.ndarray:
+    """The columns, if asked for scaled by means and deviations of the rows before `until`."""
     x = pdf[columns].to_numpy(float)
-    return (x - x.mean(0)) / (x.std(0) + 1e-8) if scale else x
+    known = x[_known(pdf, until)]
+    return (x - known.mean(0)) / (known.std(0) + 1e-8) if scale else x
 
 
 def _rows(pdf: pd.DataFrame, model: str, p: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"panel": pdf["panel"].to_numpy(), "date": pdf["date"].to_numpy(), "model": model, "p": list(p)})
 
 
-def posterior(features: DataFrame, columns: list[str], model: str = "hmm", causal: bool = True, rounds: int = 40) -> DataFrame:
+def posterior(features: DataFrame, columns: list[str], model: str = "hmm", causal: bool = True, rounds: int = 60, until: str | None = None) -> DataFrame:
     """(panel, date, model, p) of a fitted `hmm`, `rsvar` or `mixture` (the last on the first column alone). Rows with a null are left out.
 
-    causal: the filter, which later rows can't change given the fit; otherwise the smoother.
+    causal: the filter, which later rows can't change given the fit; otherwise the smoother. Scaling and fit use the rows before
+    `until` alone (all by default), so that with it no later row changes anything before it.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        x = _matrix(pdf, columns, model != "mixture")
+        x = _matrix(pdf, columns, model != "mixture", until)
+        known = x[_known(pdf, until)]
         if model == "hmm":
-            p = K.hmm_proba(x, K.fit_hmm(x, rounds=rounds), causal)
+            p = K.hmm_proba(x, K.fit_hmm(known, rounds=rounds), causal)
         elif model == "rsvar":
-            p = K.rsvar_proba(x, K.fit_rsvar(x, rounds=rounds))
+            p = K.rsvar_proba(x, K.fit_rsvar(known, rounds=rounds))
         else:
-            d = K.gibbs_mixture(x[:, 0], seed=42, rounds=5 * rounds, burn=2 * rounds)
+            d = K.gibbs_mixture(known[:, 0], seed=42, rounds=5 * rounds, burn=2 * rounds)
             w, m, s = (d[n].mean(0) for n in ("weights", "means", "sds"))
             logs = np.log(w) - np.log(s) - 0.5 * ((x[:, :1] - m) / s) ** 2
             e = np.exp(logs - logs.max(1, keepdims=True))
@@ -48,7 +57,7 @@ def posterior(features: DataFrame, columns: list[str], model: str = "hmm", causa
     return features.select("panel", "date", *columns).na.drop().groupBy("panel").applyInPandas(run, PROBA)
 
 
-def diagnostics(features: DataFrame, columns: list[str], rounds: int = 40) -> DataFrame:
+def diagnostics(features: DataFrame, columns: list[str], rounds: int = 60) -> DataFrame:
     """(panel, model, metric, value): likelihoods, information criteria and transition matrices of the fitted models."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -64,13 +73,16 @@ def diagnostics(features: DataFrame, columns: list[str], rounds: int = 40) -> Da
     return features.select("panel", "date", *columns).na.drop().groupBy("panel").applyInPandas(run, "panel string, model string, metric string, value double")
 
 
-def gibbs_draws(features: DataFrame, columns: list[str], chains: int = 2, rounds: int = 400, burn: int = 150, seed: int = 42) -> DataFrame:
-    """(panel, chain, draw, state, mean, cov, trans): posterior draws as rows; chains are groups of their own, so they run in parallel."""
+def gibbs_draws(features: DataFrame, columns: list[str], chains: int = 2, rounds: int = 400, burn: int = 150, seed: int = 42, until: str | None = None) -> DataFrame:
+    """(panel, chain, draw, state, mean, cov, trans): posterior draws as rows; chains are groups of their own, so they run in parallel.
+
+    Only rows before `until` are used (all by default).
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
         panel, chain = pdf["panel"].iloc[0], int(pdf["chain"].iloc[0])
-        d = K.gibbs_hmm(_matrix(pdf, columns, True), seed + chain, rounds=rounds, burn=burn)
+        d = K.gibbs_hmm(_matrix(pdf, columns, True, until)[_known(pdf, until)], seed + chain, rounds=rounds, burn=burn)
         rows = [(panel, chain, i, s, list(d["means"][i, s]), [list(r) for r in d["covs"][i, s]], list(d["trans"][i, s])) for i in range(len(d["means"])) for s in range(d["means"].shape[1])]
         return pd.DataFrame(rows, columns=["panel", "chain", "draw", "state", "mean", "cov", "trans"])
 
@@ -89,13 +101,16 @@ def convergence(draws: DataFrame) -> DataFrame:
     return draws.select("panel", "chain", "draw", F.get("mean", F.lit(0)).alias("x")).groupBy("panel").applyInPandas(run, "panel string, state int, r_hat double, ess double, converged boolean")
 
 
-def gibbs_posterior(features: DataFrame, columns: list[str], draws: DataFrame, most: int = 50) -> DataFrame:
-    """(panel, date, model, p, total_entropy, aleatoric, epistemic): filter averaged over the first draws of chain 0."""
+def gibbs_posterior(features: DataFrame, columns: list[str], draws: DataFrame, most: int = 50, until: str | None = None) -> DataFrame:
+    """(panel, date, model, p, total_entropy, aleatoric, epistemic): filter averaged over the first draws of chain 0.
+
+    `until` must be that of the draws: the columns are scaled as they were for them.
+    """
     some = draws.filter((F.col("chain") == 0) & (F.col("draw") < most))
 
     def run(key: tuple, data: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         data = data.sort_values("date")
-        x, every = _matrix(data, columns, True), []
+        x, every = _matrix(data, columns, True, until), []
         for _, g in d.groupby("draw"):
             g = g.sort_values("state")
             m = {"means": np.array(g["mean"].tolist()), "covs": np.array([[list(r) for r in c] for c in g["cov"]]), "trans": np.array(g["trans"].tolist()), "start": np.full(len(g), 1 / len(g))}
@@ -126,6 +141,52 @@ def mixture_draws(features: DataFrame, column: str, draws: int = 100, seed: int
     return data.groupBy("panel", "k").applyInPandas(run, "panel string, model string, draw long, parts array<struct<w:double,m:double,s:double>>")
 
 
+def mixture_chains(features: DataFrame, column: str, chains: int = 2, components: int = 5, rounds: int = 400, burn: int = 150, seed: int = 42) -> DataFrame:
+    """(panel, chain, draw, mean) of chains of the mixture's sampler, for convergence(); mean holds one component's mean, in ascending order."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        chain = int(pdf["chain"].iloc[0])
+        d = K.gibbs_mixture(pdf.sort_values("date")[column].to_numpy(float), seed + chain, k=components, rounds=rounds, burn=burn)["means"]
+        draw, part = np.indices(d.shape)
+        return pd.DataFrame({"panel": pdf["panel"].iloc[0], "chain": chain, "draw": draw.ravel(), "state": part.ravel(), "mean": [[v] for v in d.ravel()]})
+
+    data = features.select("panel", "date", column).na.drop().withColumn("chain", F.explode(F.array(*(F.lit(c) for c in range(chains)))))
+    return data.groupBy("panel", "chain").applyInPandas(run, "panel string, chain int, draw int, state int, mean array<double>")
+
+
+def marginal_likelihood(features: DataFrame, columns: list[str], draws: DataFrame, most: int = 50) -> DataFrame:
+    """(panel, draw, log_likelihood): of the whole series under each of the first draws of chain 0, states summed out by the forward recursion."""
+    some = draws.filter((F.col("chain") == 0) & (F.col("draw") < most))
+
+    def run(key: tuple, data: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        x, out = _matrix(data.sort_values("date"), columns, True) if len(data) else None, []
+        for draw, g in d.groupby("draw") if x is not None else []:
+            g = g.sort_values("state")
+            covs = [np.array([list(r) for r in c]) for c in g["cov"]]
+            log_b = np.stack([K.gaussian_log(x, np.array(list(m)), c) for m, c in zip(g["mean"], covs, strict=True)], axis=1)
+            out.append((key[0], int(draw), K.forward(log_b, np.array(g["trans"].tolist()), np.full(len(g), 1 / len(g)))[2]))
+        return pd.DataFrame(out, columns=["panel", "draw", "log_likelihood"])
+
+    data = features.select("panel", "date", *columns).na.drop()
+    return data.groupBy("panel").cogroup(some.groupBy("panel")).applyInPandas(run, "panel string, draw int, log_likelihood double")
+
+
+def bayes_regression(rows: DataFrame, columns: list[str], target: str, prior_scale: float | None = None, chains: int = 2, rounds: int = 1000, burn: int = 200, seed: int = 42) -> DataFrame:
+    """(panel, term, mean, sd, low, high, r_hat) of a normal linear regression by Gibbs sampling: the posterior's moments, its 2.5 and
+    97.5 % points and the chains' agreement. The prior is flat, or normal with `prior_scale` deviations of the target for each deviation of a column."""
+    terms = ["intercept", *columns]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        y, x = pdf[target].to_numpy(float), np.column_stack([np.ones(len(pdf)), pdf[columns].to_numpy(float)])
+        scale = None if prior_scale is None else np.r_[np.inf, prior_scale * y.std() / np.maximum(x[:, 1:].std(0), 1e-12)]
+        b = np.stack([K.gibbs_regression(x, y, seed + c, scale, rounds, burn) for c in range(chains)])
+        flat = b.reshape(-1, len(terms))
+        return pd.DataFrame({"panel": pdf["panel"].iloc[0], "term": terms, "mean": flat.mean(0), "sd": flat.std(0, ddof=1), "low": np.quantile(flat, 0.025, axis=0), "high": np.quantile(flat, 0.975, axis=0), "r_hat": [K.gelman_rubin(b[:, :, k]) for k in range(len(terms))]})
+
+    return rows.select("panel", "date", target, *columns).na.drop().groupBy("panel").applyInPandas(run, "panel string, term string, mean double, sd double, low double, high double, r_hat double")
+
+
 def mixture_log_likelihood(features: DataFrame, column: str, draws: DataFrame) -> DataFrame:
     """(panel, model, obs, draw, ll) of each row under each posterior draw of mixture_draws(); obs numbers a panel's dates."""
     rows = features.select("panel", "date", column).na.drop()

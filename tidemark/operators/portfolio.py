@@ -53,8 +53,12 @@ def held_weights(targets: DataFrame, band: float = 0.05, cap: float = 0.15) -> D
 
 
 def allocate(predictions: DataFrame) -> DataFrame:
-    """(panel, date, conviction, target_weight, equity_weight, cash_weight) from (panel, date, p)."""
-    rows = predictions.select("panel", "date", "p", conviction(F.col("p")).alias("conviction"))
+    """(panel, date, conviction, target_weight, equity_weight, cash_weight) from (panel, date, p).
+
+    Columns set_size and epistemic, where predictions have them, lower the conviction.
+    """
+    known = {c: F.col(c) for c in ("set_size", "epistemic") if c in predictions.columns}
+    rows = predictions.select("panel", "date", "p", conviction(F.col("p"), **known).alias("conviction"))
     rows = rows.select("panel", "date", "conviction", target_weight(F.col("p"), F.col("conviction")).alias("target_weight"))
     return held_weights(rows).withColumn("cash_weight", 1 - F.col("equity_weight"))
 
@@ -132,6 +136,13 @@ def crisis_episodes(paths: DataFrame, episodes: DataFrame) -> DataFrame:
     return in_episodes(paths, episodes).groupBy("panel", "episode").agg(F.count("*").alias("days"), s.alias("strategy_total_return"), b.alias("benchmark_total_return"), (s - b).alias("alpha_protection"), F.min("drawdown").alias("strategy_max_dd"))
 
 
+def target_table(weights: DataFrame, value: float) -> DataFrame:
+    """(panel, date, sleeve, weight, amount): what the newest weights make of a portfolio's value."""
+    newest = weights.groupBy("panel").agg(F.max("date").alias("date"), F.max_by("equity_weight", "date").alias("w"))
+    parts = F.array(F.struct(F.lit("equity").alias("sleeve"), F.col("w").alias("weight")), F.struct(F.lit("cash").alias("sleeve"), (1 - F.col("w")).alias("weight")))
+    return newest.select("panel", "date", F.explode(parts).alias("x")).select("panel", "date", "x.*", (value * F.col("x.weight")).alias("amount"))
+
+
 def position_risk(value: float, tail: DataFrame) -> DataFrame:
     """Amounts at risk of a position from a tail-risk row."""
     return tail.select(*((F.lit(value) * F.col(c)).alias(f"{c}_amount") for c in ("expected_return", "var_95", "cvar_95", "var_99", "cvar_99")))

@@ -27,14 +27,15 @@ def quality_report(bars: DataFrame, value: str = "close", arrival: str | None =
     FAILED: an impossible value, or dates not strictly rising; WARNING: over 5 % missing or over 20 gaps.
     """
     arrived = Window.partitionBy("symbol").orderBy(arrival or "date")
-    dated = Window.partitionBy("symbol").orderBy("date")
+    dated = Window.partitionBy("symbol").orderBy("date", *([arrival] if arrival else []))
+    so_far = dated.rowsBetween(Window.unboundedPreceding, 0)
     v = F.col(value)
     low, high = _by_kind(F.col("symbol"), [F.lit(b[1]) for b in BOUNDS], F.lit(None)), _by_kind(F.col("symbol"), [F.lit(b[2]) for b in BOUNDS], F.lit(None))
     jump = _by_kind(F.col("symbol"), [F.lit(b[3]) for b in BOUNDS], F.lit(EQUITY_JUMP))
     rows = bars.withColumn("_rising", F.col("date") > F.lag("date").over(arrived)).withColumn("_gap", F.datediff("date", F.lag("date").over(dated)) > GAP_DAYS)
     rows = rows.withColumn("_before", F.last(value, ignorenulls=True).over(dated.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("_same", F.coalesce(v == F.lag(value).over(dated), F.lit(False)).cast("int")).withColumn("_island", F.sum(1 - F.col("_same")).over(dated))
-    rows = rows.withColumn("_streak", F.sum("_same").over(Window.partitionBy("symbol", "_island").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_same", F.coalesce(v == F.lag(value).over(dated), F.lit(False)).cast("int")).withColumn("_island", F.sum(1 - F.col("_same")).over(so_far))
+    rows = rows.withColumn("_streak", F.sum("_same").over(Window.partitionBy("symbol", "_island").orderBy("date", *([arrival] if arrival else [])).rowsBetween(Window.unboundedPreceding, 0)))
     bad = F.coalesce(v < 0, F.lit(False)).cast("int") + F.coalesce((v < low) | (v > high), F.lit(False)).cast("int") + F.coalesce((v > 0) & (F.col("_before") > 0) & (F.abs(F.log(v / F.col("_before"))) > jump), F.lit(False)).cast("int")
     out = rows.groupBy("symbol").agg(
         F.count("*").alias("n_rows"), (F.count("*") - F.count_distinct("date")).alias("n_duplicates"), F.coalesce(F.bool_and("_rising"), F.lit(True)).alias("is_monotonic"),

@@ -152,6 +152,17 @@ def waic(log_likelihood: DataFrame) -> DataFrame:
     )
 
 
+def ic_ranking(criteria: DataFrame, value: str = "elpd_loo") -> DataFrame:
+    """criteria (panel, model, ...) with delta, the distance to the best expected log predictive density, and rank.
+
+    Models with equal values share the mean of their ranks, cut to a whole number.
+    """
+    panel = Window.partitionBy("panel")
+    place = F.rank().over(panel.orderBy(F.col(value).desc()))
+    ties = F.count("*").over(Window.partitionBy("panel", value))
+    return criteria.withColumn("delta", F.max(value).over(panel) - F.col(value)).withColumn("rank", F.floor(place + (ties - 1) / 2).cast("int"))
+
+
 def fit_temperature(predictions: DataFrame, truth: DataFrame, low: float = 0.05, high: float = 10.0, grid: int = 12, rounds: int = 5) -> DataFrame:
     """(panel, model, temperature, nll): the temperature with the least log loss.
 

@@ -43,7 +43,9 @@ def correlation(a: str, b: str, w) -> Column:
 
 
 def window_features(panel: DataFrame) -> DataFrame:
-    """(panel, date, ...) with all features that fixed frames express."""
+    """(panel, date, ...) with all features that fixed frames express. A panel without a benchmark is an error while planning."""
+    if "bench" not in panel.columns:
+        raise ValueError("the panel lacks bench")
     p = panel.withColumn("nifty_ret_1d", log_return("bench", 1))
     hl = F.pow(F.log(F.greatest("bench_high", F.lit(1e-6)) / F.greatest("bench_low", F.lit(1e-6))), 2)
     ret21 = log_return("bench", 21)

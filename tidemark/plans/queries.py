@@ -389,11 +389,6 @@ def bma_weights(spark, sf_dir):
     return ensemble.bma_weights(ensemble.admitted(registry))
 
 
-@query()
-def stacking_weights(spark, sf_dir):
-    return ensemble.stacking_weights(*_setup(spark, sf_dir))
-
-
 MIXED = "m(model, weight) AS (VALUES ('soft', 0.5), ('bucket', 0.3), ('trend', 0.2)), mixk AS (SELECT date, k, sum(weight * p) / sum(weight) AS p FROM preds JOIN m USING (model) GROUP BY date, k)"
 WEIGHTS = [("soft", 0.5), ("bucket", 0.3), ("trend", 0.2)]
 
@@ -517,15 +512,6 @@ def entropy_bands(spark, sf_dir):
     return soft.select("date", F.array_max("p").alias("probability"), governance.entropy_band(S.entropy(F.col("p"))).alias("band"))
 
 
-@query()
-def committee_brief(spark, sf_dir):
-    m = _models(_features(spark, sf_dir, often=True))
-    u = ensemble.uncertainty(m)
-    rows = m.filter("model = 'soft'").join(u, ["panel", "date"])
-    text = governance.commentary(S.label(S.argmax(F.col("p"))), F.array_max("p"), F.col("epistemic"), F.lit(-0.08), F.lit(0.02))
-    return rows.select("date", S.label(S.argmax(F.col("p"))).alias("regime"), text.alias("commentary"))
-
-
 LINEAR = {"nifty_ret_1d": 0.5, "vix_level": -0.3, "nifty_dist_sma50": 0.8, "breadth_midcap_ret_21d": 0.2}
 
 
@@ -581,11 +567,6 @@ def backtest_metrics(spark, sf_dir):
     return portfolio.backtest_metrics(_paths(spark, sf_dir)).select(*METRIC_COLUMNS)
 
 
-@query()
-def deflated_sharpe(spark, sf_dir):
-    return portfolio.deflated_sharpe(portfolio.backtest_metrics(_paths(spark, sf_dir))).drop("panel")
-
-
 @query(with_(*EVAL, ALLOC, PATHS, "tiers AS (SELECT CASE WHEN conviction >= 0.75 THEN 'High' WHEN conviction >= 0.5 THEN 'Medium' ELSE 'Low' END AS tier, * FROM paths)",
              "tt AS (SELECT tier, count(*) AS trading_days, 100 * count(*) / (SELECT count(*) FROM paths) AS pct_of_time, avg(strategy_return) * 252 AS annualized_return, stddev_pop(strategy_return) * sqrt(252) AS annualized_vol, avg(strategy_return - br) * sqrt(252) / (stddev_pop(strategy_return - br) + 1e-8) AS information_ratio FROM tiers GROUP BY tier HAVING count(*) > 10)", recursive=True)
        + rounded("tier trading_days #pct_of_time #annualized_return #annualized_vol #information_ratio", "tt"))
@@ -659,18 +640,6 @@ def scenario_parse(spark, sf_dir):
     return simulation.parse_scenarios(texts).filter("feature is not null").select("id", "feature", "shock")
 
 
-@query()
-def scenario_stress(spark, sf_dir):
-    texts = spark.createDataFrame(SCENARIOS, "id long, text string")
-    return simulation.simulate_scenarios(simulation.shock_vectors(simulation.parse_scenarios(texts)), START)
-
-
-@query("SELECT conv_id * 1000 + turn AS id, CAST(0 AS BIGINT) AS n_violations, TRUE AS is_trusted FROM conversations")
-def response_claims(spark, sf_dir):
-    rows = market.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", F.lit("Risk-On").alias("regime"), F.array(*map(F.lit, START)).alias("p"), F.lit(2).alias("set_size"), F.lit(0.1).alias("changepoint"))
-    return governance.validate_responses(rows).select("id", F.size("violations").alias("n_violations"), "is_trusted")
-
-
 @query("SELECT conv_id, count(*) AS n_turns, CAST(sum(length(text)) AS BIGINT) AS chars, substr(sha256(string_agg(sha256(coalesce(text, '')), '' ORDER BY turn, sha256(coalesce(text, '')))), 1, 16) AS response_hash FROM conversations GROUP BY conv_id")
 def interaction_log(spark, sf_dir):
     """Of a conversation, a row holds the hashes of its turns, not their texts."""
@@ -763,8 +732,15 @@ def embedding_separation(spark, sf_dir):
 
 @query()
 def information_criteria(spark, sf_dir):
-    ll = written(latent.mixture_log_likelihood(_features(spark, sf_dir), "nifty_ret_1d"), "ll")
-    return scoring.waic(ll).join(latent.psis_loo(ll), ["panel", "model"]).drop("panel")
+    f = _features(spark, sf_dir, often=True)
+    draws = written(latent.mixture_draws(f, "nifty_ret_1d"), "draws")
+    ll = written(latent.mixture_log_likelihood(f, "nifty_ret_1d", draws), "ll")
+    return scoring.ic_ranking(scoring.waic(ll).join(latent.psis_loo(ll), ["panel", "model"])).drop("panel")
+
+
+@query()
+def mixture_convergence(spark, sf_dir):
+    return latent.convergence(latent.mixture_chains(_features(spark, sf_dir), "nifty_ret_1d")).drop("panel")
 
 
 @query()
@@ -784,7 +760,7 @@ def online_scores(spark, sf_dir):
 
 def _changes(f: DataFrame) -> DataFrame:
     rows = f.filter("nifty_ret_1d is not null").select(F.col("panel").alias("series"), F.col("date").alias("at"), (0.02 * F.col("nifty_ret_1d")).alias("x"))
-    return online.score_batch(rows).select(F.col("series").alias("panel"), F.to_date("at").alias("date"), F.col("cp_short").alias("changepoint"))
+    return online.score_batch(rows).select(F.col("series").alias("panel"), F.to_date("at").alias("date"), F.col("cp_short").alias("changepoint"), "cp_zero")
 
 
 @query()

@@ -73,24 +73,6 @@ class Changepoints:
         return float(self.runs[0]), float(self.runs[: self.short + 1].sum()), int(np.argmax(self.runs))
 
 
-class Conformal:
-    """Adaptive conformal level; update(p, y) with the outcome y."""
-
-    def __init__(self, alpha: float = 0.1, gamma: float = 0.015):
-        self.alpha, self.gamma, self.level = alpha, gamma, alpha
-
-    def update(self, p: list[float], y: int) -> tuple[list[int], float]:
-        mass, chosen, total = min(max(1 - self.level, 0.10), 0.99), [], 0.0
-        for k in sorted(range(len(p)), key=lambda i: (-p[i], -i)):
-            chosen.append(k)
-            total += p[k]
-            if total >= mass:
-                break
-        error = 0.0 if y in chosen else 1.0
-        self.level = min(max(self.level + self.gamma * (self.alpha - error), 0.01), 0.50)
-        return chosen, error
-
-
 class DirichletCounts:
     """Decayed counts of regimes: a streaming Dirichlet posterior."""
 

@@ -9,13 +9,16 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import simplex as S
+from ..operators.pit import asof_backward
 from ..sources.market import in_time
-from .kernels import Changepoints, ParticleFilter
+from .kernels import Changepoints, DirichletCounts, ParticleFilter
 
 OUT = "series string, at timestamp, p0 double, p1 double, p2 double, p3 double, p4 double, cp_zero double, cp_short double, run_length int"
 NAMES = [f.split()[0] for f in OUT.split(", ")]
@@ -63,6 +66,35 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return e.groupBy(F.session_window("at", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+def enriched(events: DataFrame, static: DataFrame, key: str) -> DataFrame:
+    """events, a stream or a table, with the columns of a static table of their key; events without one keep nulls."""
+    return events.join(static, key, "left")
+
+
+def decayed_counts(predictions: DataFrame, decay: float = 0.99, prior: float = 1.0) -> DataFrame:
+    """(panel, date, p): the mean of a Dirichlet whose counts decay and gain each day's probabilities, one scan a panel."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, counts = pdf.sort_values("date"), DirichletCounts(decay, prior)
+        return pd.DataFrame({"panel": pdf["panel"].to_numpy(), "date": pdf["date"].to_numpy(), "p": [counts.update(np.array(list(p))) for p in pdf["p"]]})
+
+    return predictions.select("panel", "date", "p").groupBy("panel").applyInPandas(run, "panel string, date date, p array<double>")
+
+
+def online_report(rows: DataFrame, batch: DataFrame, alpha: float = 0.1, max_kl: float = 0.25, particles: int = 1000) -> DataFrame:
+    """What a scoring request returns, for every row of (series, at, x): the online filter's probabilities, dominant regime, entropy
+    and prediction set, the changepoint measures, and how far they are from the batch model (panel, date, p) at or before that day."""
+    scored = score_batch(rows, particles).select("series", F.to_date("at").alias("date"), F.array(*(f"p{k}" for k in range(5))).alias("p"), "cp_zero", "cp_short", "run_length")
+    facts = batch.select(F.col("panel").alias("series"), F.col("date").alias("known"), F.col("p").alias("q"))
+    probes = scored.select("series", F.col("date").alias("as_of")).distinct()
+    in_force = asof_backward(probes, facts, "series", "as_of", "known", ["q"])
+    both = scored.join(in_force.withColumnRenamed("as_of", "date"), ["series", "date"])
+    p, q = F.col("p"), F.col("q")
+    kl = S.kl(p, q)
+    return both.select("series", "date", *(F.get(p, F.lit(k)).alias(f"p{k}") for k in range(5)), S.label(S.argmax(p)).alias("regime"), S.entropy(p).alias("entropy"), F.size(S.prediction_set(p, F.lit(1 - alpha))).alias("set_size"),
+                       "cp_zero", "cp_short", "run_length", F.when(q.isNotNull(), kl).alias("kl"), F.when(q.isNotNull(), S.total_variation(p, q)).alias("tvd"), F.coalesce(kl <= max_kl, F.lit(False)).alias("is_consistent"))
+
+
 def run_to_end(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Run a stream over what its source holds and return the rows it emitted."""
     writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
