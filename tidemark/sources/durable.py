@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
@@ -13,17 +14,21 @@ def folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names.
 
     Where it is unset, a folder of this machine serves a session that runs on this machine alone; on a cluster, whose
-    executors couldn't see it, that is an error.
+    executors couldn't see it, that is an error. (A running session's setting can't be changed, so it stays unset.)
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own_folder()
     return found.rstrip("/")
 
 
+@functools.cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tidemark-")
+
+
 def place(spark: SparkSession, name: str) -> str:
     """A new path in that folder."""
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
