@@ -82,6 +82,44 @@ def test_spotsigs_pairs_with_repeated_and_null_ids(spark):
     assert collections.Counter((r.rep_a, r.rep_b) for r in got) == collections.Counter([(5, 5), (5, None), (None, None)])
 
 
+def plain_signatures(text):
+    """Chains that follow anchors, each as (words of the chain, how often it was met before), by plain Python."""
+    common = set(spotsigs.COMMON)
+    words = re.findall("(?:[a-z0-9]|[^\\x00-\\x7f])+", text.lower())
+    out, seen = set(), collections.Counter()
+    for i in range(len(words)):
+        if words[i] in common or not any(w in common for w in words[max(0, i - spotsigs.GAP) : i]):
+            chain = (words[i], *[w for w in words[i + 1 :] if w not in common][: spotsigs.CHAIN])
+            out.add((chain, seen[chain]))
+            seen[chain] += 1
+    return out
+
+
+def test_spotsigs_chains_against_plain_python(rows):
+    texts = [t for _, t in rows[:60]] + [t.replace(" the ", " a ") for _, t in rows[:20]] + ["", "the", "the the the", "one two three four five six seven eight nine ten", "Über die Brücke, the 3 élans!", "a b a b a b a b"]
+    ours, plain = spotsigs.signatures(texts), [plain_signatures(t) for t in texts]
+    assert [len(x) for x in ours] == [len(x) for x in plain]
+    for i in range(0, len(texts), 7):
+        for j in range(len(texts)):
+            a, b = set(ours[i].tolist()), set(ours[j].tolist())
+            assert len(a & b) == len(plain[i] & plain[j])
+
+
+def test_next_documents_of_odd_tables(spark, odd, empty):
+    import pyarrow as pa
+
+    def told(ids, texts, after):
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts), pa.array(after)], names=["doc_id", "text", "after"])
+
+    schema = "doc_id long, text string, after string"
+    got = [tuple(r) for r in spotsigs.with_next(odd, told, schema).collect()]
+    order = sorted(((-(10**9) if r.doc_id is None else r.doc_id, r.text or "") for r in odd.select("doc_id", "text").collect()))
+    want = [(None if i == -(10**9) else i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order)]
+    assert collections.Counter(got) == collections.Counter(want)
+    assert spotsigs.with_next(empty, told, schema).count() == 0
+    assert [tuple(r) for r in spotsigs.with_next(odd.filter("doc_id = 2"), told, schema).collect()] == [(2, "a", "a")]
+
+
 def test_spotsigs_edges(odd, empty):
     assert spotsigs.fingerprints(odd).count() == odd.count() and spotsigs.fingerprints(empty).count() == 0
 
@@ -398,13 +436,16 @@ def test_sentencepieces(spark, docs, odd, empty, rows):
         assert got == full_viterbi(c.v, n) == c.encode(text) and c.decode(got) == text
     back = sentencepieces.decode(sentencepieces.encode(docs.limit(30))).join(docs.select("doc_id", F.col("text").alias("t")), "doc_id")
     assert back.filter("text <> t").count() == 0 and back.count() == 30
+    texts = {r.doc_id: r.text or "" for r in odd.filter("doc_id < 9").dropDuplicates(["doc_id"]).collect()}
+    for r in sentencepieces.decode(sentencepieces.encode(odd)).filter("doc_id < 9").collect():
+        assert r.text == texts[r.doc_id]
     assert sentencepieces.encode(odd).count() == odd.count() and sentencepieces.encode(empty).count() == 0
 
 
 # --- 8
 
 
-def test_token_counts(spark, sf, docs, empty):
+def test_token_counts(spark, sf, docs, odd, empty):
     n = np.array([len(tokens.encoder()(r.text)) for r in docs.collect()])
     hist = tokens.length_histogram(tokens.token_lengths(docs)).persist()
     for r in hist.collect():
@@ -413,6 +454,8 @@ def test_token_counts(spark, sf, docs, empty):
     assert all(r.kept_tokens == np.minimum(n, k).sum() and r.docs_over == (n > k).sum() for k, r in limits.items())
     assert tokens.quantile(hist, 0.5).first()[0] == np.sort(n)[int(np.ceil(0.5 * len(n))) - 1]
     assert tokens.length_histogram(tokens.token_lengths(empty)).count() == 0
+    lengths = tokens.token_lengths(odd).collect()
+    assert len(lengths) == odd.count() and sorted(r.n_tokens for r in lengths)[:2] == [0, 0] and tokens.length_histogram(tokens.token_lengths(odd)).agg(F.sum("n_docs")).first()[0] == odd.count()
 
 
 # --- 9
@@ -560,6 +603,17 @@ def test_pipeline(spark, sf, docs, empty):
     assert x.count() == 0
 
 
+def test_pipeline_on_odd_rows(spark, sf, odd, rows):
+    """The stages one after the other, on edge cases and good texts with null, repeated and clashing values; without lang and source too."""
+    good = spark.createDataFrame([(100 + i, t, None, None, None) for i, t in rows[:12]] + [(None, rows[0][1], "en", "s", 1), (100, rows[0][1], None, None, None)], SCHEMA)
+    for x in (odd.unionByName(good, allowMissingColumns=True), good.drop("lang", "source", "n_chars")):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            x = stage(spark, x, sf).persist()
+            assert x.columns == corpus_pipeline.COLUMNS
+        packed = corpus_pipeline.packing(spark, x, sf)
+        assert 0 < x.count() <= 12 and packed.select("doc_id").distinct().count() == x.select("doc_id").distinct().count()
+
+
 def grams(text):
     w = text.lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}

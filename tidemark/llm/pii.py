@@ -204,6 +204,11 @@ def _is(kind: str) -> Callable[[Column], Column]:
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
+    """Counts of every document's base spans, their digest, and all spans.
+
+    Null and empty texts have none. Repeated rows, repeated and null ids give rows of their own; an empty table gives none; other
+    columns aren't read. Spans of one start are in order of their kinds; texts are read whole, however long.
+    """
     from .common import documents
 
     found = find(documents(spark, sf_dir), ["doc_id"])

@@ -232,6 +232,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the smallest id that links lead to.
+
+    Null, empty and wordless texts have fingerprint zero, linked like any other. Repeated rows and ids give rows of their own; null
+    ids never name a component that has another id; an empty table gives none; other columns aren't read; texts are read whole.
+    """
     from .common import documents
 
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")

@@ -246,6 +246,12 @@ def with_next(docs: DataFrame, fn, schema: str, id_col: str = "doc_id", text_col
 
 
 def op1_spotsigs(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness to each other and to the next document's.
+
+    Null and empty texts have an empty fingerprint and are alike (1) to each other alone. Rows with equal ids follow in order of their texts,
+    null ids come first; the last row's next is the first, a single row's next is itself. Repeated rows give rows of their own, an empty
+    table gives none, other columns aren't read, and texts are read whole.
+    """
     from .common import documents
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -508,6 +508,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op10_suffix_array(spark, sf_dir: str) -> DataFrame:
+    """What earlier documents leave of every document's bytes.
+
+    Null and empty texts have no bytes. Rows with the same id are one document; a null id comes before all others; repeated rows give
+    equal rows; an empty table gives none; other columns aren't read; texts are read whole, and matches never cross them.
+    """
     from .common import documents
 
     return remove_repeats(documents(spark, sf_dir), digests=True).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
