@@ -373,11 +373,6 @@ def temperature_scaled(spark, sf_dir):
     return _five(soft.select("date", S.tempered(F.col("p"), 1.5).alias("p")), ["date"])
 
 
-@query()
-def temperature_fit(spark, sf_dir):
-    return scoring.fit_temperature(*_setup(spark, sf_dir)).drop("panel")
-
-
 REGISTRY = [("soft", True, None, None, 1250.0), ("bucket", True, 1.02, 0, 1262.5), ("trend", True, 1.01, 0, 1251.5), ("stuck", True, 1.40, 3, 1200.0), ("unfitted", False, None, None, 1100.0)]
 
 
@@ -451,11 +446,6 @@ def transition_matrix_21d(spark, sf_dir):
     return duration.transition_matrix(_truth(_features(spark, sf_dir)), 21).drop("panel")
 
 
-@query()
-def duration_audit(spark, sf_dir):
-    return duration.duration_audit(_truth(_features(spark, sf_dir))).drop("panel")
-
-
 DRIFTED = ["nifty_ret_1d", "vix_level", "nifty_dist_sma50", "usdinr_ret_21d"]
 
 

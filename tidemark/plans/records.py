@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import simplex as S
-from ..operators import contracts, ensemble, governance, network, pit, portfolio, quality, scoring, simulation
+from ..operators import contracts, duration, ensemble, governance, network, pit, portfolio, quality, scoring, simulation, technical
 from ..operators.models import latent
 from ..sources import artifacts, market, snapshots
 from ..sources.durable import place, written
 from ..streaming import online
 from .oracle import BARS, BASE, EVAL, PANEL, SCORED, with_
 from .queries import (
-    ALLOC, ASKED, CUM, INPUTS, LINEAR, MC, METRIC_COLUMNS, METRICS, P5, PARSED, PATHS, SCENARIOS, SETS, START, STATE, U, WIDE5, _asked, _cases, _changes, _features, _five, _models, _paths, _setup, _truth, query, rounded,
+    ALLOC, ASKED, CUM, INPUTS, LINEAR, MC, METRIC_COLUMNS, METRICS, P5, PARSED, PATHS, SCENARIOS, SETS, SPELLS, START, STATE, U, WIDE5, _asked, _cases, _changes, _features, _five, _models, _paths, _setup, _truth, query, rounded,
 )
 
 # --- sources and artifacts -------------------------------------------------------------------------------------------
 
 REGIONS = list(market.ROLES)
+NAMES5 = "['Risk-On', 'Late-Cycle', 'Transitional', 'Post-Shock', 'Risk-Off']"
 
 
 @query(with_(BARS) + rounded("symbol @date #open #high #low #close #volume", "bars"))
@@ -190,6 +191,50 @@ def full_feature_matrix(spark, sf_dir):
     return f.select("date", "nifty_ret_1d", "vix_level", F.col("gnn_spectral_radius").isNotNull().alias("has_graph"), F.col("tda_h0_amplitude").isNotNull().alias("has_topology"))
 
 
+EWMA = """br AS (SELECT symbol, date, close, row_number() OVER w AS k, ln(close / lag(close) OVER w) AS r, close - lag(close) OVER w AS d FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+er AS (SELECT symbol, k, date, r * r AS v, greatest(d, 0) AS g, greatest(-d, 0) AS l FROM br WHERE k = 2 UNION ALL
+  SELECT b.symbol, b.k, b.date, 0.94 * e.v + (1 - 0.94) * b.r * b.r, 13 * e.g / 14 + greatest(b.d, 0) / 14, 13 * e.l / 14 + greatest(-b.d, 0) / 14 FROM er e JOIN br b ON b.symbol = e.symbol AND b.k = e.k + 1)"""
+
+
+@query(with_(BARS, EWMA, recursive=True) + "SELECT b.symbol AS panel, strftime(b.date, '%Y-%m-%d') AS date, round(CASE WHEN v IS NOT NULL THEN sqrt(greatest(v, 1e-12) * 252) END, 6) AS nifty_vol_ewma_21d, round(CASE WHEN e.k > 14 THEN 100 - 100 / (1 + g / (l + 1e-12)) END, 6) AS nifty_rsi_14 FROM br b LEFT JOIN er e ON e.symbol = b.symbol AND e.k = b.k")
+def symbol_recursions(spark, sf_dir):
+    """The order-dependent features of every symbol: one scan each, side by side."""
+    bars = market.daily_bars(spark, sf_dir).select(F.col("symbol").alias("panel"), "date", F.col("close").alias("bench"))
+    return technical.recursive_features(bars)
+
+
+@query(with_(BARS) + rounded("symbol @date #open #high #low #close #volume", "bars"))
+def snapshot_cycle(spark, sf_dir):
+    """Bars through an immutable snapshot: written under their content's hash, found as the latest, verified, loaded."""
+    path = place(spark, "snapshots")
+    name = snapshots.create_snapshot(written(market.daily_bars(spark, sf_dir), "bars"), path)
+    if snapshots.latest_snapshot(spark, path) != name or not snapshots.verify_snapshot(spark, path, name):
+        raise ValueError(f"snapshot {name} isn't intact")
+    return snapshots.load_snapshot(spark, path, name).select("symbol", "date", "open", "high", "low", "close", "volume")
+
+
+@query(with_(BARS) + rounded("symbol @date #open #high #low #close #volume", "bars"))
+def quote_documents(spark, sf_dir):
+    """Bars packed into one chart document for each symbol and month, and read from these."""
+    bars = market.daily_bars(spark, sf_dir)
+    rows = bars.groupBy("symbol", F.trunc("date", "month")).agg(F.sort_array(F.collect_list(F.struct(F.unix_timestamp(F.col("date").cast("timestamp")).alias("at"), *snapshots.BAR_COLUMNS))).alias("q"))
+    each = lambda c: F.transform("q", lambda x: x[c]).alias(c)
+    doc = F.to_json(F.struct("symbol", each("at").alias("timestamp"), F.struct(*map(each, snapshots.BAR_COLUMNS)).alias("quote")))
+    return snapshots.quotes_from_json(rows.select(doc.alias("payload"))).select("symbol", "date", "open", "high", "low", "close", "volume")
+
+
+MATRIX = ("fm AS (SELECT *, row_number() OVER (ORDER BY date) AS k FROM feat), fs AS (SELECT date, " + ", ".join(f"round(coalesce(last_value({c} IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), 0), 4) + 0.0 AS {c}" for c in HASHED[1:]) + f" FROM fm WHERE k > 200), h AS (SELECT date, sha256(sha256({LINE})) AS h FROM fs)")
+
+
+@query(with_(*BASE, MATRIX) + "SELECT 'features' AS name, count(*) AS n_rows, CAST(4 AS BIGINT) AS n_columns, sha256(string_agg(h, '' ORDER BY h)) AS sha256 FROM h")
+def feature_snapshot(spark, sf_dir):
+    """The model's feature matrix as a stored, hashed snapshot: its metadata."""
+    path = place(spark, "matrix")
+    matrix = technical.feature_matrix(_features(spark, sf_dir).select("panel", *HASHED))
+    artifacts.create_feature_snapshot(matrix.select("date", *((F.round(c, 4) + 0.0).alias(c) for c in HASHED[1:])), path, "features")
+    return artifacts.read_table(spark, f"{path}/features_metadata", "json", "name string, n_rows long, n_columns long, sha256 string")
+
+
 # --- scores, weights, briefs -----------------------------------------------------------------------------------------
 
 
@@ -312,9 +357,48 @@ def template_answers(spark, sf_dir):
     return rows.select("id", governance.template_answer(F.col("question"), {"regime": F.lit("Risk-On"), "probability": F.lit(0.62), "set_size": F.lit(2), "cvar": F.lit(-0.08)}).alias("answer"))
 
 
+WAIC = """ob AS (SELECT row_number() OVER (ORDER BY date) AS obs, nifty_ret_1d AS x FROM feat WHERE nifty_ret_1d IS NOT NULL), dr AS (SELECT d, 0.01 * (d - 10) AS m, 0.3 + 0.01 * d AS s FROM (SELECT unnest(range(0, 20)) AS d)),
+lw AS (SELECT obs, -ln(s) - 0.5 * ((x - m) / s) ^ 2 - 0.5 * ln(2 * pi()) AS ll FROM ob, dr), po AS (SELECT obs, ln(avg(exp(ll))) AS lpd, var_samp(ll) AS v FROM lw GROUP BY obs),
+wa AS (SELECT sum(lpd) AS lppd, sum(v) AS p_waic, -2 * (sum(lpd) - sum(v)) AS waic, 2 * sqrt(count(*) * var_pop(-2 * (lpd - v))) AS waic_se FROM po)"""
+
+
+@query(with_(*BASE, WAIC) + rounded("#lppd #p_waic #waic #waic_se", "wa"))
+def waic_of_grid(spark, sf_dir):
+    """The information criterion of a normal model over a grid of means and deviations, as if they were posterior draws."""
+    f = _features(spark, sf_dir).filter("nifty_ret_1d is not null")
+    draws = spark.range(20).select(F.lit("main").alias("panel"), F.lit("normal").alias("model"), F.col("id").alias("draw"), F.array(F.struct(F.lit(1.0).alias("w"), (0.01 * (F.col("id") - 10)).alias("m"), (0.3 + 0.01 * F.col("id")).alias("s"))).alias("parts"))
+    return scoring.waic(latent.mixture_log_likelihood(f, "nifty_ret_1d", draws)).drop("panel", "model")
+
+
+FIT = """fd AS (SELECT model, list({'l': ls, 'y': y}) AS data FROM (SELECT model, date, y, list(ln(least(greatest(p, 1e-12), 1.0)) ORDER BY k) AS ls FROM preds JOIN truth USING (date) GROUP BY ALL) GROUP BY model),
+ft AS (SELECT model, data, 0 AS r, ln(0.05) AS lo, ln(10.0) AS hi, 0.0::DOUBLE AS t, 0.0::DOUBLE AS nll FROM fd UNION ALL
+  SELECT model, data, r + 1, greatest(ln(0.05), b.t - step), least(ln(10.0), b.t + step), b.t, b.nll FROM (SELECT model, data, r, (hi - lo) / 12 AS step, list_sort(list_transform(range(0, 13), lambda i: {'nll': list_avg(list_transform(data, lambda d:
+    -ln(greatest(exp(d.l[d.y + 1] / exp(lo + i * (hi - lo) / 12)) / list_sum(list_transform(d.l, lambda v: exp(v / exp(lo + i * (hi - lo) / 12)))), 1e-12)))), 't': lo + i * (hi - lo) / 12}))[1] AS b FROM ft WHERE r < 5))"""
+
+
+@query(with_(*EVAL, FIT, recursive=True) + "SELECT model, round(exp(t), 4) AS temperature, round(nll, 6) AS nll FROM ft WHERE r = 5")
+def temperature_fit(spark, sf_dir):
+    return scoring.fit_temperature(*_setup(spark, sf_dir)).select("model", F.round("temperature", 4).alias("temperature"), "nll")
+
+
+DURATIONS = """dl AS (SELECT state, list(CAST(days AS DOUBLE) ORDER BY days) AS x, count(*) AS n, avg(days) AS m, median(days) AS md, max(days) AS mx, least(0.999, greatest(0.001, 1 / greatest(1.0, avg(days)))) AS p FROM spells GROUP BY state),
+kst0 AS (SELECT state, n, generate_subscripts(x, 1) AS i, 1 - (1 - p) ^ floor(unnest(x)) AS c FROM dl), kst AS (SELECT state, max(greatest(i / n - c, c - (i - 1) / n)) AS d FROM kst0 GROUP BY state),
+kp AS (SELECT state, d, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * d AS z FROM kst JOIN dl USING (state)), kv AS (SELECT state, d, CASE WHEN z > 0.2 THEN least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101), lambda j: (-1) ^ (j - 1) * exp(-2 * j * j * z * z))))) ELSE 1.0 END AS pv FROM kp),
+nw AS (SELECT state, 0 AS it, 1.0::DOUBLE AS k FROM dl WHERE n >= 5 AND x[1] < x[-1] UNION ALL
+  SELECT state, it + 1, greatest(k - (b / a - 1 / k - ml) / ((c * a - b * b) / (a * a) + 1 / (k * k)), k / 10) FROM (SELECT state, it, k, list_sum(list_transform(x, lambda v: v ^ k)) AS a, list_sum(list_transform(x, lambda v: v ^ k * ln(v))) AS b, list_sum(list_transform(x, lambda v: v ^ k * ln(v) ^ 2)) AS c, list_avg(list_transform(x, lambda v: ln(v))) AS ml FROM nw JOIN dl USING (state) WHERE it < 40)),
+ws AS (SELECT state, k FROM nw WHERE it = 40)"""
+ENOUGH = "CASE WHEN coalesce(n, 0) >= 5 THEN {} END"
+
+
+@query(with_(*EVAL, SPELLS, DURATIONS, recursive=True) + f"SELECT CAST(s AS BIGINT) AS state, {NAMES5}[s + 1] AS regime, coalesce(n, 0) AS n_spells, "
+       + ", ".join(ENOUGH.format(v) + f" AS {c}" for c, v in (("mean_days", "round(m, 4)"), ("median_days", "md"), ("max_days", "CAST(mx AS BIGINT)"), ("geometric_p", "round(p, 4)"), ("ks_stat", "round(d, 4)"), ("p_value", "round(pv, 4)"), ("weibull_shape", "round(coalesce(k, 1.0), 4)")))
+       + ", CASE WHEN coalesce(n, 0) < 5 THEN 'INSUFFICIENT' WHEN coalesce(k, 1.0) > 1.1 THEN 'AGING' WHEN coalesce(k, 1.0) >= 0.9 THEN 'MEMORYLESS' ELSE 'EARLY_EXIT' END AS dependence FROM (SELECT unnest(range(0, 5)) AS s) LEFT JOIN dl ON state = s LEFT JOIN kv USING (state) LEFT JOIN ws USING (state)")
+def duration_audit(spark, sf_dir):
+    return duration.duration_audit(_truth(_features(spark, sf_dir))).drop("panel")
+
+
 # --- claims and scenarios --------------------------------------------------------------------------------------------
 
-NAMES5 = "['Risk-On', 'Late-Cycle', 'Transitional', 'Post-Shock', 'Risk-Off']"
 
 
 @query(f"""WITH c AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, (conv_id + turn) % 5 AS k, 25 + conv_id % 12 AS a, 10 + turn % 9 AS b, 1 + conv_id % 3 AS s, conv_id % 4 = 0 AS old FROM conversations),

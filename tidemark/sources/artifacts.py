@@ -95,6 +95,14 @@ def frame_hash(df: DataFrame, at: str) -> DataFrame:
     return parts.agg(F.sum("n").alias("n_rows"), hashed("h").alias("sha256"))
 
 
+def create_feature_snapshot(matrix: DataFrame, path: str, name: str, at: str = "date") -> None:
+    """Write a feature matrix as Parquet and beside it what identifies it, as JSON: name, rows, columns and the content's hash."""
+    matrix.write.mode("overwrite").parquet(f"{path}/{name}")
+    stored = matrix.sparkSession.read.parquet(f"{path}/{name}")
+    head = frame_hash(stored, at).select(F.lit(name).alias("name"), "n_rows", F.lit(len(matrix.columns)).alias("n_columns"), "sha256")
+    head.coalesce(1).write.mode("overwrite").json(f"{path}/{name}_metadata")
+
+
 def late_events(events: DataFrame, late: str = "1 hour", arrival: str = "event_id", at: str = "ts", key: str = "event_type") -> DataFrame:
     """(key, n, n_quarantined): events that a watermark of `late` behind the latest event before them would leave out, by key."""
     before = Window.partitionBy(key).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
