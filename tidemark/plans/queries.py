@@ -750,7 +750,7 @@ def online_scores(spark, sf_dir):
 
 def _changes(f: DataFrame) -> DataFrame:
     rows = f.filter("nifty_ret_1d is not null").select(F.col("panel").alias("series"), F.col("date").alias("at"), (0.02 * F.col("nifty_ret_1d")).alias("x"))
-    return online.score_batch(rows).select(F.col("series").alias("panel"), F.to_date("at").alias("date"), F.col("cp_short").alias("changepoint"), "cp_zero")
+    return online.changepoints_batch(rows).select(F.col("series").alias("panel"), F.to_date("at").alias("date"), F.col("cp_short").alias("changepoint"), "cp_zero", "run_length")
 
 
 @query()

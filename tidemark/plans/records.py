@@ -329,11 +329,26 @@ def committee_memos(spark, sf_dir):
     return governance.committee_memo(state, simulation.tail_risk(simulation.simulate(spark, START))).drop("panel")
 
 
-@query(with_(*EVAL, UNC, STATE, MC, TAIL, recursive=True) + """SELECT strftime(date, '%Y-%m-%d') AS date, n[top + 1] AS regime, CASE WHEN greatest(0, total - aleatoric) > 0.4 THEN 'Stay cautious: the models part ways (epistemic uncertainty ' || printf('%.2f', total - aleatoric) || ').'
+BOCPD = """xs AS (SELECT date, 0.02 * nifty_ret_1d AS x, row_number() OVER (ORDER BY date) AS t FROM feat WHERE nifty_ret_1d IS NOT NULL),
+bo AS (SELECT CAST(0 AS BIGINT) AS t, CAST(NULL AS DATE) AS date, [{'r': 1.0::DOUBLE, 'm': 0.0::DOUBLE, 'k': 1.0::DOUBLE, 'a': 1.0::DOUBLE, 'b': 1e-4::DOUBLE}] AS st UNION ALL
+  SELECT t, date, list_transform(st, lambda s: {'r': s.r / z, 'm': s.m, 'k': s.k, 'a': s.a, 'b': s.b}) FROM (SELECT t, date, st, list_sum(list_transform(st, lambda s: s.r)) AS z FROM (
+    SELECT t, date, list_concat([{'r': 0.01 * list_sum(list_transform(j, lambda s: s.r)), 'm': 0.0::DOUBLE, 'k': 1.0::DOUBLE, 'a': 1.0::DOUBLE, 'b': 1e-4::DOUBLE}], list_transform(j, lambda s: {'r': 0.99 * s.r, 'm': s.m, 'k': s.k, 'a': s.a, 'b': s.b}))[1:500] AS st FROM (
+      SELECT n.t, n.date, list_transform(st, lambda s: {'r': s.r * greatest(1e-12, exp(lgamma(s.a + 0.5) - lgamma(s.a) - 0.5 * ln(2 * s.a * pi()) - 0.5 * ln(greatest(1e-12, s.b * (s.k + 1) / (s.a * s.k))) - (s.a + 0.5) * ln(1 + (n.x - s.m) ^ 2 / greatest(1e-12, s.b * (s.k + 1) / (s.a * s.k)) / (2 * s.a)))),
+        'm': (s.k * s.m + n.x) / (s.k + 1), 'k': s.k + 1, 'a': s.a + 0.5, 'b': s.b + 0.5 * s.k / (s.k + 1) * (n.x - s.m) ^ 2}) AS j FROM bo JOIN xs n ON n.t = bo.t + 1)))),
+cp AS (SELECT date, st[1].r AS cp_zero, list_sum(list_transform(st[1:6], lambda s: s.r)) AS changepoint, list_position(list_transform(st, lambda s: s.r), list_max(list_transform(st, lambda s: s.r))) - 1 AS run_length FROM bo WHERE t > 0)"""
+
+
+@query(with_(*BASE, BOCPD, recursive=True) + rounded("@date #changepoint #cp_zero %run_length", "cp"))
+def changepoint_scores(spark, sf_dir):
+    """Online changepoint detection over the panel's returns."""
+    return _changes(_features(spark, sf_dir)).drop("panel")
+
+
+@query(with_(*EVAL, UNC, STATE, MC, TAIL, BOCPD, recursive=True) + """SELECT strftime(date, '%Y-%m-%d') AS date, n[top + 1] AS regime, CASE WHEN greatest(0, total - aleatoric) > 0.4 THEN 'Stay cautious: the models part ways (epistemic uncertainty ' || printf('%.2f', total - aleatoric) || ').'
   WHEN top = 4 THEN 'Protect capital: Risk-Off holds ' || printf('%.1f', 100 * probability) || ' % of the probability and the worst twentieth of months loses ' || printf('%.2f', 100 * cvar_95) || ' % on average.'
-  WHEN top = 0 THEN 'Lean in: Risk-On holds ' || printf('%.1f', 100 * probability) || ' % of the probability.' ELSE 'Keep hedges: no side prevails, a break is 1.0 % likely.' END AS commentary FROM ent JOIN ah USING (date) JOIN th USING (date), names, tr""")
+  WHEN top = 0 THEN 'Lean in: Risk-On holds ' || printf('%.1f', 100 * probability) || ' % of the probability.' ELSE 'Keep hedges: no side prevails, a break is ' || printf('%.1f', 100 * cp_zero) || ' % likely.' END AS commentary FROM ent JOIN ah USING (date) JOIN th USING (date) JOIN cp USING (date), names, tr""")
 def committee_brief(spark, sf_dir):
-    """The stance of each day; the tail risk is simulated, the break's probability comes from the online detector (of run length 0: the hazard)."""
+    """The stance of each day; the tail risk is simulated, the break's probability comes from the online detector (that of run length 0)."""
     f = _features(spark, sf_dir, often=True)
     m = written(_models(f), "models")
     rows = m.filter("model = 'soft'").join(ensemble.uncertainty(m), ["panel", "date"]).join(_changes(f), ["panel", "date"]).join(F.broadcast(simulation.tail_risk(simulation.simulate(spark, START)).select("cvar_95")))

@@ -38,6 +38,17 @@ def score_batch(rows: DataFrame, particles: int = 1000, seed: int = 42) -> DataF
     return rows.filter("x is not null").select("series", F.col("at").cast("timestamp").alias("at"), "x").groupBy("series").applyInPandas(run, OUT)
 
 
+def changepoints_batch(rows: DataFrame) -> DataFrame:
+    """(series, at, cp_zero, cp_short, run_length): the changepoint measures alone of (series, at, x). Null x are left out."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, changes = pdf.sort_values("at"), Changepoints()
+        out = pd.DataFrame([changes.update(x) for x in pdf["x"]], columns=["cp_zero", "cp_short", "run_length"])
+        return pdf[["series", "at"]].reset_index(drop=True).join(out)
+
+    return rows.filter("x is not null").select("series", F.col("at").cast("timestamp").alias("at"), "x").groupBy("series").applyInPandas(run, "series string, at timestamp, cp_zero double, cp_short double, run_length int")
+
+
 def score_stream(rows: DataFrame, particles: int = 1000, seed: int = 42) -> DataFrame:
     """The same of a stream; within a micro-batch a series' rows are taken in order of time."""
 
