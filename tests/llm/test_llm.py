@@ -397,6 +397,7 @@ def test_near_duplicate_components(spark, odd, empty):
     distinct = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
     got = {r.node: r.root for r in connected_components(simhash.near_links(distinct)).collect()}
     assert got == want and len(want) > 500
+    assert {r.node: r.root for r in connected_components(simhash.near_links(distinct, most=3)).collect()} == want
     groups = collections.defaultdict(set)
     for f in root:
         groups[want.get(f, f)].add(f)

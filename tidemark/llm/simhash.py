@@ -209,10 +209,18 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield edges(np.concatenate(key_left), np.concatenate(fp_left))
 
 
-def near_links(distinct: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect what links of at most 3 bits connect, from distinct fingerprints (fp)."""
+def near_links(distinct: DataFrame, most: int = BLOCK) -> DataFrame:
+    """Edges (u, v) that connect what links of at most 3 bits connect, from distinct fingerprints (fp).
+
+    A key that more than `most` fingerprints have is split by their 16-bit quarters, of which linked ones share one, before they
+    are dealt out, so that no task has to hold all fingerprints of a common key.
+    """
     spread = distinct.select("fp").mapInArrow(_spread, "key long, fp long")
-    return spread.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "u long, v long")
+    hot = materialize(spread.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key"), "hot")
+    parts = F.explode(F.array(*(F.xxhash64("key", F.lit(q), F.shiftrightunsigned("fp", 16 * q).bitwiseAND(0xFFFF)) for q in range(4))))
+    split = spread.join(hot, "key").select(parts.alias("key"), "fp")
+    every = spread.join(hot, "key", "left_anti").unionByName(split)
+    return every.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,7 +231,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has a null component_id; an empty table gives an empty one.
     """
     prints = materialize(simhash(docs, id_col, text_col), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     found = connected_components(near_links(nodes))
     member = nodes.join(found, nodes.fp == found.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     lowest = member.groupBy("root").agg(F.min("rep").alias("component_id"))
