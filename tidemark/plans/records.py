@@ -329,13 +329,14 @@ def committee_memos(spark, sf_dir):
     return governance.committee_memo(state, simulation.tail_risk(simulation.simulate(spark, START))).drop("panel")
 
 
-BOCPD = """xs AS (SELECT date, 0.02 * nifty_ret_1d AS x, row_number() OVER (ORDER BY date) AS t FROM feat WHERE nifty_ret_1d IS NOT NULL),
-bo AS (SELECT CAST(0 AS BIGINT) AS t, CAST(NULL AS DATE) AS date, [{'r': 1.0::DOUBLE, 'm': 0.0::DOUBLE, 'k': 1.0::DOUBLE, 'a': 1.0::DOUBLE, 'b': 1e-4::DOUBLE}] AS st UNION ALL
-  SELECT t, date, list_transform(st, lambda s: {'r': s.r / z, 'm': s.m, 'k': s.k, 'a': s.a, 'b': s.b}) FROM (SELECT t, date, st, list_sum(list_transform(st, lambda s: s.r)) AS z FROM (
+BOCPD = """xs AS MATERIALIZED (SELECT date, 0.02 * nifty_ret_1d AS x, row_number() OVER (ORDER BY date) AS t FROM feat WHERE nifty_ret_1d IS NOT NULL),
+bo AS (SELECT CAST(0 AS BIGINT) AS t, CAST(NULL AS DATE) AS date, [{'r': 1.0::DOUBLE, 'm': 0.0::DOUBLE, 'k': 1.0::DOUBLE, 'a': 1.0::DOUBLE, 'b': 1e-4::DOUBLE}] AS st, 0.0::DOUBLE AS cp_zero, 0.0::DOUBLE AS changepoint, CAST(0 AS BIGINT) AS run_length UNION ALL
+  SELECT t, date, st, rs[1], list_sum(rs[1:6]), list_position(rs, list_max(rs)) - 1 FROM (SELECT t, date, st, list_transform(st, lambda s: s.r) AS rs FROM (
+  SELECT t, date, list_transform(st, lambda s: {'r': s.r / z, 'm': s.m, 'k': s.k, 'a': s.a, 'b': s.b}) AS st FROM (SELECT t, date, st, list_sum(list_transform(st, lambda s: s.r)) AS z FROM (
     SELECT t, date, list_concat([{'r': 0.01 * list_sum(list_transform(j, lambda s: s.r)), 'm': 0.0::DOUBLE, 'k': 1.0::DOUBLE, 'a': 1.0::DOUBLE, 'b': 1e-4::DOUBLE}], list_transform(j, lambda s: {'r': 0.99 * s.r, 'm': s.m, 'k': s.k, 'a': s.a, 'b': s.b}))[1:500] AS st FROM (
       SELECT n.t, n.date, list_transform(st, lambda s: {'r': s.r * greatest(1e-12, exp(lgamma(s.a + 0.5) - lgamma(s.a) - 0.5 * ln(2 * s.a * pi()) - 0.5 * ln(greatest(1e-12, s.b * (s.k + 1) / (s.a * s.k))) - (s.a + 0.5) * ln(1 + (n.x - s.m) ^ 2 / greatest(1e-12, s.b * (s.k + 1) / (s.a * s.k)) / (2 * s.a)))),
-        'm': (s.k * s.m + n.x) / (s.k + 1), 'k': s.k + 1, 'a': s.a + 0.5, 'b': s.b + 0.5 * s.k / (s.k + 1) * (n.x - s.m) ^ 2}) AS j FROM bo JOIN xs n ON n.t = bo.t + 1)))),
-cp AS (SELECT date, st[1].r AS cp_zero, list_sum(list_transform(st[1:6], lambda s: s.r)) AS changepoint, list_position(list_transform(st, lambda s: s.r), list_max(list_transform(st, lambda s: s.r))) - 1 AS run_length FROM bo WHERE t > 0)"""
+        'm': (s.k * s.m + n.x) / (s.k + 1), 'k': s.k + 1, 'a': s.a + 0.5, 'b': s.b + 0.5 * s.k / (s.k + 1) * (n.x - s.m) ^ 2}) AS j FROM bo JOIN xs n ON n.t = bo.t + 1)))))),
+cp AS (SELECT date, cp_zero, changepoint, run_length FROM bo WHERE t > 0)"""
 
 
 @query(with_(*BASE, BOCPD, recursive=True) + rounded("@date #changepoint #cp_zero %run_length", "cp"))
