@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
 
 def available(df: DataFrame, lag_days: int, as_of: Column) -> DataFrame:
     """Rows whose date plus the publication lag is not after as_of."""
@@ -71,3 +72,35 @@ def split_by_date(df: DataFrame, at: str, calibration_from: str, test_from: str)
 def in_episodes(df: DataFrame, episodes: DataFrame, at: str = "date") -> DataFrame:
     """Interval join with a table of a few episodes, which the optimizer broadcasts by its size; both ends count."""
     return df.join(episodes, (F.col(at) >= F.col("start_date")) & (F.col(at) <= F.col("end_date")))
+
+
+def _spread(probes: DataFrame, facts: DataFrame, key: str, probe_at: str, fact_at: str, values: list[str]) -> DataFrame:
+    return _united(probes, facts, key, probe_at, fact_at, values).withColumn("_is_fact", F.col("_probe") == 0)
+
+
+def asof_backward_spread(probes: DataFrame, facts: DataFrame, key: str, probe_at: str, fact_at: str, values: list[str], n: int | None = None) -> DataFrame:
+    """asof_backward for keys that may hold most rows: dealt by key and time, facts carried from range to range.
+
+    Of facts at one time any may count as the last; give the time a tie-breaker (a struct) where that matters.
+    """
+    rows = _spread(probes, facts, key, probe_at, fact_at, values)
+    found = ranges.scan(rows, [key], ["_at", "_probe"], ranges.last_where(rows.schema, "_is_fact", {"_x": "_fact"}), name="asof", ranges=n).filter("_probe = 1")
+    return found.select(key, probe_at, F.col("_x._fact_at").alias(fact_at), *(F.col(f"_x.{v}").alias(v) for v in values))
+
+
+def asof_nearest_spread(probes: DataFrame, facts: DataFrame, key: str, probe_at: str, fact_at: str, values: list[str], n: int | None = None) -> DataFrame:
+    """asof_nearest for keys that may hold most rows: one pass over ranges forwards, one backwards."""
+    rows = _spread(probes, facts, key, probe_at, fact_at, values)
+    rows = ranges.scan(rows, [key], ["_at", "_probe"], ranges.last_where(rows.schema, "_is_fact", {"_b": "_fact"}), name="asof", ranges=n)
+    found = ranges.scan(rows, [key], [F.col("_at").desc(), "_probe"], ranges.last_where(rows.schema, "_is_fact", {"_a": "_fact"}), name="asof", ranges=n).filter("_probe = 1")
+    near = F.datediff(F.col(probe_at), F.col("_b._fact_at")) <= F.datediff(F.col("_a._fact_at"), F.col(probe_at))
+    found = found.withColumn("_x", F.when(F.col("_b").isNotNull() & (F.col("_a").isNull() | near), F.col("_b")).otherwise(F.col("_a")))
+    return found.select(key, probe_at, F.col("_x._fact_at").alias(fact_at), *(F.col(f"_x.{v}").alias(v) for v in values), (F.col("_x._fact_at") > F.col(probe_at)).alias("is_future"))
+
+
+def carry_forward_spread(df: DataFrame, key: str, at: str, columns: list[str], n: int | None = None) -> DataFrame:
+    """carry_forward for keys that may hold most rows."""
+    rows = df.withColumns({f"_is_{c}": F.col(c).isNotNull() for c in columns})
+    states = [ranges.last_where(rows.schema, f"_is_{c}", {f"_last_{c}": c}) for c in columns]
+    found = ranges.scan(rows, [key], [at], *states, name="carried", ranges=n)
+    return found.select(*(F.col(f"_last_{c}").alias(c) if c in columns else F.col(c) for c in df.columns))

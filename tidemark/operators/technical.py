@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 
 def W():
     """The one window of a panel. Workers import this module without a session, so it isn't made on import."""
@@ -92,6 +94,19 @@ def recursive_features(panel: DataFrame, decay: float = 0.94, window: int = 14)
     return panel.select("panel", "date", "bench").groupBy("panel").applyInPandas(scan, "panel string, date date, nifty_vol_ewma_21d double, nifty_rsi_14 double")
 
 
+def recursive_features_spread(panel: DataFrame, decay: float = 0.94, window: int = 14, n: int | None = None) -> DataFrame:
+    """recursive_features for panels that may hold most rows: the recursions as affine maps over ranges, composed between them."""
+    rows = panel.select("panel", "date", F.col("bench").cast("double").alias("bench"))
+    rows = ranges.scan(rows, ["panel"], ["date"], ranges.lagged(rows.schema, {"_prior": "bench"}), name="lagged", ranges=n)
+    diff = F.col("bench") - F.col("_prior")
+    rows = rows.select("panel", "date", F.pow(F.log(F.col("bench") / F.col("_prior")), F.lit(2.0)).alias("_square"), F.greatest(diff, F.lit(0.0)).alias("_up"), F.greatest(-diff, F.lit(0.0)).alias("_down"))
+    rows = rows.withColumns({c: F.when(diff_known, F.col(c)) for c, diff_known in (("_up", F.col("_square").isNotNull()), ("_down", F.col("_square").isNotNull()))})
+    means = ranges.decayed_means({"vol": ("_square", 1 - decay), "gain": ("_up", 1 / window), "loss": ("_down", 1 / window)})
+    out = ranges.scan(rows, ["panel"], ["date"], means, name="decayed", ranges=n)
+    rsi = 100 - 100 / (1 + F.col("gain") / (F.col("loss") + 1e-12))
+    return out.select("panel", "date", F.when(F.col("vol").isNotNull(), F.sqrt(F.greatest("vol", F.lit(1e-12)) * 252)).alias("nifty_vol_ewma_21d"), F.when(F.col("gain_n") >= window, rsi).alias("nifty_rsi_14"))
+
+
 def technical_features(panel: DataFrame) -> DataFrame:
     return window_features(panel).join(recursive_features(panel), ["panel", "date"], "full").select("panel", "date", *FEATURES)
 

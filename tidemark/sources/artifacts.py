@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..operators import ranges
 from .market import catalog
 from .snapshots import latest_per_key
 
@@ -104,7 +105,11 @@ def create_feature_snapshot(matrix: DataFrame, path: str, name: str, at: str = "
 
 
 def late_events(events: DataFrame, late: str = "1 hour", arrival: str = "event_id", at: str = "ts", key: str = "event_type") -> DataFrame:
-    """(key, n, n_quarantined): events that a watermark of `late` behind the latest event before them would leave out, by key."""
-    before = Window.partitionBy(key).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    rows = events.select(key, F.col(at).cast("timestamp").alias("_at"), arrival).withColumn("_seen", F.max("_at").over(before))
-    return rows.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("_at") < F.col("_seen") - F.expr(f"INTERVAL {late}")).alias("n_quarantined"))
+    """(key, n, n_quarantined): events that a watermark of `late` behind the latest event before them would leave out, by key.
+
+    The latest time so far is carried over ranges of (key, arrival): a key that holds most events is many tasks' work.
+    """
+    rows = events.select(key, F.unix_micros(F.col(at).cast("timestamp")).alias("_at"), arrival)
+    rows = ranges.scan(rows, [key], [arrival], ranges.running_max("_at", "_seen"), name="late")
+    limit = F.unix_micros(F.timestamp_micros("_seen") - F.expr(f"INTERVAL {late}"))
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("_at") < limit).alias("n_quarantined"))
