@@ -46,20 +46,14 @@ def digested(conversations: DataFrame) -> DataFrame:
 def numbered(turns: DataFrame) -> DataFrame:
     """turns with their position from 1: by turn, null first; equal turns by content's digest."""
 
-    def local(c, starts, state):
+    def local(table, starts, state):
         pos = np.arange(1, len(starts) + 1) - ranges.run_start(starts)
         if state and not starts[0]:
-            pos[: _first_run(starts)] += state["pos"]
+            pos[: ranges.first_run(starts)] += state["pos"]
         return {"pos": pos}
 
     more = lambda a, b: {"pos": a["pos"] + b["pos"]}
-    return ranges.scan(turns, ["conv_id"], ["turn", "x1", "x2"], _longs("pos"), local, more, lambda c: {"pos": F.col("pos") + F.coalesce(c("pos"), F.lit(0))}, "numbered")
-
-
-def _first_run(starts: np.ndarray) -> int:
-    """Rows before the second key of a batch."""
-    later = np.flatnonzero(starts[1:])
-    return int(later[0]) + 1 if len(later) else len(starts)
+    return ranges.scan(turns, ["conv_id"], ["turn", "x1", "x2"], ranges.State(_longs("pos"), local, more, lambda c: {"pos": F.col("pos") + F.coalesce(c("pos"), F.lit(0))}), name="numbered")
 
 
 def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,21 +80,21 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _prefixes(turns: DataFrame) -> DataFrame:
     """(conv_id, pos, chars, n_turns, h1, h2, p1, p2): p is the node that a turn ends at, p xor h its parent."""
 
-    def local(c, starts, state):
+    def local(table, starts, state):
         out, at = {}, ranges.run_start(starts)
         for i in ("1", "2"):
-            h = c[f"h{i}"].astype(np.int64)
+            h = ranges.values(table, f"h{i}").astype(np.int64)
             upto = np.bitwise_xor.accumulate(h) if len(h) else h
             p = upto ^ (upto ^ h)[at]
             if state and not starts[0]:
-                p[: _first_run(starts)] ^= state[f"p{i}"]
+                p[: ranges.first_run(starts)] ^= state[f"p{i}"]
             out[f"p{i}"] = p
         return out
 
     hashed = turns.select("conv_id", "pos", "chars", "n_turns", F.xxhash64("pos", "x1").alias("h1"), F.xxhash64("pos", "x2").alias("h2"))
     both = lambda a, b: {i: a[i] ^ b[i] for i in a}
     add = lambda c: {p: F.col(p).bitwiseXOR(F.coalesce(c(p), F.lit(0))) for p in ("p1", "p2")}
-    return ranges.scan(materialize(hashed, "turns"), ["conv_id"], ["pos"], _longs("p1", "p2"), local, both, add, "prefixes")
+    return ranges.scan(materialize(hashed, "turns"), ["conv_id"], ["pos"], ranges.State(_longs("p1", "p2"), local, both, add), name="prefixes")
 
 
 def _tries(nodes: pd.DataFrame) -> pd.DataFrame:
@@ -134,16 +128,16 @@ def _tries(nodes: pd.DataFrame) -> pd.DataFrame:
 def _chain(trunk: DataFrame, below: DataFrame) -> DataFrame:
     """The shared turns of subtries that were split, given what hangs below each of them: (k1, k2, leaves, saved, n)."""
 
-    def local(c, starts, state):
-        w = (c["n_convs"].astype(np.int64) - 1) * c["chars"].astype(np.int64)
+    def local(table, starts, state):
+        w = (ranges.values(table, "n_convs").astype(np.int64) - 1) * ranges.values(table, "chars").astype(np.int64)
         upto = np.cumsum(w)
         held = upto - (upto - w)[ranges.run_start(starts)]
         if state and not starts[0]:
-            held[: _first_run(starts)] += state["held"]
+            held[: ranges.first_run(starts)] += state["held"]
         return {"held": held}
 
     more = lambda a, b: {"held": a["held"] + b["held"]}
-    rows = ranges.scan(trunk, ["k1", "k2"], [F.col("depth").desc()], _longs("held"), local, more, lambda c: {"held": F.col("held") + F.coalesce(c("held"), F.lit(0))}, "chain")
+    rows = ranges.scan(trunk, ["k1", "k2"], [F.col("depth").desc()], ranges.State(_longs("held"), local, more, lambda c: {"held": F.col("held") + F.coalesce(c("held"), F.lit(0))}), name="chain")
     parents = trunk.select(F.col("p1").alias("u1"), F.col("p2").alias("u2"), F.col("conv_id").alias("parent"))
     rows = rows.join(below, ["k1", "k2"], "left").join(parents, ["u1", "u2"], "left")
     top = (F.col("p1") == F.col("k1")) & (F.col("p2") == F.col("k2"))
