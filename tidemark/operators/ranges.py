@@ -121,7 +121,7 @@ def scan(df: DataFrame, keys: list[str], order: list, *states: State, name: str
     table = written(dealt.mapInArrow(scanned, marks), name)
     tails = sorted(table.filter("_tail").select("_range", "_head", *keys, *state).collect(), key=lambda r: r["_range"])
     carried, at, sofar = [], None, None
-    for r, after in zip(tails, [*tails[1:], None], strict=True):
+    for r, after in zip(tails, [*tails[1:], None], strict=False):
         k, own = tuple(r[c] for c in keys), {c: r[c] for c in state}
         sofar = {c: v for x in states for c, v in x.combine(sofar, own).items()} if r["_head"] and at == k and sofar is not None else own
         at = k
