@@ -6,6 +6,7 @@ Predictions are long: (panel, date, model, p) and truth is (panel, date, y).
 from __future__ import annotations
 
 import math
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -114,8 +115,8 @@ def split_conformal(predictions: DataFrame, truth: DataFrame, alpha: float = 0.1
     return sets.select("panel", "model", "date", "y", F.filter(F.sequence(F.lit(0), F.lit(4)), lambda i: 1 - F.get("p", i) <= F.col("q")).alias("set"))
 
 
-def aci_step(p: list[float], y: int, alpha_t: float, alpha: float, gamma: float) -> tuple[list[int], float, float]:
-    """(set, error, next alpha) of one step of adaptive conformal inference."""
+def aci_set(p: list[float], alpha_t: float) -> list[int]:
+    """The set of one step of adaptive conformal inference: likeliest classes up to the mass that the level asks for."""
     mass = min(max(1 - alpha_t, 0.10), 0.99)
     chosen, total = [], 0.0
     for k in sorted(range(len(p)), key=lambda i: (-p[i], -i)):
@@ -123,21 +124,31 @@ def aci_step(p: list[float], y: int, alpha_t: float, alpha: float, gamma: float)
         total += p[k]
         if total >= mass:
             break
-    error = 0.0 if y in chosen else 1.0
-    return chosen, error, min(max(alpha_t + gamma * (alpha - error), 0.01), 0.50)
+    return chosen
 
 
-def adaptive_conformal(predictions: DataFrame, truth: DataFrame, alpha: float = 0.1, gamma: float = 0.015) -> DataFrame:
-    """(panel, model, date, alpha_t, set_size, error): the online trajectory, one linear scan for each panel and model."""
+def aci_update(covered: bool, alpha_t: float, alpha: float, gamma: float) -> float:
+    """The level after a set whose label is known."""
+    return min(max(alpha_t + gamma * (alpha - (not covered)), 0.01), 0.50)
+
+
+def adaptive_conformal(predictions: DataFrame, truth: DataFrame, alpha: float = 0.1, gamma: float = 0.015, delay_days: int = 0) -> DataFrame:
+    """(panel, model, date, alpha_t, set_size, error): the online trajectory, one linear scan for each panel and model.
+
+    A label is known `delay_days` after its date: a set's level rests on labels of that many days before it at the latest.
+    0 lets the level of a row rest on the label of the row before, which five-day forward labels don't allow in use.
+    """
     rows = predictions.join(truth.filter("y is not null"), ["panel", "date"]).select("panel", "model", "date", "p", "y")
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        now, out = alpha, []
-        for p, y in zip(pdf["p"], pdf["y"], strict=True):
-            chosen, error, following = aci_step(list(p), int(y), now, alpha, gamma)
-            out.append((now, len(chosen), error))
-            now = following
+        now, out, waiting = alpha, [], deque()
+        for at, p, y in zip(pd.to_datetime(pdf["date"]), pdf["p"], pdf["y"], strict=True):
+            while waiting and waiting[0][0] <= at:
+                now = aci_update(waiting.popleft()[1], now, alpha, gamma)
+            chosen = aci_set(list(p), now)
+            out.append((now, len(chosen), 0.0 if int(y) in chosen else 1.0))
+            waiting.append((at + pd.Timedelta(days=delay_days), int(y) in chosen))
         return pdf[["panel", "model", "date"]].reset_index(drop=True).join(pd.DataFrame(out, columns=["alpha_t", "set_size", "error"]))
 
     return rows.groupBy("panel", "model").applyInPandas(scan, "panel string, model string, date date, alpha_t double, set_size int, error double")
