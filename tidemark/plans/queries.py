@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import simplex as S
@@ -373,15 +373,26 @@ def temperature_scaled(spark, sf_dir):
     return _five(soft.select("date", S.tempered(F.col("p"), 1.5).alias("p")), ["date"])
 
 
-REGISTRY = [("soft", True, None, None, 1250.0), ("bucket", True, 1.02, 0, 1262.5), ("trend", True, 1.01, 0, 1251.5), ("stuck", True, 1.40, 3, 1200.0), ("unfitted", False, None, None, 1100.0)]
+#: Parameters of the baseline models: what their information criteria count (fixed values).
+PARAMETERS = {"soft": 10, "bucket": 4, "trend": 1}
+HALVES = """days AS (SELECT model, date, -ln(greatest(p, 1e-12)) AS ll, date >= DATE '1998-06-30' AS late FROM preds JOIN truth USING (date) WHERE k = y),
+hv AS (SELECT model, late, count(*) AS n, avg(ll) AS m, var_samp(ll) AS v FROM days GROUP BY model, late),
+rg AS (SELECT model, CAST(sum(n) AS BIGINT) AS n, sum(n * m) AS nll, sqrt((avg(v) * (min(n) - 1) / min(n) + var_samp(m)) / avg(v)) AS r_hat FROM hv GROUP BY model),
+rb AS (SELECT model, r_hat, 2 * nll + CASE model """ + " ".join(f"WHEN '{m}' THEN {k}" for m, k in PARAMETERS.items()) + """ END * ln(n) AS bic FROM rg)"""
 
 
-@query("""WITH r(model, is_fitted, r_hat, divergences, bic) AS (VALUES ('soft', TRUE, NULL, NULL, 1250.0), ('bucket', TRUE, 1.02, 0, 1262.5), ('trend', TRUE, 1.01, 0, 1251.5), ('stuck', TRUE, 1.40, 3, 1200.0), ('unfitted', FALSE, NULL, NULL, 1100.0)),
-a AS (SELECT model, CAST(bic AS DOUBLE) AS bic FROM r WHERE is_fitted AND coalesce(r_hat, 1) <= 1.05 AND coalesce(divergences, 0) = 0), b AS (SELECT *, exp(-0.5 * least(50, bic - min(bic) OVER ())) AS raw FROM a)
-SELECT model, bic, round(raw / sum(raw) OVER (), 6) AS weight FROM b""")
+def _registry(models, truth):
+    """(model, is_fitted, r_hat, divergences, bic): criteria of the models' daily log losses, and whether both halves of the panel agree as two chains would."""
+    days = models.join(truth.filter("y is not null"), ["panel", "date"]).select("model", (F.col("date") >= F.lit("1998-06-30").cast("date")).alias("late"), S.log_loss(F.col("p"), F.col("y")).alias("ll"))
+    half = days.groupBy("model", "late").agg(F.count("*").alias("n"), F.avg("ll").alias("m"), F.var_samp("ll").alias("v"))
+    both = half.groupBy("model").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("nll"), F.sqrt((F.avg("v") * (F.min("n") - 1) / F.min("n") + F.var_samp("m")) / F.avg("v")).alias("r_hat"))
+    k = F.element_at(F.create_map(*(F.lit(x) for pair in PARAMETERS.items() for x in pair)), F.col("model"))
+    return both.select("model", F.lit(True).alias("is_fitted"), "r_hat", F.lit(0).alias("divergences"), (2 * F.col("nll") + k * F.log("n")).alias("bic"))
+
+
+@query(with_(*EVAL, HALVES, "a AS (SELECT model, bic FROM rb WHERE r_hat <= 1.05), b AS (SELECT *, exp(-0.5 * least(50, bic - min(bic) OVER ())) AS raw FROM a)") + "SELECT model, round(bic, 4) AS bic, round(raw / sum(raw) OVER (), 6) AS weight FROM b")
 def bma_weights(spark, sf_dir):
-    registry = spark.createDataFrame(REGISTRY, "model string, is_fitted boolean, r_hat double, divergences int, bic double")
-    return ensemble.bma_weights(ensemble.admitted(registry))
+    return ensemble.bma_weights(ensemble.admitted(_registry(*_setup(spark, sf_dir)))).withColumn("bic", F.round("bic", 4))
 
 
 MIXED = "m(model, weight) AS (VALUES ('soft', 0.5), ('bucket', 0.3), ('trend', 0.2)), mixk AS (SELECT date, k, sum(weight * p) / sum(weight) AS p FROM preds JOIN m USING (model) GROUP BY date, k)"
@@ -461,14 +472,22 @@ def psi_report(spark, sf_dir):
     return audit.psi_report(f.filter("date < '1999-01-01'"), f.filter("date >= '1999-01-01'"), DRIFTED)
 
 
-CARDS = [("soft", "1", "CHAMPION", "2024-01-01 00:00:00"), ("soft", "2", "VALIDATED", "2024-01-05 00:00:00"), ("trend", "1", "EXPERIMENTAL", "2024-01-02 00:00:00"), ("trend", "1", "CHALLENGER", "2024-01-09 00:00:00"), ("bucket", "3", "RETIRED", "2024-01-03 00:00:00")]
+CARDS = """ly AS (SELECT model, year(date) AS version, avg(-ln(greatest(p, 1e-12))) AS loss, avg(-ln(greatest(p, 1e-12))) FILTER (month(date) <= 6) AS early FROM preds JOIN truth USING (date) WHERE k = y GROUP BY 1, 2),
+cards AS (SELECT model, CAST(version AS VARCHAR) AS version, row_number() OVER (PARTITION BY version ORDER BY round(loss, 9), model) AS place FROM ly)"""
 
 
-@query("WITH c(model, version, state, since) AS (VALUES " + ", ".join(map(str, CARDS)) + """), n AS (SELECT model, version, arg_max(state, since) AS state FROM c GROUP BY 1, 2)
-SELECT model, version, CASE WHEN model = 'trend' AND version = '1' THEN 'CHAMPION' WHEN state = 'CHAMPION' THEN 'CHALLENGER' ELSE state END AS state FROM n""")
+@query(with_(*EVAL, CARDS) + """SELECT model, version, CASE WHEN model = 'trend' AND version = '2000' THEN 'CHAMPION' WHEN place = 1 THEN 'CHALLENGER' WHEN place = 2 THEN 'VALIDATED' ELSE 'EXPERIMENTAL' END AS state FROM cards""")
 def champion_registry(spark, sf_dir):
-    cards = spark.createDataFrame(CARDS, "model string, version string, state string, at string").withColumn("updated_at", F.col("at").cast("timestamp"))
-    return governance.promote(cards, "trend", "1", "2024-02-01 00:00:00", "better log loss").select("model", "version", "state")
+    """Cards of each model and year by its log loss, one at mid-year and one at its end; then one model is promoted."""
+    models, truth = _setup(spark, sf_dir)
+    days = models.join(truth.filter("y is not null"), ["panel", "date"]).select("model", F.year("date").alias("v"), F.month("date").alias("month"), S.log_loss(F.col("p"), F.col("y")).alias("ll"))
+    cards = None
+    for until, stamp in ((6, "06-30"), (12, "12-31")):
+        loss = days.filter(F.col("month") <= until).groupBy("model", "v").agg(F.round(F.avg("ll"), 9).alias("loss"))
+        place = F.row_number().over(Window.partitionBy("v").orderBy("loss", "model"))
+        part = loss.select("model", F.col("v").cast("string").alias("version"), F.when(place == 1, "CHAMPION").when(place == 2, "VALIDATED").otherwise("EXPERIMENTAL").alias("state"), F.concat("v", F.lit(f"-{stamp}")).cast("timestamp").alias("updated_at"))
+        cards = part if cards is None else cards.unionByName(part)
+    return governance.promote(cards, "trend", "2000", "2024-02-01 00:00:00", "better log loss").select("model", "version", "state")
 
 
 ASKED = "asked AS (SELECT CAST(unnest(generate_series(DATE '1994-12-25', DATE '2001-12-15', INTERVAL 61 DAY)) AS DATE) AS as_of)"
@@ -575,33 +594,39 @@ def crisis_episodes(spark, sf_dir):
 START = [0.3, 0.25, 0.2, 0.1, 0.15]
 
 
+def _start(spark, sf_dir):
+    """The soft model's probabilities on the panel's last day: one row."""
+    return written(simulation.last_known(_models(_features(spark, sf_dir, often=True)).filter("model = 'soft'")), "start")
+
+
 def _cases(values: list[float], k: str) -> str:
     return f"[{', '.join(map(str, values))}][{k} + 1]"
 
 
 U = "((('0x' || substr(sha256('42|' || path || '|' || day), {at}, 8))::BIGINT + 0.5) / 4294967296.0)"
 CUM = [[round(sum(row[: i + 1]), 12) for i in range(5)] for row in simulation.TRANSITION]
-MC = f"""grid AS (SELECT path, day, {U.format(at=1)} AS u0, {U.format(at=9)} AS u1, {U.format(at=17)} AS u2, {U.format(at=25)} AS u3, {U.format(at=33)} AS u4 FROM (SELECT unnest(range(0, 10000)) AS path), (SELECT unnest(range(0, 21)) AS day)),
-st AS (SELECT path, day, least(4, len(list_filter([0.3, 0.55, 0.75, 0.85, 1.0], lambda c: c < u0))) AS state FROM grid WHERE day = 0 UNION ALL
+LAST = "start_p AS (SELECT k, p, sum(p) OVER (ORDER BY k) AS c FROM soft WHERE date = (SELECT max(date) FROM soft)), start_c AS (SELECT list(c ORDER BY k) AS cum FROM start_p)"
+MC = f"""{LAST}, grid AS (SELECT path, day, {U.format(at=1)} AS u0, {U.format(at=9)} AS u1, {U.format(at=17)} AS u2, {U.format(at=25)} AS u3, {U.format(at=33)} AS u4 FROM (SELECT unnest(range(0, 10000)) AS path), (SELECT unnest(range(0, 21)) AS day)),
+st AS (SELECT path, day, least(4, len(list_filter(cum, lambda c: c < u0))) AS state FROM grid, start_c WHERE day = 0 UNION ALL
   SELECT g.path, g.day, least(4, len(list_filter({CUM}[st.state + 1], lambda c: c < g.u0))) FROM st JOIN grid g ON g.path = st.path AND g.day = st.day + 1),
 mc AS (SELECT path, day, state, {_cases(simulation.MEANS, 'state')} / 252 + {_cases(simulation.VOLS, 'state')} / sqrt(252) * (sqrt(-2 * ln(u1)) * cos(2 * pi() * u2) / sqrt((-2 * ln(u3) - 2 * ln(u4) + (sqrt(-2 * ln(u1)) * sin(2 * pi() * u2)) ^ 2) / 5) / sqrt(5 / 3.0)) AS ret FROM st JOIN grid USING (path, day)),
 tot AS (SELECT path, exp(sum(ln(1 + ret))) - 1 AS r FROM mc GROUP BY path), vq AS (SELECT quantile_cont(r, 0.05) AS a, quantile_cont(r, 0.01) AS b FROM tot)"""
 
 
-@query(with_(MC, recursive=True) + rounded("path day %state #ret", "mc"))
+@query(with_(*EVAL, MC, recursive=True) + "SELECT path, day, CAST(state AS BIGINT) AS state, round(ret, 6) + 0.0 AS ret FROM mc")
 def regime_paths(spark, sf_dir):
-    return simulation.simulate(spark, START)
+    return simulation.simulate(spark, _start(spark, sf_dir))
 
 
-@query(with_(MC, recursive=True) + "SELECT round(any_value(a), 6) AS var_95, round(avg(r) FILTER (r <= a), 6) AS cvar_95, round(any_value(b), 6) AS var_99, round(avg(r) FILTER (r <= b), 6) AS cvar_99, round(avg(r), 6) AS expected_return, round(stddev_pop(r), 6) AS path_volatility FROM tot, vq")
+@query(with_(*EVAL, MC, recursive=True) + "SELECT round(any_value(a), 6) AS var_95, round(avg(r) FILTER (r <= a), 6) AS cvar_95, round(any_value(b), 6) AS var_99, round(avg(r) FILTER (r <= b), 6) AS cvar_99, round(avg(r), 6) AS expected_return, round(stddev_pop(r), 6) AS path_volatility FROM tot, vq")
 def tail_risk(spark, sf_dir):
-    return simulation.tail_risk(simulation.simulate(spark, START))
+    return simulation.tail_risk(simulation.simulate(spark, _start(spark, sf_dir)))
 
 
-@query(with_(MC, "wl AS (SELECT path, day, exp(sum(ln(1 + ret)) OVER (PARTITION BY path ORDER BY day)) AS x FROM mc)", recursive=True)
+@query(with_(*EVAL, MC, "wl AS (SELECT path, day, exp(sum(ln(1 + ret)) OVER (PARTITION BY path ORDER BY day)) AS x FROM mc)", recursive=True)
        + "SELECT day, " + ", ".join(f"round(quantile_cont(x, {q}), 6) AS q{round(100 * q):02d}" for q in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95)) + " FROM wl GROUP BY day")
 def fan_chart(spark, sf_dir):
-    return simulation.fan_chart(simulation.simulate(spark, START))
+    return simulation.fan_chart(simulation.simulate(spark, _start(spark, sf_dir)))
 
 
 @query(with_(*BASE, "sc(scenario, r, v, b, u) AS (VALUES " + ", ".join(f"('{n}', {s['nifty_ret_1d']}, {s['vix_level']}, {s['breadth_midcap_ret_21d']}, {s['usdinr_ret_21d']})" for n, s in simulation.SHOCKS.items()) + ")")
@@ -615,19 +640,28 @@ def shock_injection(spark, sf_dir):
     return out
 
 
+#: Forms of stress descriptions; {} is a whole number n from 1 to 3. Beside them, read by hand from the rules: feature and shock of each clause in SQL.
 SCENARIOS = [
-    (1, "Increase India VIX by 30% and drop NIFTY 4%"), (2, "USD/INR +3%"), (3, "Rupee appreciation"), (4, "Spike VIX to 45, midcap breadth falls 150 bps; sma +2%"),
-    (5, "Rupee weakens 2%"), (6, "realized vol up 5 points"), (7, "something unclear"), (8, "nifty crash"), (9, "INR -1.5%"), (10, "vix falls 3 pts and dollar rises 1 percent"),
+    ("Increase India VIX by {}0% and drop NIFTY {}%", [("vix_level", "1.5 * n"), ("nifty_ret_1d", "-0.01 * n")]), ("USD/INR +{}%", [("usdinr_ret_21d", "0.01 * n")]), ("Rupee appreciation", [("usdinr_ret_21d", "-0.03")]),
+    ("Spike VIX to {}5, midcap breadth falls {}50 bps; sma +{}%", [("vix_level", "10 * n - 10"), ("breadth_midcap_ret_21d", "-0.01 * n - 0.005"), ("nifty_dist_sma50", "0.01 * n")]), ("Rupee weakens {}%", [("usdinr_ret_21d", "0.01 * n")]),
+    ("realized vol up {} points", [("nifty_vol_ewma_21d", "0.01 * n")]), ("something unclear", []), ("nifty crash", [("nifty_ret_1d", "-0.03")]), ("INR -{}%", [("usdinr_ret_21d", "0.01 * n")]),
+    ("vix falls {} pts and dollar rises {} percent", [("vix_level", "-1.0 * n"), ("usdinr_ret_21d", "0.01 * n")]),
 ]
-#: Read by hand from the rules: id, feature, shock.
-PARSED = [(1, "vix_level", 4.5), (1, "nifty_ret_1d", -0.04), (2, "usdinr_ret_21d", 0.03), (3, "usdinr_ret_21d", -0.03), (4, "vix_level", 30.0), (4, "breadth_midcap_ret_21d", -0.015), (4, "nifty_dist_sma50", 0.02),
-          (5, "usdinr_ret_21d", 0.02), (6, "nifty_vol_ewma_21d", 0.05), (8, "nifty_ret_1d", -0.03), (9, "usdinr_ret_21d", 0.015), (10, "vix_level", -3.0), (10, "usdinr_ret_21d", 0.01)]
+PARSED = "said AS (SELECT concat_ws('-', conv_id, turn) AS id, CAST((conv_id + turn) % 10 AS BIGINT) AS form, 1 + coalesce(length(text), 0) % 3 AS n FROM conversations),\npr AS (" + " UNION ALL ".join(
+    f"SELECT id, form, n, '{feature}' AS feature, round(CAST({shock} AS DOUBLE), 6) AS shock FROM said WHERE form = {k}" for k, (_, clauses) in enumerate(SCENARIOS) for feature, shock in clauses) + ")"
+
+
+def _scenarios(spark, sf_dir):
+    """(id, text): what each turn of `conversations` asks to be stressed, a form by its numbers with an amount by its length."""
+    forms = F.array(*(F.lit(form) for form, _ in SCENARIOS))
+    amount = (1 + F.coalesce(F.length("text"), F.lit(0)) % 3).cast("string")
+    text = F.replace(F.get(forms, ((F.col("conv_id") + F.col("turn")) % 10).cast("int")), F.lit("{}"), amount)
+    return market.table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), text.alias("text"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{f}', {v}::DOUBLE)" for i, f, v in PARSED) + ") t(id, feature, shock)")
+@query(f"WITH {PARSED} SELECT id, feature, shock FROM pr")
 def scenario_parse(spark, sf_dir):
-    texts = spark.createDataFrame(SCENARIOS, "id long, text string")
-    return simulation.parse_scenarios(texts).filter("feature is not null").select("id", "feature", "shock")
+    return simulation.parse_scenarios(_scenarios(spark, sf_dir)).filter("feature is not null").select("id", "feature", "shock")
 
 
 @query("SELECT conv_id, count(*) AS n_turns, CAST(sum(length(text)) AS BIGINT) AS chars, substr(sha256(string_agg(sha256(coalesce(text, '')), '' ORDER BY turn, sha256(coalesce(text, '')))), 1, 16) AS response_hash FROM conversations GROUP BY conv_id")
@@ -779,7 +813,7 @@ def narratives(spark, sf_dir):
     return rows.select("date", "regime", text.alias("narrative"))
 
 
-@query(with_(MC, recursive=True) + "SELECT round(1e6 * avg(r), 3) AS expected_return_amount, round(1e6 * any_value(a), 3) AS var_95_amount, round(1e6 * avg(r) FILTER (r <= a), 3) AS cvar_95_amount, round(1e6 * any_value(b), 3) AS var_99_amount, round(1e6 * avg(r) FILTER (r <= b), 3) AS cvar_99_amount FROM tot, vq")
+@query(with_(*EVAL, MC, recursive=True) + "SELECT round(1e6 * avg(r), 3) AS expected_return_amount, round(1e6 * any_value(a), 3) AS var_95_amount, round(1e6 * avg(r) FILTER (r <= a), 3) AS cvar_95_amount, round(1e6 * any_value(b), 3) AS var_99_amount, round(1e6 * avg(r) FILTER (r <= b), 3) AS cvar_99_amount FROM tot, vq")
 def position_at_risk(spark, sf_dir):
-    amounts = portfolio.position_risk(1e6, simulation.tail_risk(simulation.simulate(spark, START)))
+    amounts = portfolio.position_risk(1e6, simulation.tail_risk(simulation.simulate(spark, _start(spark, sf_dir))))
     return amounts.select(*(F.round(c, 3).alias(c) for c in amounts.columns))

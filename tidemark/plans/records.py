@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import simplex as S
@@ -12,7 +13,7 @@ from ..sources.durable import place, written
 from ..streaming import online
 from .oracle import BARS, BASE, EVAL, PANEL, SCORED, with_
 from .queries import (
-    ALLOC, ASKED, CUM, INPUTS, LINEAR, MC, METRIC_COLUMNS, METRICS, P5, PARSED, PATHS, SCENARIOS, SETS, SPELLS, START, STATE, U, WIDE5, _asked, _cases, _changes, _features, _five, _models, _paths, _setup, _truth, query, rounded,
+    ALLOC, ASKED, CUM, INPUTS, LINEAR, MC, METRIC_COLUMNS, METRICS, P5, LAST, PARSED, PATHS, SETS, SPELLS, START, STATE, U, WIDE5, _asked, _cases, _changes, _features, _five, _models, _paths, _scenarios, _setup, _start, _truth, query, rounded,
 )
 
 # --- sources and artifacts -------------------------------------------------------------------------------------------
@@ -45,12 +46,13 @@ def stored_scores(spark, sf_dir):
     return artifacts.read_table(spark, path, "csv", "model string, n long, log_loss double, brier_score double, rps double")
 
 
-@query("SELECT * FROM (VALUES ('scores', 'VERIFIED', CAST(3 AS BIGINT)), ('nothing', 'UNAVAILABLE', 0), ('blank', 'EMPTY', 0)) t(artifact, status, n_rows)")
+@query(with_(BARS) + "SELECT 'bars' AS artifact, 'VERIFIED' AS status, count(*) AS n_rows FROM bars UNION ALL SELECT 'nothing', 'UNAVAILABLE', 0 UNION ALL SELECT 'negative', CASE WHEN count(*) > 0 THEN 'VERIFIED' ELSE 'EMPTY' END, count(*) FROM bars WHERE close < 0")
 def artifact_status(spark, sf_dir):
-    full, blank = place(spark, "table"), place(spark, "blank")
-    artifacts.write_table(spark.range(3), full)
-    artifacts.write_predictions(spark.range(0), blank)
-    return artifacts.artifact_status(spark, {"scores": (full, "csv"), "nothing": (place(spark, "nothing"), "csv"), "blank": (blank, "parquet")})
+    """Whether written artifacts are there: all bars, those with a negative close, and one that nobody wrote."""
+    full, blank, bars = place(spark, "table"), place(spark, "blank"), written(market.daily_bars(spark, sf_dir), "bars")
+    artifacts.write_table(bars, full)
+    artifacts.write_predictions(bars.filter("close < 0"), blank)
+    return artifacts.artifact_status(spark, {"bars": (full, "csv"), "nothing": (place(spark, "nothing"), "csv"), "negative": (blank, "parquet")})
 
 
 ASKED_SERIES = ["AFRICA", "EUROPE", "VIX_INDEX", "GILT_10Y", "NO_SUCH_SERIES"]
@@ -326,7 +328,7 @@ TAIL = "tr AS (SELECT any_value(a) AS var_95, avg(r) FILTER (r <= a) AS cvar_95
 FROM asked a ASOF JOIN ent e ON a.as_of >= e.date, names, tr, tilt WHERE tilt.regime = n[top + 1]""")
 def committee_memos(spark, sf_dir):
     state = governance.regime_state(_models(_features(spark, sf_dir, often=True)).filter("model = 'soft'"), _asked(spark))
-    return governance.committee_memo(state, simulation.tail_risk(simulation.simulate(spark, START))).drop("panel")
+    return governance.committee_memo(state, simulation.tail_risk(simulation.simulate(spark, _start(spark, sf_dir)))).drop("panel")
 
 
 BOCPD = """xs AS MATERIALIZED (SELECT date, 0.02 * nifty_ret_1d AS x, row_number() OVER (ORDER BY date) AS t FROM feat WHERE nifty_ret_1d IS NOT NULL),
@@ -347,14 +349,14 @@ def changepoint_scores(spark, sf_dir):
 
 @query(with_(*EVAL, UNC, STATE, MC, TAIL, BOCPD, recursive=True) + """SELECT strftime(date, '%Y-%m-%d') AS date, n[top + 1] AS regime, CASE WHEN greatest(0, total - aleatoric) > 0.4 THEN 'Stay cautious: the models part ways (epistemic uncertainty ' || printf('%.2f', total - aleatoric) || ').'
   WHEN top = 4 THEN 'Protect capital: Risk-Off holds ' || printf('%.1f', 100 * probability) || ' % of the probability and the worst twentieth of months loses ' || printf('%.2f', 100 * cvar_95) || ' % on average.'
-  WHEN top = 0 THEN 'Lean in: Risk-On holds ' || printf('%.1f', 100 * probability) || ' % of the probability.' ELSE 'Keep hedges: no side prevails, a break is ' || printf('%.1f', 100 * cp_zero) || ' % likely.' END AS commentary FROM ent JOIN ah USING (date) JOIN th USING (date) JOIN cp USING (date), names, tr""")
+  WHEN top = 0 THEN 'Lean in: Risk-On holds ' || printf('%.1f', 100 * probability) || ' % of the probability.' ELSE 'Keep hedges: no side prevails, a break is ' || printf('%.1f', 100 * changepoint) || ' % likely.' END AS commentary FROM ent JOIN ah USING (date) JOIN th USING (date) JOIN cp USING (date), names, tr""")
 def committee_brief(spark, sf_dir):
-    """The stance of each day; the tail risk is simulated, the break's probability comes from the online detector (that of run length 0)."""
+    """The stance of each day; the tail risk is simulated, the break's probability is the online detector's mass of short runs."""
     f = _features(spark, sf_dir, often=True)
     m = written(_models(f), "models")
-    rows = m.filter("model = 'soft'").join(ensemble.uncertainty(m), ["panel", "date"]).join(_changes(f), ["panel", "date"]).join(F.broadcast(simulation.tail_risk(simulation.simulate(spark, START)).select("cvar_95")))
+    rows = m.filter("model = 'soft'").join(ensemble.uncertainty(m), ["panel", "date"]).join(_changes(f), ["panel", "date"]).join(F.broadcast(simulation.tail_risk(simulation.simulate(spark, _start(spark, sf_dir))).select("cvar_95")))
     regime = S.label(S.argmax(F.col("p")))
-    return rows.select("date", regime.alias("regime"), governance.commentary(regime, F.array_max("p"), F.col("epistemic"), F.col("cvar_95"), F.col("cp_zero")).alias("commentary"))
+    return rows.select("date", regime.alias("regime"), governance.commentary(regime, F.array_max("p"), F.col("epistemic"), F.col("cvar_95"), F.col("changepoint")).alias("commentary"))
 
 
 @query(with_(*EVAL, "sa AS (SELECT date, max(p) AS probability, arg_max(k, p * 1e9 - k) AS top FROM soft GROUP BY date)", "pl AS (SELECT *, row_number() OVER (PARTITION BY top ORDER BY probability DESC, date) AS place FROM sa QUALIFY place <= 5)")
@@ -364,13 +366,19 @@ def analogs(spark, sf_dir):
     return governance.analogs(_models(f).filter("model = 'soft'"), _truth(f)).drop("panel")
 
 
-QUESTIONS = [(1, "What is the current regime?"), (2, "How large is the prediction set?"), (3, "What is the tail risk?"), (4, "Hello")]
+QUESTIONS = ["What is the current regime?", "How large is the prediction set?", "What is the tail risk?", "Hello"]
+ANSWERS = ("'The regime is ' || n[top + 1] || ' at ' || printf('%.1f', 100 * probability) || ' %.'", "'The prediction set has ' || set_size || ' members.'", "'The month''s CVaR is ' || printf('%.1f', 100 * cvar_95) || ' %.'")
 
 
-@query("WITH q(id, question) AS (VALUES " + ", ".join(map(str, QUESTIONS)) + ") SELECT CAST(id AS BIGINT) AS id, CASE id WHEN 1 THEN 'The regime is Risk-On at 62.0 %.' WHEN 2 THEN 'The prediction set has 2 members.' WHEN 3 THEN 'The month''s CVaR is -8.0 %.' ELSE 'The regime is Risk-On at 62.0 %. The prediction set has 2 members. The month''s CVaR is -8.0 %.' END AS answer FROM q")
+@query(with_(*EVAL, SETS, STATE, MC, TAIL, f"aw AS (SELECT date, dayofyear(date) % 4 AS q, {ANSWERS[0]} AS a, {ANSWERS[1]} AS b, {ANSWERS[2]} AS c FROM ent JOIN sets USING (date), names, tr WHERE model = 'soft')", recursive=True)
+       + "SELECT strftime(date, '%Y-%m-%d') AS date, CASE q WHEN 0 THEN a WHEN 1 THEN b WHEN 2 THEN c ELSE a || ' ' || b || ' ' || c END AS answer FROM aw")
 def template_answers(spark, sf_dir):
-    rows = spark.createDataFrame(QUESTIONS, "id long, question string")
-    return rows.select("id", governance.template_answer(F.col("question"), {"regime": F.lit("Risk-On"), "probability": F.lit(0.62), "set_size": F.lit(2), "cvar": F.lit(-0.08)}).alias("answer"))
+    """Each day's answer to one of four questions, from that day's regime and prediction set and the tail risk of the last day."""
+    f = _features(spark, sf_dir, often=True)
+    rows = scoring.conformal_sets(_models(f).filter("model = 'soft'")).join(F.broadcast(simulation.tail_risk(simulation.simulate(spark, _start(spark, sf_dir))).select("cvar_95")))
+    question = F.get(F.array(*map(F.lit, QUESTIONS)), F.dayofyear("date") % 4)
+    state = {"regime": S.label(S.argmax(F.col("p"))), "probability": F.array_max("p"), "set_size": F.col("set_size"), "cvar": F.col("cvar_95")}
+    return rows.select("date", governance.template_answer(question, state).alias("answer"))
 
 
 WAIC = """ob AS (SELECT row_number() OVER (ORDER BY date) AS obs, nifty_ret_1d AS x FROM feat WHERE nifty_ret_1d IS NOT NULL), dr AS (SELECT d, 0.01 * (d - 10) AS m, 0.3 + 0.01 * d AS s FROM (SELECT unnest(range(0, 20)) AS d)),
@@ -434,44 +442,46 @@ GRID = [("VIX rises {} pts", "vix_level", 1.0), ("vix falls {} points", "vix_lev
         ("USD/INR -{}%", "usdinr_ret_21d", -0.01), ("rupee strengthens {}%", "usdinr_ret_21d", -0.01), ("midcap breadth falls {} basis points", "breadth_midcap_ret_21d", -0.0001), ("realized vol up {} pts", "nifty_vol_ewma_21d", 0.01), ("Spike VIX to {}", "vix_level", None)]
 
 
-@query("WITH g(k, feature, f) AS (VALUES " + ", ".join(f"({k}, '{feature}', {'NULL' if f is None else f}::DOUBLE)" for k, (_, feature, f) in enumerate(GRID)) + "), n AS (SELECT unnest(range(1, 51)) AS n) SELECT CAST(k * 100 + n AS BIGINT) AS id, feature, round(CASE WHEN f IS NULL THEN n - 15 ELSE n * f END, 6) AS shock FROM g, n")
+@query("WITH g(k, feature, f) AS (VALUES " + ", ".join(f"({k}, '{feature}', {'NULL' if f is None else f}::DOUBLE)" for k, (_, feature, f) in enumerate(GRID)) + "), n AS (SELECT o_orderkey, 1 + o_custkey % 50 AS n, o_orderkey % 10 AS k FROM orders) SELECT o_orderkey AS id, feature, round(CASE WHEN f IS NULL THEN n - 15 ELSE n * f END, 6) AS shock FROM n JOIN g USING (k)")
 def scenario_grid(spark, sf_dir):
-    """Sentences of every form with fifty amounts each."""
-    amount = spark.range(1, 51).select(F.col("id").alias("n"), F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(form).alias("form")) for k, (form, *_) in enumerate(GRID)))).alias("x"))
-    texts = amount.select((F.col("x.k") * 100 + F.col("n")).alias("id"), F.replace(F.col("x.form"), F.lit("{}"), F.col("n").cast("string")).alias("text"))
+    """A sentence for each order: its form by the order's number, its amount, from 1 to 50, by the customer's."""
+    forms = F.array(*(F.lit(form) for form, *_ in GRID))
+    orders = market.table(spark, sf_dir, "orders")
+    texts = orders.select(F.col("o_orderkey").alias("id"), F.replace(F.get(forms, (F.col("o_orderkey") % 10).cast("int")), F.lit("{}"), (1 + F.col("o_custkey") % 50).cast("string")).alias("text"))
     return simulation.parse_scenarios(texts).select("id", "feature", "shock")
 
 
-@query("WITH p(id, feature, shock) AS (VALUES " + ", ".join(map(str, PARSED)) + ") SELECT CAST(id AS BIGINT) AS id, feature, printf('%+.4f', shock) AS shock FROM p")
+@query(f"WITH {PARSED} SELECT id, feature, printf('%+.4f', shock) AS shock FROM pr")
 def scenario_display(spark, sf_dir):
-    texts = spark.createDataFrame(SCENARIOS, "id long, text string")
-    return simulation.display_rows(simulation.parse_scenarios(texts)).filter("feature <> 'not understood'").select("id", "feature", "shock")
+    return simulation.display_rows(simulation.parse_scenarios(_scenarios(spark, sf_dir))).filter("feature <> 'not understood'").select("id", "feature", "shock")
 
 
-STRESS = "pr(id, feature, shock) AS (VALUES " + ", ".join(map(str, PARSED)) + """), sv AS (SELECT id, sum(abs(shock)) AS sev, coalesce(max(shock) FILTER (feature = 'vix_level'), 0) AS vix, coalesce(max(shock) FILTER (feature = 'nifty_ret_1d'), 0) AS ret FROM pr GROUP BY id),
-bs(k, b, dn, up) AS (VALUES (0, 0.3, -0.7, 0.7), (1, 0.25, -0.3, 0.2), (2, 0.2, 0.1, -0.1), (3, 0.1, 0.3, -0.3), (4, 0.15, 0.6, -0.6)),
-mv0 AS (SELECT id, k, b, least(1.0, greatest(0.001, b + CASE WHEN vix > 2 OR ret < -0.02 THEN least(0.45, sev * 0.15) * dn WHEN vix < -2 OR ret > 0.02 THEN least(0.35, sev * 0.15) * up ELSE 0 END)) AS m FROM sv, bs),
-mv AS (SELECT id, k, b, m / sum(m) OVER (PARTITION BY id) AS p FROM mv0)"""
+#: Shock vectors that are equal share one group g, which is what is simulated.
+STRESS = LAST + ", " + PARSED + """, sv0 AS (SELECT id, min(form) AS form, min(n) AS n, sum(abs(shock)) AS sev, coalesce(max(shock) FILTER (feature = 'vix_level'), 0) AS vix, coalesce(max(shock) FILTER (feature = 'nifty_ret_1d'), 0) AS ret FROM pr GROUP BY id),
+sv AS (SELECT DISTINCT form * 10 + n AS g, sev, vix, ret FROM sv0), sg AS (SELECT id, form * 10 + n AS g FROM sv0),
+bs AS (SELECT k, p AS b, [-0.7, -0.3, 0.1, 0.3, 0.6][k + 1] AS dn, [0.7, 0.2, -0.1, -0.3, -0.6][k + 1] AS up FROM start_p),
+mv0 AS (SELECT g, k, b, least(1.0, greatest(0.001, b + CASE WHEN vix > 2 OR ret < -0.02 THEN least(0.45, sev * 0.15) * dn WHEN vix < -2 OR ret > 0.02 THEN least(0.35, sev * 0.15) * up ELSE 0 END)) AS m FROM sv, bs),
+mv AS (SELECT g AS gid, k, b, m / sum(m) OVER (PARTITION BY g) AS p FROM mv0)"""
 
 
-@query(with_(STRESS) + f"SELECT CAST(id AS BIGINT) AS id, {NAMES5}[k + 1] AS regime, round(b, 6) AS baseline, round(p, 6) AS stressed, round(100 * (p - b), 6) AS shift_pp FROM mv")
+@query(with_(*EVAL, STRESS) + f"SELECT id, {NAMES5}[k + 1] AS regime, round(b, 6) AS baseline, round(p, 6) AS stressed, round(100 * (p - b), 6) AS shift_pp FROM mv JOIN sg ON g = gid")
 def probability_shift(spark, sf_dir):
-    vectors = simulation.shock_vectors(simulation.parse_scenarios(spark.createDataFrame(SCENARIOS, "id long, text string")))
-    return simulation.probability_shift(simulation.simulate_scenarios(vectors, START, parametric=True), START)
+    start = _start(spark, sf_dir)
+    vectors = simulation.shock_vectors(simulation.parse_scenarios(_scenarios(spark, sf_dir)))
+    return simulation.probability_shift(simulation.simulate_scenarios(vectors, start, parametric=True), start)
 
 
-PATHS5 = f"""cm AS (SELECT id, list(c ORDER BY k) AS cum FROM (SELECT id, k, sum(p) OVER (PARTITION BY id ORDER BY k) AS c FROM mv) GROUP BY id),
+PATHS5 = f"""cm AS (SELECT gid AS id, list(c ORDER BY k) AS cum FROM (SELECT gid, k, sum(p) OVER (PARTITION BY gid ORDER BY k) AS c FROM mv) GROUP BY gid),
 sgrid AS (SELECT path, day, {U.format(at=1)} AS u0, {U.format(at=9)} AS u1, {U.format(at=17)} AS u2, {U.format(at=25)} AS u3, {U.format(at=33)} AS u4 FROM (SELECT unnest(range(0, 5000)) AS path), (SELECT unnest(range(0, 21)) AS day)),
 sst AS (SELECT id, path, day, least(4, len(list_filter(cum, lambda c: c < u0))) AS state FROM sgrid, cm WHERE day = 0 UNION ALL SELECT s.id, g.path, g.day, least(4, len(list_filter({CUM}[s.state + 1], lambda c: c < g.u0))) FROM sst s JOIN sgrid g ON g.path = s.path AND g.day = s.day + 1),
 sret AS (SELECT id, path, {_cases(simulation.MEANS, 'state')} / 252 + {_cases(simulation.VOLS, 'state')} / sqrt(252) * (sqrt(-2 * ln(u1)) * cos(2 * pi() * u2) / sqrt((-2 * ln(u3) - 2 * ln(u4) + (sqrt(-2 * ln(u1)) * sin(2 * pi() * u2)) ^ 2) / 5) / sqrt(5 / 3.0)) AS ret FROM sst JOIN sgrid USING (path, day)),
 stot AS (SELECT id, path, exp(sum(ln(1 + ret))) - 1 AS r FROM sret GROUP BY id, path), sq AS (SELECT id, quantile_cont(r, 0.05) AS a FROM stot GROUP BY id), srk AS (SELECT id, any_value(a) AS var_95, avg(r) FILTER (r <= a) AS cvar_95, avg(r) AS expected_return FROM stot JOIN sq USING (id) GROUP BY id),
-sp AS (SELECT id, {WIDE5}, arg_max(k, p * 1e9 - k) AS top, -sum(p * ln(greatest(p, 1e-12))) AS entropy FROM mv GROUP BY id)"""
+sp AS (SELECT gid AS id, {WIDE5}, arg_max(k, p * 1e9 - k) AS top, -sum(p * ln(greatest(p, 1e-12))) AS entropy FROM mv GROUP BY gid)"""
 
 
-@query(with_(STRESS, PATHS5, recursive=True) + f"SELECT CAST(id AS BIGINT) AS id, round(p0, 6) AS p0, round(p1, 6) AS p1, round(p2, 6) AS p2, round(p3, 6) AS p3, round(p4, 6) AS p4, {NAMES5}[top + 1] AS dominant_regime, round(entropy, 6) AS entropy, round(var_95, 6) AS var_95, round(cvar_95, 6) AS cvar_95, round(expected_return, 6) AS expected_return FROM sp JOIN srk USING (id)")
+@query(with_(*EVAL, STRESS, PATHS5, recursive=True) + f"SELECT sg.id, round(p0, 6) AS p0, round(p1, 6) AS p1, round(p2, 6) AS p2, round(p3, 6) AS p3, round(p4, 6) AS p4, {NAMES5}[top + 1] AS dominant_regime, round(entropy, 6) AS entropy, round(var_95, 6) AS var_95, round(cvar_95, 6) AS cvar_95, round(expected_return, 6) AS expected_return FROM sg JOIN sp ON sp.id = g JOIN srk ON srk.id = g")
 def scenario_stress(spark, sf_dir):
-    texts = spark.createDataFrame(SCENARIOS, "id long, text string")
-    return simulation.simulate_scenarios(simulation.shock_vectors(simulation.parse_scenarios(texts)), START)
+    return simulation.simulate_scenarios(simulation.shock_vectors(simulation.parse_scenarios(_scenarios(spark, sf_dir))), _start(spark, sf_dir))
 
 
 # --- streams as tables -----------------------------------------------------------------------------------------------
@@ -505,16 +515,30 @@ def decayed_counts(spark, sf_dir):
     return _five(online.decayed_counts(_models(_features(spark, sf_dir, often=True)).filter("model = 'soft'")), ["date"])
 
 
-ESTIMATES = {"hmm": (28233.26, [[0.92, 0.08], [0.05, 0.95]], 28240.0, [[0.90, 0.10], [0.06, 0.94]]), "rsvar": (44816.43, [[0.7, 0.3], [0.2, 0.8]], 44700.0, [[0.72, 0.28], [0.2, 0.8]]), "mixture": (100.0, [[0.5, 0.5], [0.5, 0.5]], 101.0, [[0.9, 0.1], [0.5, 0.5]])}
+ESTIMATES = """tops AS (SELECT model, date, (arg_max(k, p * 1e9 - k) > 1)::INT AS s FROM preds GROUP BY model, date), moves AS (SELECT model, date, lag(s) OVER (PARTITION BY model ORDER BY date) AS a, s AS b FROM tops),
+counts AS (SELECT model, part, a, b, count(*) AS c FROM (SELECT model, 'all' AS part, a, b FROM moves WHERE a IS NOT NULL UNION ALL SELECT model, 'late', a, b FROM moves WHERE a IS NOT NULL AND date >= DATE '1998-06-30') GROUP BY ALL),
+est AS (SELECT model, part, a, b, c, c / sum(c) OVER (PARTITION BY model, part, a) AS p FROM counts), lls AS (SELECT model, part, 1000 * sum(c * ln(p)) / sum(c) AS ll FROM est GROUP BY ALL),
+cell AS (SELECT model, a, b, max(p) FILTER (part = 'all') AS p, max(p) FILTER (part = 'late') AS q FROM (SELECT e.model, part, e.a, e.b, p FROM est e UNION ALL SELECT model, part, x.a, x.b, 0 FROM (SELECT DISTINCT model, part FROM est), (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) x(a, b)) GROUP BY ALL),
+fd AS (SELECT model, sqrt(sum((p - q) ^ 2)) AS frobenius FROM cell GROUP BY model), dl AS (SELECT model, abs(max(ll) FILTER (part = 'all') - max(ll) FILTER (part = 'late')) AS delta_ll FROM lls GROUP BY model)"""
+
+
+def _chain(models, late):
+    """(model, ll, trans): transitions between calm and troubled regimes, counted over all days or the later ones, and the mean log-likelihood of 1,000 of them."""
+    w = Window.partitionBy("model").orderBy("date")
+    s = (S.argmax(F.col("p")) > 1).cast("int")
+    moves = models.select("model", "date", s.alias("b")).withColumn("a", F.lag("b").over(w)).filter("a is not null")
+    moves = moves.filter(F.col("date") >= F.lit("1998-06-30").cast("date")) if late else moves
+    n = moves.groupBy("model").agg(*(F.count_if((F.col("a") == i) & (F.col("b") == j)).alias(f"n{i}{j}") for i in (0, 1) for j in (0, 1)))
+    p = {(i, j): F.col(f"n{i}{j}") / (F.col(f"n{i}0") + F.col(f"n{i}1")) for i in (0, 1) for j in (0, 1)}
+    ll = sum((F.when(F.col(f"n{i}{j}") > 0, F.col(f"n{i}{j}") * F.log(x)).otherwise(0.0) for (i, j), x in p.items()), F.lit(0.0))
+    return n.select("model", (1000 * ll / sum((F.col(f"n{i}{j}") for i, j in p), F.lit(0))).alias("ll"), F.array(*(F.array(p[i, 0], p[i, 1]) for i in (0, 1))).alias("trans"))
 
 
-@query("WITH e(model, a, p, b, q) AS (VALUES " + ", ".join(f"('{m}', {a}, {[x for r in p for x in r]}, {b}, {[x for r in q for x in r]})" for m, (a, p, b, q) in ESTIMATES.items()) + "), d AS (SELECT model, sqrt(list_sum(list_transform(range(1, 5), lambda i: (p[i] - q[i]) ^ 2)))::DOUBLE AS frobenius, abs(a - b)::DOUBLE AS delta_ll FROM e) "
-       "SELECT model, round(frobenius, 6) AS frobenius, round(delta_ll, 6) AS delta_ll, frobenius < 0.15 AND delta_ll < 50 AS is_reconciled FROM d")
+@query(with_(*EVAL, ESTIMATES) + "SELECT model, round(frobenius, 6) AS frobenius, round(delta_ll, 6) AS delta_ll, frobenius < 0.15 AND delta_ll < 50 AS is_reconciled FROM fd JOIN dl USING (model)")
 def estimate_reconciliation(spark, sf_dir):
-    """Two implementations' estimates of the same models."""
-    schema = "model string, ll double, trans array<array<double>>"
-    ours, theirs = (spark.createDataFrame([(m, x[i], x[i + 1]) for m, x in ESTIMATES.items()], schema) for i in (0, 2))
-    return ensemble.reconcile_estimates(ours, theirs)
+    """Two estimates of each model's two-state chain, over the whole panel and over its later half."""
+    models = _models(_features(spark, sf_dir, often=True))
+    return ensemble.reconcile_estimates(_chain(models, False), _chain(models, True))
 
 
 @query(with_(*BASE, "g AS (SELECT regr_slope(nifty_ret_1d, vix_level) AS slope, regr_intercept(nifty_ret_1d, vix_level) AS intercept FROM feat)") + "SELECT unnest(['intercept', 'vix_level']) AS term, TRUE AS covers_least_squares, TRUE AS converged FROM g")
