@@ -19,7 +19,7 @@ from .native import BLANKS, SPACE, WORD, let, total, words
 SYMBOLS = "#*$%&|<>"
 #: Rows of the sample on which costs and selectivities are estimated, and one in how many rows may belong to it.
 SAMPLE = 400
-SPREAD = 8
+SEED = 7
 #: Times that a condition is evaluated on each row of the sample; seconds below which costs can't be told apart.
 REPEATS = 8
 LEAST_COST = 1e-3
@@ -98,8 +98,8 @@ def default_rules(text: Column) -> list[Rule]:
 
 
 def sampled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """At most `sample` rows: those whose texts' hashes fall into one of SPREAD classes, so that no head of the table stands for all."""
-    return docs.filter(F.pmod(F.xxhash64(*docs.columns), F.lit(SPREAD)) == 0).limit(sample)
+    """About `sample` rows (give or take its root), each of docs' rows with the same odds; all of a smaller table."""
+    return docs.sample(min(1.0, sample / max(docs.count(), 1)), seed=SEED)
 
 
 def measure(rows: DataFrame, rules: list[Rule], repeats: int = REPEATS) -> list[tuple[Rule, float, float]]:
