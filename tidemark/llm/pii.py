@@ -47,14 +47,18 @@ IBAN_LENGTHS = {
     24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }
 _IBAN = r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"
+#: What may stand between blocks of a number: blank, hyphen, no-break blank and hyphen, narrow no-break blank.
+_GAP = r"[\x20\-\u00A0\u2011\u202F]"
 
 
 def iban_end(candidate: Column) -> Column:
     """Length of the account number that a candidate begins with, null if none.
 
-    Numbers end where a block does. One of its country's length is preferred, then the longest.
+    Numbers end where a block does. One of its country's length is preferred, whatever its letters' case; then the longest
+    in capitals.
     """
-    own = F.concat(*(F.when(F.substring(candidate, 1, 2).isin(c.split()), F.lit(str(n))).otherwise(F.lit("")) for n, c in IBAN_LENGTHS.items()))
+    country = F.upper(F.substring(candidate, 1, 2))
+    own = F.concat(*(F.when(country.isin(c.split()), F.lit(str(n))).otherwise(F.lit("")) for n, c in IBAN_LENGTHS.items()))
 
     def prefix(blocks: Column, k: Column) -> Column:
         plain = F.array_join(F.slice(blocks, F.lit(1), k), "")
@@ -62,9 +66,10 @@ def iban_end(candidate: Column) -> Column:
 
     def best(blocks: Column) -> Column:
         every = F.transform(F.sequence(F.lit(1), F.size(blocks)), lambda k: prefix(blocks, k))
-        return F.array_max(F.filter(every, lambda x: x["plain"].rlike(_IBAN) & mod97(x["plain"])))["end"]
+        real = lambda x: F.when(x["fits"], F.upper(x["plain"])).otherwise(x["plain"])
+        return F.array_max(F.filter(every, lambda x: real(x).rlike(_IBAN) & mod97(real(x))))["end"]
 
-    return let(F.split(candidate, " "), best)
+    return let(F.split(candidate, _GAP), best)
 
 
 @dataclass(frozen=True)
@@ -96,8 +101,9 @@ BASE = (
 #: Kinds that the method adds. National numbers have no checksum and need a word near them.
 MORE = (
     # each word that can begin a number is a candidate, with what may follow ahead of it: a number ends no other's search
-    Kind("iban", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))[A-Z]{2}[0-9]{2}", lambda m: F.lit(True), 1.0, r"\b(?:iban|account|konto|cuenta|compte)\b", group=1, taken=4, end=iban_end),
-    Kind("national", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), 0.3, r"\b(?:ssn|social security|national id|tax id|passport)\b"),
+    Kind("iban", rf"[A-Za-z]{{2}}[0-9]{{2}}{_GAP}?[A-Za-z0-9]", rf"(?<![A-Za-z0-9])(?=([A-Za-z]{{2}}[0-9]{{2}}(?:{_GAP}?[A-Za-z0-9]){{11,30}}+[A-Za-z0-9]?))[A-Za-z]{{2}}[0-9]{{2}}", lambda m: F.lit(True), 1.0, r"\b(?:iban|account|konto|cuenta|compte)\b", group=1, taken=4, end=iban_end),
+    Kind("national", rf"[0-9]{{3}}{_GAP}[0-9]{{2}}{_GAP}[0-9]{{4}}", rf"(?<![0-9-])[0-9]{{3}}{_GAP}[0-9]{{2}}{_GAP}[0-9]{{4}}(?![0-9-])", lambda m: ~m.rlike("^(?:000|666|9)|^.{4}00|0000$"), 0.3,
+         r"\b(?:ssn|social security|national id|tax id|passport|sozialversicherung|steuernummer|reisepass|seguridad social|pasaporte|sécurité sociale|passeport)"),
 )
 KINDS = BASE + MORE
 #: Added spans need this score. Characters before and after a span in which words are looked for.
