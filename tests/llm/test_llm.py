@@ -259,6 +259,20 @@ def test_iban_before_capitals_and_digits(spark):
     assert pii.redact(spark.createDataFrame([(1, f"pay {b} The end")], "doc_id long, text string")).first().text == "pay <IBAN> The end"
 
 
+def test_account_numbers_in_all_spellings(spark):
+    """Lower case, hyphens and no-break blanks, with words of either case after them; random words are no number."""
+    plain = ["DE89370400440532013000", "GB29NWBK60161331926819", "NO9386011117947"]
+    cases = []
+    for gap in ("", " ", "-", "\u00a0", "\u202f"):
+        for n in plain:
+            spelled = gap.join(n[i : i + 4] for i in range(0, len(n), 4))
+            cases += [(f"x {form} {after}", form) for form in (spelled, spelled.lower()) for after in ("please pay", "Now", "2024", "")]
+    cases += [("ab12 some words here and there that go on", None), ("de89 3704 0044 0532 0130 01 no", None)]
+    got = pii.find(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string"), ["doc_id", "text"]).collect()
+    for r in got:
+        assert [r.text[s.start : s.end] for s in r.spans if s.kind == "iban"] == ([cases[r.doc_id][1]] if cases[r.doc_id][1] else []), r.text
+
+
 # --- 4
 
 
@@ -276,7 +290,7 @@ def test_quality_rules(spark, sf, docs, odd, empty):
 
 def test_rules_are_ordered_by_rejection_per_cost(docs):
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = quality_rules.sampled(docs.select("text"), 200).persist()
+    rows = quality_rules.sampled(docs.select("text"), 100).persist()
     assert 0 < rows.count() < docs.count()
     costly = quality_rules.Rule("costly", quality_rules.n_repeat_words(F.concat(text, F.lit(" "), F.reverse(text))) >= 0)
     cheap, idle = quality_rules.Rule("cheap", F.length(text) >= 0), quality_rules.Rule("idle", F.length(text) < 0)
@@ -321,9 +335,9 @@ def test_dialogues_fill_all_limits(spark):
         if r.role == "assistant":
             asked = text[r.conv_id, r.turn - 1] + "\n" if (r.conv_id, r.turn - 1) in text else ""
             ids = np.append(encode(asked + (r.text or "")), 0)
-            want[r.conv_id * 1000 + r.turn] = (len(ids), max(len(ids) - len(encode(asked)), 0))
+            want[r.conv_id, r.turn] = (len(ids), max(len(ids) - len(encode(asked)), 0))
     out = catalog.queries()["pack_dialogues"](spark, sf).toPandas()
-    per = out.groupby("doc_id")
+    per = out.groupby(["conv_id", "turn"])
     assert {i: (int(n), int(loss)) for i, n, loss in zip(per.size().index, per.length.sum(), per.loss_tokens.sum(), strict=True)} == want
     g, lim = out.groupby("sequence_id"), packing.DIALOGUES
     n, k, loss = g.length.sum(), g.size(), g.loss_tokens.sum()
@@ -331,6 +345,15 @@ def test_dialogues_fill_all_limits(spark):
     assert (n >= lim.tokens - lim.gap).any() and (k == lim.segments).any() and (loss >= lim.loss - lim.gap).any()
 
 
+def test_answers_of_odd_conversations(spark):
+    """Numbers of a thousand and more, repeated turns, null ids, turns, roles and texts."""
+    rows = [(1, 999, "user", "q"), (1, 1000, "assistant", "late"), (2, 0, "assistant", "first"), (3, 0, "user", "a"), (3, 0, "user", "b"), (3, 1, "assistant", "x"), (3, 1, "assistant", "x"), (None, 1, "assistant", "no id"), (4, None, "assistant", None), (5, 1, None, "no role")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("prompt", F.lit(7)).withColumn("x", F.lit(1))
+    got = sorted(map(tuple, packing.answers(df).collect()), key=repr)
+    assert got == sorted([(1, 1000, "q\nlate", 2), (2, 0, "first", 0), (3, 1, "b\nx", 2), (None, 1, "no id", 0), (4, None, "", 0)], key=repr)
+    assert packing.answers(df.limit(0)).count() == 0
+
+
 def test_dot_product_choice():
     """Each placed piece is the fitting one whose demand has the largest dot product with what is left."""
     rng, lim, placed = np.random.default_rng(3), packing.Limits(tokens=100, segments=5, loss=60, gap=101, window=64), []
@@ -523,11 +546,16 @@ def test_long_texts_have_whole_counts(spark):
     assert got == dict(want)
 
 
-def test_too_many_languages(spark):
-    many = spark.createDataFrame([(f"text {i}", f"l{i}") for i in range(30)], "text string, lang string")
-    with pytest.raises(Exception, match="more than 20 languages"):
-        langid.LanguageModel.fit(many, languages=20)
-    assert len(langid.LanguageModel.fit(many, languages=30).langs) == 30
+def test_many_languages_are_as_one_model(spark):
+    """Three languages to a matrix, ten of them, and one matrix of all: the same predictions and posteriors."""
+    words = [f"{chr(97 + i)}{chr(98 + i)}{chr(110 + i)}" for i in range(10)]
+    many = spark.createDataFrame([(f"{w} {w}{i} text {w * (1 + i % 3)}", f"l{k}") for k, w in enumerate(words) for i in range(4)] + [("", None)], "text string, lang string")
+    blocks = langid.LanguageModel.blocks(many, languages=3)
+    assert [m.langs for m in blocks] == [["l0", "l1", "l2"], ["l3", "l4", "l5"], ["l6", "l7", "l8"], ["l9"]]
+    whole = langid.LanguageModel.fit(many)
+    got, want = ({(r.text, r.lang): (r.lang_pred, round(r.score, 9)) for r in langid.predict(many, m, ["text", "lang"]).collect()} for m in (blocks, whole))
+    assert got == want and got["", None] == ("und", 0.0) and all(p == lang for (_, lang), (p, _) in got.items() if lang)
+    assert sum(np.exp(m.prior).sum() for m in blocks) == pytest.approx(1)
 
 
 # --- 10

@@ -120,15 +120,16 @@ class Packer:
         self.sequence += 1
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", loss_col: str | None = None, tokenizer: str = TOKENIZER, end_id: int = 0, limits: Limits = Limits()) -> DataFrame:
-    """One row for each placed piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", loss_col: str | None = None, tokenizer: str = TOKENIZER, end_id: int = 0, limits: Limits = Limits(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each placed piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens, and the whole numbers `keep` of its document.
 
     A document's ids are those of its text (null: empty) and then end_id; every id lies in exactly one piece. loss_col,
     if given, is the number of leading characters that bear no loss (a prompt; null: 0); otherwise every token bears loss.
     Repeated and null ids are packed as rows of their own. sequence_id is the partition's number times 2**32 plus a count.
     """
     prompt = F.coalesce(F.col(loss_col).cast("long"), F.lit(0)) if loss_col else F.lit(0).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), prompt.alias("prompt"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), prompt.alias("prompt"), *(F.col(c).cast("long").alias(c) for c in keep))
+    schema = ", ".join([SCHEMA, *(f"{c} long" for c in keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
@@ -136,29 +137,30 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", loss_c
         out: list[tuple] = []
 
         def emit(sequence: int, offset: int, piece: tuple) -> None:
-            (doc_id, ids), at, n, loss = piece
-            out.append((doc_id, at, n, zlib.crc32(ids[at : at + n].tobytes()), len(ids), base + sequence, offset, int(loss[at + n] - loss[at])))
+            (doc_id, ids, kept), at, n, loss = piece
+            out.append((doc_id, at, n, zlib.crc32(ids[at : at + n].tobytes()), len(ids), base + sequence, offset, int(loss[at + n] - loss[at]), *kept))
 
         def flush() -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) if out else [()] * 8
+            cols = list(zip(*out, strict=True)) if out else [()] * (8 + len(keep))
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[f.split()[0] for f in SCHEMA.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[f.split()[0] for f in schema.split(", ")])
 
         packer = Packer(limits, emit)
         for b in batches:
-            for doc_id, text, prompt in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            kept = list(zip(*(b.column(3 + i).to_pylist() for i in range(len(keep))), strict=True)) if keep else [()] * b.num_rows
+            for doc_id, text, prompt, own in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), kept, strict=True):
                 text = text.as_py()
                 ids = np.append(encode(text), np.uint32(end_id)).astype("<u4")
                 bears = np.arange(len(ids) + 1, dtype=np.int64)
                 if prompt > 0:
                     bears = np.maximum(bears - len(encode(text[:prompt])), 0)
-                packer.add((doc_id, ids), bears)
+                packer.add((doc_id, ids, own), bears)
             if len(out) >= 4096:
                 yield flush()
         packer.finish()
         yield flush()
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, schema)
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
@@ -177,18 +179,27 @@ DIALOGUES = Limits(tokens=1024, segments=3, loss=800)
 
 
 def answers(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, prompt): every assistant's turn after the turn before it, which bears no loss; doc_id is conversation * 1000 + turn.
+    """(conv_id, turn, text, prompt): every assistant's turn after the turn before it, which bears no loss.
 
-    Turns are joined by (conversation, turn), so a very long conversation is spread like many short ones. A turn without one before
-    it has no prompt; null texts are empty; of rows with the same conversation and turn each meets each.
+    Turns are joined by (conversation, turn), so a very long conversation is spread like many short ones. Of rows with the same
+    conversation and turn one counts, that with the greatest text and then role, so no turn is met twice. A turn without one
+    before it has no prompt; null texts are empty; rows without a conversation or turn stand for themselves, without a prompt.
     """
-    rows = conversations.select(F.col(id_col).cast("long").alias("c"), F.col(turn_col).cast("long").alias("t"), F.col(role_col).alias("r"), F.coalesce(F.col(text_col), F.lit("")).alias("x"))
-    before = rows.select(F.col("c").alias("bc"), (F.col("t") + 1).alias("bt"), F.concat("x", F.lit("\n")).alias("b"))
-    both = rows.filter("r = 'assistant'").join(before, (F.col("c") == F.col("bc")) & (F.col("t") == F.col("bt")), "left")
+    rows = conversations.select(F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("r"), F.coalesce(F.col(text_col), F.lit("")).alias("x"))
+    named = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    last = rows.filter(named).groupBy("conv_id", "turn").agg(F.max(F.struct("x", "r")).alias("s")).select("conv_id", "turn", "s.r", "s.x")
+    before = last.select("conv_id", (F.col("turn") + 1).alias("turn"), F.concat("x", F.lit("\n")).alias("b"))
+    both = last.filter("r = 'assistant'").join(before, ["conv_id", "turn"], "left")
+    alone = rows.filter(~named & (F.col("r") == "assistant")).withColumn("b", F.lit(None).cast("string"))
     asked = F.coalesce("b", F.lit(""))
-    return both.select((F.col("c") * 1000 + F.col("t")).alias("doc_id"), F.concat(asked, F.col("x")).alias("text"), F.length(asked).cast("long").alias("prompt"))
+    return both.unionByName(alone).select("conv_id", "turn", F.concat(asked, F.col("x")).alias("text"), F.length(asked).cast("long").alias("prompt"))
 
 
 def pack_dialogues(spark, sf_dir: str) -> DataFrame:
-    """Answers of all conversations under the limits on tokens, segments and loss-bearing tokens at once."""
-    return pack(answers(spark.read.parquet(f"{sf_dir}/conversations.parquet")), loss_col="prompt", limits=DIALOGUES)
+    """Answers of all conversations under the limits on tokens, segments and loss-bearing tokens at once.
+
+    A piece is named by its conversation and turn. Null and empty answers are the end id alone; an empty table gives no rows; long
+    answers are cut, whole, into pieces; other columns aren't read.
+    """
+    rows = answers(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return pack(rows, id_col="conv_id", loss_col="prompt", limits=DIALOGUES, keep=("turn",)).withColumnRenamed("doc_id", "conv_id")
