@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import hamiltonian
 from . import kernels as K
 
 PROBA = "panel string, date date, model string, p array<double>"
@@ -219,3 +220,25 @@ def changepoints(features: DataFrame, column: str) -> DataFrame:
         return pd.DataFrame(rows, columns=["panel", "segment", "start_date", "end_date", "n", "mean", "sd"])
 
     return features.select("panel", "date", column).na.drop().groupBy("panel").applyInPandas(run, "panel string, segment int, start_date date, end_date date, n long, mean double, sd double")
+
+
+def hamiltonian_chains(features: DataFrame, column: str, chains: int = 2, components: int = 3, warm_up: int = 300, draws: int = 300, seed: int = 42) -> DataFrame:
+    """(panel, chain, draw, state, mean, weight, sd, diverged) of chains of the no-U-turn sampler on a normal mixture; a chain is a group.
+
+    The columns that convergence() reads are as those of mixture_chains(), so both samplers are judged alike.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        chain = int(pdf["chain"].iloc[0])
+        d = hamiltonian.mixture(pdf.sort_values("date")[column].to_numpy(float), seed + chain, components, warm_up, draws)
+        draw, part = np.indices(d["means"].shape)
+        return pd.DataFrame({"panel": pdf["panel"].iloc[0], "chain": chain, "draw": draw.ravel(), "state": part.ravel(), "mean": [[v] for v in d["means"].ravel()], "weight": d["weights"].ravel(), "sd": d["sds"].ravel(), "diverged": np.repeat(d["diverged"], components)})
+
+    data = features.select("panel", "date", column).na.drop().withColumn("chain", F.explode(F.array(*(F.lit(c) for c in range(chains)))))
+    return data.groupBy("panel", "chain").applyInPandas(run, "panel string, chain int, draw int, state int, mean array<double>, weight double, sd double, diverged boolean")
+
+
+def sampler_report(draws: DataFrame) -> DataFrame:
+    """(panel, state, mean, r_hat, ess, n_divergent, converged) of hamiltonian_chains(): converged only without a divergence."""
+    found = draws.groupBy("panel", "state").agg(F.avg(F.get("mean", F.lit(0))).alias("mean"), F.count_if("diverged").alias("n_divergent"))
+    return convergence(draws).join(found, ["panel", "state"]).select("panel", "state", "mean", "r_hat", "ess", "n_divergent", (F.col("converged") & (F.col("n_divergent") == 0)).alias("converged"))

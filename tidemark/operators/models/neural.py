@@ -60,23 +60,59 @@ def embeddings(features: DataFrame, column: str, context: int = 64, dims: int =
     return rows.mapInPandas(run, "panel string, date date, embedding array<double>")
 
 
-def probe(embedded: DataFrame, labels: DataFrame, c: float = 1.0) -> DataFrame:
-    """(panel, date, y, predicted, p) of a multinomial logistic regression on embeddings with an L2 penalty; classes that don't occur have probability 0."""
+def probe(embedded: DataFrame, labels: DataFrame, c: float = 1.0, train_before: str | None = None) -> DataFrame:
+    """(panel, date, y, predicted, p) of a multinomial logistic regression on embeddings with an L2 penalty; classes that don't occur have probability 0.
+
+    With `train_before` it is fitted on the rows before that date and predicts the others alone.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = embedded.join(labels.filter("y is not null"), ["panel", "date"]).select("panel", "date", F.col("y").cast("double").alias("y"), array_to_vector("embedding").alias("x")).persist()
+    rows = embedded.join(labels.filter("y is not null"), ["panel", "date"]).select("panel", "date", F.col("y").cast("double").alias("y"), array_to_vector("embedding").alias("x"))
+    early = F.col("date") < F.lit(train_before).cast("date") if train_before else F.lit(True)
+    known = rows.filter(early).persist()
     try:
-        n = rows.count()
-        model = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=1 / (c * max(n, 1)), standardization=False, maxIter=100).fit(rows)
+        n = known.count()
+        model = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=1 / (c * max(n, 1)), standardization=False, maxIter=100).fit(known)
     finally:
-        rows.unpersist()
-    out = model.transform(rows).select("panel", "date", "y", F.col("prediction").alias("predicted"), vector_to_array("probability").alias("q"))
+        known.unpersist()
+    out = model.transform(rows.filter(~early) if train_before else rows).select("panel", "date", "y", F.col("prediction").alias("predicted"), vector_to_array("probability").alias("q"))
     return out.select("panel", "date", F.col("y").cast("int").alias("y"), F.col("predicted").cast("int").alias("predicted"), F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.coalesce(F.get("q", k), F.lit(0.0))).alias("p"))
 
 
-def separation(embedded: DataFrame, labels: DataFrame, sample: int = 1500) -> DataFrame:
-    """One row: silhouette (of the `sample` rows with the smallest hashes), Calinski-Harabasz and Davies-Bouldin scores."""
+def silhouettes(points: DataFrame, block: int = 1024) -> DataFrame:
+    """(id, y, own, other, silhouette) of every row of (id, y, embedding), ids distinct: mean distances to its own class and to the nearest other one.
+
+    Rows are dealt to blocks of about `block` rows by hash; a task gets two blocks and sums each row's distances to the classes
+    of the other, so it holds no more than the distances of one block to another, and no row is left out. A row alone in
+    its class has 0, and so have all rows where there is one class.
+    """
+    n = points.count()
+    blocks = max(1, -(-n // block))
+    dealt = points.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = dealt.select("id", "y", "embedding", F.col("_b").alias("i"), every.alias("j"))
+    right = dealt.select("id", "y", "embedding", F.col("_b").alias("j"), every.alias("i"))
+
+    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=["id", "y", "c", "total", "n"])
+        p, q = np.array(a["embedding"].tolist()), np.array(b["embedding"].tolist())
+        # Differences, not products of norms: equal rows have distance 0.
+        d = np.sqrt(sum(((p[:, k, None] - q[None, :, k]) ** 2 for k in range(p.shape[1])), np.zeros((len(p), len(q)))))
+        classes, of = np.unique(b["y"].to_numpy(), return_inverse=True)
+        one = np.eye(len(classes))[of]
+        return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), len(classes)), "y": np.repeat(a["y"].to_numpy(), len(classes)), "c": np.tile(classes, len(a)), "total": (d @ one).ravel(), "n": np.tile(one.sum(0), len(a)).astype(int)})
+
+    part = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(sums, f"id {points.schema['id'].dataType.simpleString()}, y int, c int, total double, n long")
+    whole = part.groupBy("id", "y", "c").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    mean = whole.groupBy("id", "y").agg(F.max(F.when((F.col("c") == F.col("y")) & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("own"), F.min(F.when(F.col("c") != F.col("y"), F.col("total") / F.col("n"))).alias("other"))
+    top = F.greatest("own", "other")
+    return mean.select("id", "y", "own", "other", F.when(F.col("own").isNotNull() & F.col("other").isNotNull() & (top > 0), (F.col("other") - F.col("own")) / top).otherwise(0.0).alias("silhouette"))
+
+
+def separation(embedded: DataFrame, labels: DataFrame, block: int = 1024) -> DataFrame:
+    """One row: mean silhouette over all rows, Calinski-Harabasz and Davies-Bouldin scores. Of the rows only sums by class reach the driver."""
     rows = embedded.join(labels.filter("y is not null"), ["panel", "date"]).select("panel", "date", "y", "embedding")
     dims = range(len(rows.select("embedding").first()[0]))
     x = [F.get("embedding", F.lit(i)) for i in dims]
@@ -89,11 +125,6 @@ def separation(embedded: DataFrame, labels: DataFrame, sample: int = 1500) -> Da
     k = len(n)
     d = np.sqrt(((centre[:, None] - centre[None]) ** 2).sum(-1))
     bouldin = float(np.mean([max((s[i] + s[j]) / d[i, j] for j in range(k) if j != i) for i in range(k)])) if k > 1 else 0.0
-    some = rows.orderBy(F.xxhash64("panel", "date")).limit(sample).select("y", "embedding").toPandas()
-    e, y = np.array(some["embedding"].tolist()), some["y"].to_numpy()
-    dist = np.sqrt(np.maximum(((e[:, None] - e[None]) ** 2).sum(-1), 0))
-    own = np.array([dist[i, (y == y[i]) & (np.arange(len(y)) != i)].mean() if (y == y[i]).sum() > 1 else 0.0 for i in range(len(y))])
-    other = np.array([min((dist[i, y == c].mean() for c in np.unique(y) if c != y[i]), default=0.0) for i in range(len(y))])
-    silhouette = float(np.mean((other - own) / np.maximum(np.maximum(own, other), 1e-12)))
-    row = (silhouette, float(between / max(k - 1, 1) / (within / max(n.sum() - k, 1))), bouldin)
-    return embedded.sparkSession.createDataFrame([row], "silhouette double, calinski_harabasz double, davies_bouldin double")
+    found = silhouettes(rows.select(F.concat_ws("|", "panel", "date").alias("id"), F.col("y").cast("int").alias("y"), "embedding"), block)
+    row = (float(between / max(k - 1, 1) / (within / max(n.sum() - k, 1))), bouldin)
+    return found.agg(F.avg("silhouette").alias("silhouette")).select("silhouette", F.lit(row[0]).alias("calinski_harabasz"), F.lit(row[1]).alias("davies_bouldin"))

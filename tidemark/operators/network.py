@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -97,21 +98,78 @@ def cycle_lifetimes(d: np.ndarray, tree: np.ndarray, most: int = 20) -> np.ndarr
     return np.array(out) if out else np.array([0.01])
 
 
+def loop_lifetimes(d: np.ndarray) -> np.ndarray:
+    """Lifetimes, zeros left out, of the loops (H1, coefficients modulo 2) of the Vietoris-Rips filtration of all points.
+
+    Columns of triangles are reduced in the order of their longest edges, as sets of edges in the bits of whole numbers. Edges
+    that join two components have no part in it (their column isn't a loop's birth). Beyond the least radius at which one
+    point reaches all others the complex is a cone, so every loop is filled by then.
+    """
+    n = len(d)
+    radius = d.max(1).min() if n else 0.0
+    a, b = np.triu_indices(n, 1)
+    near = d[a, b] <= radius
+    a, b = a[near], b[near]
+    order = np.argsort(d[a, b], kind="stable")
+    a, b = a[order], b[order]
+    length, rank = d[a, b], np.full((n, n), -1)
+    rank[a, b] = rank[b, a] = np.arange(len(a))
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    open_ = set()
+    for e, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = find(i), find(j)
+        if x == y:
+            open_.add(e)
+        root[x] = y
+    columns, out = {}, []
+    for e, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        if not open_:
+            break
+        sides = np.maximum(rank[i], rank[j])
+        third = np.flatnonzero((rank[i] >= 0) & (rank[j] >= 0) & (sides < e))
+        for k in third.tolist():
+            column = 1 << e | 1 << int(rank[i, k]) | 1 << int(rank[j, k])
+            while column:
+                low = column.bit_length() - 1
+                if low not in columns:
+                    break
+                column ^= columns[low]
+            if column:
+                columns[low] = column
+                open_.discard(low)
+                if length[e] > length[low]:
+                    out.append(length[e] - length[low])
+    return np.array(sorted(out, reverse=True))
+
+
 def persistence_entropy(lifetimes: np.ndarray) -> float:
     x = lifetimes[lifetimes > 1e-8]
     p = x / x.sum() if len(x) else x
     return float(-(p * np.log(p + 1e-12)).sum())
 
 
-def topology_metrics(x: np.ndarray) -> list[float]:
+def _topology(x: np.ndarray, exact: bool = False) -> list[float]:
+    """Features of one window. Loops are those of triangles among the first points, or with `exact` the filtration's own, all points'."""
     z = (x - x.mean(0)) / (x.std(0) + 1e-8)
     d = np.sqrt(np.maximum(((z[:, None] - z[None]) ** 2).sum(-1), 0))
     tree = tree_weights(d)
-    cycles = cycle_lifetimes(d, tree)
+    found = loop_lifetimes(d) if exact else cycle_lifetimes(d, tree)
+    cycles = found if len(found) else np.zeros(1)
     top = np.sort(cycles)[::-1][:5]
     return [persistence_entropy(tree), persistence_entropy(cycles), float(tree.sum()), float(cycles.max()), float(0.5 * (top**2).sum())]
 
 
+def topology_metrics(x: np.ndarray) -> list[float]:
+    return _topology(x)
+
+
 def _mapped(windows: DataFrame, fn, names: list[str]) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -125,8 +183,9 @@ def graph_features(panel: DataFrame, nodes: list[str] = NODES) -> DataFrame:
     return _mapped(_windows(panel, nodes), graph_metrics, GRAPH)
 
 
-def topology_features(panel: DataFrame, nodes: list[str] | None = None, step: int = 1) -> DataFrame:
-    """With step > 1 only every step-th window is computed and its values are carried forward."""
+def topology_features(panel: DataFrame, nodes: list[str] | None = None, step: int = 1, exact: bool = False) -> DataFrame:
+    """With step > 1 only every step-th window is computed and its values are carried forward. exact: see _topology()."""
+    topology_metrics = partial(_topology, exact=exact)
     windows = _windows(panel, nodes or ["bench", "midcap", "bank", "it"])
     if step == 1:
         return _mapped(windows, topology_metrics, TOPOLOGY)

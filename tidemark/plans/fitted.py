@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import simplex as S
-from ..operators import contracts, ensemble, pit, portfolio, scoring, targets
+from ..operators import contracts, ensemble, network, pit, portfolio, scoring, targets, walkforward
 from ..operators.models import latent, neural
 from ..settings import Settings
+from ..sources import market
 from ..sources.durable import written
 from .queries import INPUTS, _features, _five, query
 
@@ -29,6 +30,12 @@ def members(features: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
     return reduce(DataFrame.unionByName, [d.select("panel", "date", "model", "p") for d in parts])
 
 
+def settled(truth: DataFrame, until: str, horizon: int = 5) -> DataFrame:
+    """Labels that were complete before a date: those whose `horizon`-th following row lies before it."""
+    known = F.lead("date", horizon).over(Window.partitionBy("panel").orderBy("date"))
+    return truth.withColumn("_known", known).filter(F.col("_known") < F.lit(until).cast("date")).drop("_known")
+
+
 def between(df: DataFrame, start: str, end: str | None = None) -> DataFrame:
     df = df.filter(F.col("date") >= F.lit(start).cast("date"))
     return df.filter(F.col("date") < F.lit(end).cast("date")) if end else df
@@ -37,7 +44,7 @@ def between(df: DataFrame, start: str, end: str | None = None) -> DataFrame:
 def combined(predictions: DataFrame, truth: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
     """predictions with `stacked`, their mixture by weights of the calibration part, and `calibrated`, that at the temperature of the same part."""
     from_, to = settings.train_until, settings.calibrate_until
-    known, labels = between(predictions, from_, to), between(truth, from_, to)
+    known, labels = between(predictions, from_, to), between(settled(truth, to), from_, to)
     weights = ensemble.stacking_weights(known, labels)
     stacked = written(ensemble.mixture(predictions, weights).select("panel", "date", F.lit("stacked").alias("model"), "p"), "stacked")
     temperature = scoring.fit_temperature(between(stacked, from_, to), labels).select("panel", "temperature")
@@ -65,7 +72,7 @@ def fitted_sets(spark, sf_dir):
     """Adaptive prediction sets of the calibrated ensemble over the test part, with what each of its members' contracts says."""
     _, predictions, truth = _run(spark, sf_dir)
     test = between(predictions, SETTINGS.calibrate_until).filter("model = 'calibrated'")
-    sets = scoring.adaptive_conformal(test, truth, SETTINGS.alpha, SETTINGS.gamma)
+    sets = scoring.adaptive_conformal(test, truth, SETTINGS.alpha, SETTINGS.gamma, delay_days=7)  # five trading days
     rows = sets.join(test.select("panel", "date", "p"), ["panel", "date"])
     return rows.select("date", "alpha_t", "set_size", "error", F.size(contracts.prediction_faults(F.col("p"), F.lit(0.0), F.array(F.lit(0)))).alias("faults"))
 
@@ -84,3 +91,30 @@ def fitted_backtest(spark, sf_dir):
 def fitted_members(spark, sf_dir):
     """Probabilities of the seven fitted models."""
     return _five(members(_features(spark, sf_dir, often=True)), ["model", "date"])
+
+
+#: Starts of the folds of the walk-forward queries.
+FOLDS = ["1998-01-01", "1999-01-01", "2000-01-01", "2001-01-01"]
+
+
+@query()
+def walk_forward_scores(spark, sf_dir):
+    """Scores, fold by fold, of a hidden Markov model and a network that are fitted anew each year on what was known then."""
+    f = _features(spark, sf_dir, often=True)
+    truth = written(targets.forward_target(f, train_before=FOLDS[0]), "truth")
+    both = walkforward.refitted(f, truth, INPUTS, FOLDS).unionByName(walkforward.refitted(f, truth, INPUTS, FOLDS, "network"))
+    rows = both.join(truth.filter("y is not null").select("panel", "date", "y"), ["panel", "date"])
+    p, y = F.col("p"), F.col("y")
+    return rows.groupBy("fold", "model").agg(F.count("*").alias("n"), F.avg(S.log_loss(p, y)).alias("log_loss"), F.avg(S.brier(p, y)).alias("brier_score"), F.avg((S.argmax(p) == y).cast("double")).alias("accuracy"))
+
+
+@query()
+def hamiltonian_convergence(spark, sf_dir):
+    """Agreement, effective draws and divergences of the no-U-turn sampler's chains on a mixture of three normals."""
+    return latent.sampler_report(latent.hamiltonian_chains(_features(spark, sf_dir), "nifty_ret_1d")).drop("panel")
+
+
+@query()
+def topology_exact(spark, sf_dir):
+    """Topological features with the loops of all sixty points of a window, each fifth window's carried forward."""
+    return network.topology_features(written(market.panel(spark, sf_dir), "panel"), step=5, exact=True).drop("panel")
