@@ -25,28 +25,36 @@ class _Tree:
 
 
 class NoUTurn:
-    """A chain over `density` (log density and its gradient), masses fitted in the first half of the warm-up, the step in all of it."""
+    """A chain over `density` (log density and its gradient), the mass matrix fitted in the first parts of the warm-up, the step in all of it."""
 
     def __init__(self, density: Density, start: np.ndarray, seed: int, target: float = 0.8, depth: int = 8):
         self.density, self.rng, self.target, self.depth = density, np.random.RandomState(seed), target, depth
         self.state = (np.asarray(start, float), *density(np.asarray(start, float)))
-        self.inverse = np.ones(len(start))
+        self._take_masses(np.eye(len(start)))
         self.step = self._first_step()
 
+    def _take_masses(self, inverse: np.ndarray) -> None:
+        """Momenta have the inverse of this covariance, so that trajectories see round level sets."""
+        self.inverse, self.root = inverse, np.linalg.inv(np.linalg.cholesky(inverse)).T
+
+    def _momentum(self) -> np.ndarray:
+        return self.root @ self.rng.normal(size=len(self.root))
+
     def _leap(self, q: np.ndarray, grad: np.ndarray, p: np.ndarray, step: float) -> tuple:
         p = p + 0.5 * step * grad
-        q = q + step * self.inverse * p
+        q = q + step * (self.inverse @ p)
         value, grad = self.density(q)
         return q, value, grad, p + 0.5 * step * grad
 
     def _joint(self, value: float, p: np.ndarray) -> float:
-        joint = value - 0.5 * float((self.inverse * p * p).sum())
+        with np.errstate(over="ignore", invalid="ignore"):
+            joint = value - 0.5 * float(p @ self.inverse @ p)
         return joint if math.isfinite(joint) else -math.inf
 
     def _first_step(self) -> float:
         """A step whose acceptance crosses one half."""
         step, (q, value, grad) = 1.0, self.state
-        p = self.rng.normal(size=len(q)) / np.sqrt(self.inverse)
+        p = self._momentum()
         error = lambda s: self._joint(*(lambda x: (x[1], x[3]))(self._leap(q, grad, p, s))) - self._joint(value, p)
         up = error(step) > math.log(0.5)
         for _ in range(50):
@@ -70,14 +78,14 @@ class NoUTurn:
     def _joined(self, a: _Tree, b: _Tree, direction: int, odds: float) -> _Tree:
         minus, plus = (b.minus, a.plus) if direction < 0 else (a.minus, b.plus)
         span = plus[0] - minus[0]
-        straight = span @ (self.inverse * minus[3]) >= 0 and span @ (self.inverse * plus[3]) >= 0
+        straight = span @ minus[3] >= 0 and span @ plus[3] >= 0
         proposal = b.proposal if self.rng.rand() < odds else a.proposal
         return _Tree(minus, plus, proposal, a.n + b.n, b.going and straight, a.accept + b.accept, a.tried + b.tried, a.diverged or b.diverged)
 
     def advance(self) -> tuple[float, bool]:
         """One draw: (mean acceptance, whether the trajectory diverged)."""
         q, value, grad = self.state
-        p = self.rng.normal(size=len(q)) / np.sqrt(self.inverse)
+        p = self._momentum()
         joint = self._joint(value, p)
         slice_ = joint + math.log(max(self.rng.rand(), 1e-300))
         here = (q, value, grad, p)
@@ -107,11 +115,13 @@ class NoUTurn:
 
     def run(self, warm_up: int, draws: int) -> tuple[np.ndarray, np.ndarray]:
         """(draws, whether each one's trajectory diverged)."""
-        kept = np.array(self._tune(warm_up // 2)[warm_up // 4 :])
-        if len(kept) > 10:
-            self.inverse = kept.var(0) + 1e-6
-            self.step = self._first_step()
-        self._tune(warm_up - warm_up // 2)
+        for _ in range(2):
+            kept = np.array(self._tune(warm_up // 3)[warm_up // 6 :])
+            n = len(kept)
+            if n > 10:
+                self._take_masses(np.cov(kept.T).reshape(kept.shape[1], -1) * n / (n + 5) + 5e-3 / (n + 5) * np.eye(kept.shape[1]))
+                self.step = self._first_step()
+        self._tune(warm_up - 2 * (warm_up // 3))
         out, diverged = [], []
         for _ in range(draws):
             diverged.append(self.advance()[1])

@@ -222,7 +222,7 @@ def changepoints(features: DataFrame, column: str) -> DataFrame:
     return features.select("panel", "date", column).na.drop().groupBy("panel").applyInPandas(run, "panel string, segment int, start_date date, end_date date, n long, mean double, sd double")
 
 
-def hamiltonian_chains(features: DataFrame, column: str, chains: int = 2, components: int = 3, warm_up: int = 300, draws: int = 300, seed: int = 42) -> DataFrame:
+def hamiltonian_chains(features: DataFrame, column: str, chains: int = 2, components: int = 2, warm_up: int = 300, draws: int = 300, seed: int = 42) -> DataFrame:
     """(panel, chain, draw, state, mean, weight, sd, diverged) of chains of the no-U-turn sampler on a normal mixture; a chain is a group.
 
     The columns that convergence() reads are as those of mixture_chains(), so both samplers are judged alike.

@@ -92,15 +92,15 @@ def silhouettes(points: DataFrame, block: int = 1024) -> DataFrame:
     dealt = points.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = dealt.select("id", "y", "embedding", F.col("_b").alias("i"), every.alias("j"))
-    right = dealt.select("id", "y", "embedding", F.col("_b").alias("j"), every.alias("i"))
+    right = dealt.select(F.col("y").alias("c"), F.col("embedding").alias("other"), F.col("_b").alias("j"), every.alias("i"))
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame(columns=["id", "y", "c", "total", "n"])
-        p, q = np.array(a["embedding"].tolist()), np.array(b["embedding"].tolist())
+        p, q = np.array(a["embedding"].tolist()), np.array(b["other"].tolist())
         # Differences, not products of norms: equal rows have distance 0.
         d = np.sqrt(sum(((p[:, k, None] - q[None, :, k]) ** 2 for k in range(p.shape[1])), np.zeros((len(p), len(q)))))
-        classes, of = np.unique(b["y"].to_numpy(), return_inverse=True)
+        classes, of = np.unique(b["c"].to_numpy(), return_inverse=True)
         one = np.eye(len(classes))[of]
         return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), len(classes)), "y": np.repeat(a["y"].to_numpy(), len(classes)), "c": np.tile(classes, len(a)), "total": (d @ one).ravel(), "n": np.tile(one.sum(0), len(a)).astype(int)})
 

@@ -110,7 +110,7 @@ def walk_forward_scores(spark, sf_dir):
 
 @query()
 def hamiltonian_convergence(spark, sf_dir):
-    """Agreement, effective draws and divergences of the no-U-turn sampler's chains on a mixture of three normals."""
+    """Agreement, effective draws and divergences of the no-U-turn sampler's chains on a mixture of two normals."""
     return latent.sampler_report(latent.hamiltonian_chains(_features(spark, sf_dir), "nifty_ret_1d")).drop("panel")
 
 
