@@ -139,7 +139,7 @@ def scan(df: DataFrame, keys: list[str], order: list, *states: State, name: str
 
 def _as(column, field: StructField) -> pa.Array:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column if isinstance(column, pa.Array) else pa.array(column, from_pandas=True)
-    return column.cast(to_arrow_type(field.dataType))
+    return column if pa.types.is_nested(column.type) else column.cast(to_arrow_type(field.dataType))  # taken from a column of the input as it is
 
 
 def _marked(table: pa.Table, last: bool):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import simplex as S
 from ..operators import contracts, duration, ensemble, governance, network, pit, portfolio, quality, scoring, simulation, technical
 from ..operators.models import latent
-from ..sources import artifacts, market, snapshots
+from ..sources import artifacts, charts, market, snapshots
 from ..sources.durable import place, written
 from ..streaming import online
 from .oracle import BARS, BASE, EVAL, PANEL, SCORED, with_
@@ -18,7 +18,6 @@ from .queries import (
 
 # --- sources and artifacts -------------------------------------------------------------------------------------------
 
-REGIONS = list(market.ROLES)
 NAMES5 = "['Risk-On', 'Late-Cycle', 'Transitional', 'Post-Shock', 'Risk-Off']"
 
 
@@ -26,10 +25,18 @@ NAMES5 = "['Risk-On', 'Late-Cycle', 'Transitional', 'Post-Shock', 'Risk-Off']"
 def stored_bars(spark, sf_dir):
     """Bars written as one table for each symbol and scanned again, the symbol taken from the tables' names."""
     path = place(spark, "symbols")
-    artifacts.write_by_symbol(written(market.daily_bars(spark, sf_dir), "bars"), REGIONS, path)
+    artifacts.write_by_symbol(market.daily_bars(spark, sf_dir), path)
     return artifacts.scan_symbols(spark, path).select("symbol", "date", "open", "high", "low", "close", "volume")
 
 
+@query(with_(BARS) + "SELECT symbol, strftime(date, '%Y-%m-%d') AS date, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume, 'OK' AS status FROM bars WHERE date >= DATE '1997-01-01'")
+def chart_bars(spark, sf_dir):
+    """Bars written as chart documents and read back through the data source, from a year on."""
+    path = place(spark, "charts")
+    charts.write_charts(market.daily_bars(spark, sf_dir), path)
+    return charts.charts(spark, path).filter(F.col("date") >= F.lit("1997-01-01").cast("date")).drop("reason")
+
+
 @query(with_(*EVAL, f"w AS (SELECT model, date, {WIDE5} FROM preds GROUP BY model, date)") + rounded(f"model @date {P5}", "w"))
 def stored_predictions(spark, sf_dir):
     """The prediction matrix through a Parquet sink."""
@@ -108,6 +115,14 @@ def raw_quality(spark, sf_dir):
     return quality.quality_report(raw, arrival="seq")
 
 
+@query(with_(f"raw AS (SELECT CAST(l_suppkey AS VARCHAR) AS symbol, CAST(l_shipdate AS DATE) AS date, CASE WHEN l_discount > 0 THEN l_extendedprice END AS close, row_number() OVER (ORDER BY {', '.join(SEQ)}) AS seq, CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high, 0.25 AS jump FROM lineitem)", Q_ROWS, Q_TAIL) + rounded(Q_COLUMNS, "report"))
+def spread_quality(spark, sf_dir):
+    """raw_quality by two passes over ranges of line items, which need no task for a supplier."""
+    line = market.table(spark, sf_dir, "lineitem")
+    raw = line.select(F.col("l_suppkey").cast("string").alias("symbol"), F.to_date("l_shipdate").alias("date"), F.when(F.col("l_discount") > 0, F.col("l_extendedprice")).alias("close"), F.struct(*SEQ).alias("seq"))
+    return quality.quality_report_spread(raw, arrival="seq")
+
+
 @query(with_("idx AS (SELECT CAST(l_shipdate AS DATE) AS date, sum(round(100 * l_discount)::BIGINT)::BIGINT / count(*) AS vix, 1 + sum(round(100 * l_tax)::BIGINT)::BIGINT / count(*) / 100 AS fx FROM lineitem GROUP BY 1)",
              "raw AS (SELECT 'VIX_INDEX' AS symbol, date, 2 * vix AS close, date AS seq, 5.0 AS low, 100.0 AS high, 0.85 AS jump FROM idx UNION ALL SELECT 'FX_RATE', date, 34 * fx, date, 35.0, 100.0, 0.08 FROM idx)", Q_ROWS, Q_TAIL) + rounded(Q_COLUMNS, "report"))
 def index_quality(spark, sf_dir):
@@ -205,6 +220,27 @@ def symbol_recursions(spark, sf_dir):
     return technical.recursive_features(bars)
 
 
+@query(with_(BARS, EWMA, recursive=True) + "SELECT b.symbol AS panel, strftime(b.date, '%Y-%m-%d') AS date, round(CASE WHEN v IS NOT NULL THEN sqrt(greatest(v, 1e-12) * 252) END, 6) AS nifty_vol_ewma_21d, round(CASE WHEN e.k > 14 THEN 100 - 100 / (1 + g / (l + 1e-12)) END, 6) AS nifty_rsi_14 FROM br b LEFT JOIN er e ON e.symbol = b.symbol AND e.k = b.k")
+def spread_recursions(spark, sf_dir):
+    """symbol_recursions by affine maps over ranges of days, which don't need a symbol in one task."""
+    bars = market.daily_bars(spark, sf_dir).select(F.col("symbol").alias("panel"), "date", F.col("close").alias("bench"))
+    return technical.recursive_features_spread(written(bars, "bars"))
+
+
+@query("""WITH f AS (SELECT CAST(l_shipdate AS DATE) AS d, l_orderkey AS k, l_linenumber AS n, l_extendedprice AS price FROM lineitem),
+last AS (SELECT d, arg_max(price, {'k': k, 'n': n}) AS price, max({'k': k, 'n': n}) AS item FROM f GROUP BY d)
+SELECT o_orderkey, strftime(last.d, '%Y-%m-%d') AS date, round(price, 6) AS price, item.k AS item FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders) ASOF LEFT JOIN last ON day >= last.d""")
+def spread_asof(spark, sf_dir):
+    """For each order the last line item that was shipped by its day, over the whole table as one series: one key that holds every row."""
+    line = market.table(spark, sf_dir, "lineitem")
+    facts = line.select(F.lit("all").alias("series"), F.struct(F.to_date("l_shipdate").alias("d"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("int").alias("n")).alias("at"), F.col("l_extendedprice").alias("price"), F.col("l_orderkey").alias("item"))
+    asked = F.struct(F.to_date("o_orderdate").alias("d"), F.lit(2**63 - 1).alias("k"), F.lit(2**31 - 1).alias("n"))
+    keyed = market.table(spark, sf_dir, "orders").select(F.lit("all").alias("series"), asked.alias("asked"), "o_orderkey")
+    found = pit.asof_backward_spread(keyed.select("series", "asked").distinct(), facts, "series", "asked", "at", ["price", "item"])
+    out = keyed.join(found.drop("series"), "asked")
+    return out.select("o_orderkey", F.col("at.d").alias("date"), "price", "item")
+
+
 @query(with_(BARS) + rounded("symbol @date #open #high #low #close #volume", "bars"))
 def snapshot_cycle(spark, sf_dir):
     """Bars through an immutable snapshot: written under their content's hash, found as the latest, verified, loaded."""

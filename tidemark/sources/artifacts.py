@@ -64,15 +64,14 @@ def artifact_status(spark: SparkSession, paths: dict[str, tuple[str, str]]) -> D
     return spark.createDataFrame(out, "artifact string, status string, n_rows long")
 
 
-def write_by_symbol(bars: DataFrame, symbols: list[str], path: str) -> None:
-    """One table for each symbol, named after it."""
-    for s in symbols:
-        bars.filter(F.col("symbol") == s).drop("symbol").write.mode("overwrite").parquet(f"{path}/{s}.parquet")
+def write_by_symbol(bars: DataFrame, path: str) -> None:
+    """One folder for each symbol, named after it, all of them in one pass."""
+    bars.write.mode("overwrite").partitionBy("symbol").parquet(path)
 
 
 def scan_symbols(spark: SparkSession, path: str) -> DataFrame:
-    """All tables of a folder as one, with the symbol that their names give."""
-    return spark.read.parquet(f"{path}/*.parquet").withColumn("symbol", F.url_decode(F.regexp_extract("_metadata.file_path", r"([^/]+)\.parquet(?:/[^/]*)?$", 1)))
+    """All tables of a folder as one, with the symbol that their names give; a filter on it reads that symbol's alone."""
+    return spark.read.parquet(path)
 
 
 def append_records(df: DataFrame, path: str) -> None:

@@ -38,23 +38,31 @@ def packed(high: str, middle: str | Column, low: str | Column) -> Column:
     return ((number(high, 18) * 10000 + number(middle, 4)).cast("decimal(23,0)") * F.lit(10**15).cast("decimal(16,0)") + number(low, 15)).cast("decimal(38,0)")
 
 
-def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(symbol, date, open, high, low, close, volume)."""
-    line = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", F.to_date("l_shipdate").alias("date"))
+def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """daily_bars with what the indices are made of: line items, and whole hundredths of discounts and taxes."""
+    line = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount", "l_tax", F.to_date("l_shipdate").alias("date"))
     where = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     where = where.join(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), F.col("s_nationkey") == F.col("n_nationkey"))
     where = where.join(table(spark, sf_dir, "region").select("r_regionkey", "r_name"), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", F.col("r_name").alias("symbol"))
     first = packed("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * 100).cast("long"))
     return line.join(where, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("symbol", "date").agg(
         F.min_by("l_extendedprice", first).alias("open"), F.max("l_extendedprice").alias("high"), F.min("l_extendedprice").alias("low"),
-        F.max_by("l_extendedprice", first).alias("close"), F.sum("l_quantity").alias("volume"),
+        F.max_by("l_extendedprice", first).alias("close"), F.sum("l_quantity").alias("volume"), F.count("*").alias("n"), _cents("l_discount").alias("discounts"), _cents("l_tax").alias("taxes"),
     )
 
 
+def _cents(c: str) -> Column:
+    return F.sum(F.round(100 * F.col(c)).cast("long"))
+
+
+def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(symbol, date, open, high, low, close, volume)."""
+    return _bars(spark, sf_dir).select("symbol", "date", "open", "high", "low", "close", "volume")
+
+
 def daily_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(date, vix, fx): a volatility index and an exchange rate, from whole hundredths, so that no order of summing matters."""
-    cents = lambda c: F.sum(F.round(100 * F.col(c)).cast("long"))
-    return table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg((cents("l_discount") / F.count("*")).alias("vix"), (1 + cents("l_tax") / F.count("*") / 100).alias("fx"))
+    return table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg((_cents("l_discount") / F.count("*")).alias("vix"), (1 + _cents("l_tax") / F.count("*") / 100).alias("fx"))
 
 
 def PANEL():
@@ -62,13 +70,16 @@ def PANEL():
 
 
 def panel(spark: SparkSession, sf_dir: str, name: str = "main") -> DataFrame:
-    """(panel, date, bench, bench_high, bench_low, bank, it, midcap, broad, vix, fx) on the benchmark's dates, others carried forward."""
-    bars = daily_bars(spark, sf_dir)
-    wide = bars.groupBy("date").agg(
+    """(panel, date, bench, bench_high, bench_low, bank, it, midcap, broad, vix, fx) on the benchmark's dates, others carried forward.
+
+    The indices are sums of the regions' sums, so the line items are read once.
+    """
+    n = F.sum("n")
+    wide = _bars(spark, sf_dir).groupBy("date").agg(
         *(F.max(F.when(F.col("symbol") == s, F.col("close"))).alias(role) for s, role in ROLES.items()),
         F.max(F.when(F.col("symbol") == "MIDDLE EAST", F.col("high"))).alias("bench_high"), F.max(F.when(F.col("symbol") == "MIDDLE EAST", F.col("low"))).alias("bench_low"),
-    ).filter("bench is not null")
-    wide = wide.join(daily_indices(spark, sf_dir), "date", "left").withColumn("panel", F.lit(name))
+        (F.sum("discounts") / n).alias("vix"), (1 + F.sum("taxes") / n / 100).alias("fx"),
+    ).filter("bench is not null").withColumn("panel", F.lit(name))
     carried = [F.last(c, ignorenulls=True).over(PANEL()).alias(c) for c in ("bank", "it", "midcap", "broad", "vix", "fx")]
     return wide.select("panel", "date", "bench", "bench_high", "bench_low", *carried)
 
