@@ -158,3 +158,16 @@ def test_probe_predicts_days_it_has_not_seen(spark):
     df = spark.createDataFrame(rows, "panel string, date string, embedding array<double>, y int").withColumn("date", F.to_date("date"))
     out = neural.probe(df.drop("y"), df.drop("embedding"), train_before="2000-05-01").collect()
     assert len(out) == 100 and min(str(r.date) for r in out) == "2000-05-01" and np.mean([r.y == r.predicted for r in out]) > 0.9
+
+
+def test_weights_earn_from_the_next_day_on(spark):
+    """Changing a day's return changes what is decided after it, never what it earns itself."""
+    from tidemark.operators import portfolio
+
+    days = [f"2001-01-{d:02d}" for d in range(1, 9)]
+    weights = spark.createDataFrame([("p", d, w, 0.5) for d, w in zip(days, (0.2, 0.8, 0.8, 0.1, 0.5, 0.5, 1.0, 0.0), strict=True)], "panel string, date string, equity_weight double, conviction double")
+    returns = spark.createDataFrame([("p", d, 0.01 * i, 0.01 * i) for i, d in enumerate(days)], "panel string, date string, equity_return double, benchmark_return double")
+    frame = lambda df: df.withColumn("date", F.to_date("date"))
+    got = portfolio.backtest_paths(frame(weights), frame(returns), cost_bps=0, risk_free=0).orderBy("date").collect()
+    assert [str(r.date) for r in got] == days[1:]
+    assert [r.strategy_return for r in got] == pytest.approx([0.2 * 0.01, 0.8 * 0.02, 0.8 * 0.03, 0.1 * 0.04, 0.5 * 0.05, 0.5 * 0.06, 1.0 * 0.07])

@@ -94,7 +94,7 @@ def test_backtest_by_hand(spark):
     held = [r.equity_weight for r in portfolio.held_weights(w).orderBy("date").collect()]
     assert held == pytest.approx([0.5, 0.65, 0.52, 0.52])
     r = spark.createDataFrame([("p", day(i), x, x) for i, x in enumerate([0.01, -0.02, 0.03, 0.0])], "panel string, date date, equity_return double, benchmark_return double")
-    path = portfolio.backtest_paths(portfolio.held_weights(w), r).orderBy("date").collect()
+    path = portfolio.backtest_paths(portfolio.held_weights(w), r, delay=0).orderBy("date").collect()
     want = np.array(held) * [0.01, -0.02, 0.03, 0.0] + (1 - np.array(held)) * 0.065 / 252 - np.array([0, 0.15, 0.13, 0]) * 0.0015
     assert [x.strategy_return for x in path] == pytest.approx(want)
     assert [x.strategy_wealth for x in path] == pytest.approx(np.cumprod(1 + want))

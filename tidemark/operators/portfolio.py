@@ -63,9 +63,15 @@ def allocate(predictions: DataFrame) -> DataFrame:
     return held_weights(rows).withColumn("cash_weight", 1 - F.col("equity_weight"))
 
 
-def backtest_paths(weights: DataFrame, returns: DataFrame, cost_bps: float = 15.0, risk_free: float = 0.065) -> DataFrame:
-    """Daily path: returns gross and net of costs, wealth, drawdown. returns: (panel, date, equity_return, benchmark_return)."""
+def backtest_paths(weights: DataFrame, returns: DataFrame, cost_bps: float = 15.0, risk_free: float = 0.065, delay: int = 1) -> DataFrame:
+    """Daily path: returns gross and net of costs, wealth, drawdown. returns: (panel, date, equity_return, benchmark_return).
+
+    A weight is known at its day's end, so it earns from `delay` days later on; days before a weight was known are left out.
+    0 lets a weight earn the return that it was made from, as what this is modelled on does.
+    """
     rows = weights.select("panel", "date", "equity_weight", "conviction").join(returns, ["panel", "date"])
+    if delay:
+        rows = rows.withColumns({c: F.lag(c, delay).over(IN_TIME()) for c in ("equity_weight", "conviction")}).filter("equity_weight is not null")
     w = F.col("equity_weight")
     rows = rows.withColumn("turnover", F.coalesce(F.abs(w - F.lag(w).over(IN_TIME())), F.lit(0.0))).withColumn("gross_return", w * F.col("equity_return") + (1 - w) * (risk_free / 252))
     rows = rows.withColumn("strategy_return", F.col("gross_return") - F.col("turnover") * (cost_bps / 10000))

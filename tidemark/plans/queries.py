@@ -540,7 +540,8 @@ held AS (SELECT t, date, conviction, target_weight, target_weight AS equity_weig
   SELECT g.t, g.date, g.conviction, g.target_weight, CASE WHEN abs(g.target_weight - h.equity_weight) < 0.05 THEN h.equity_weight ELSE h.equity_weight + least(0.15, greatest(-0.15, g.target_weight - h.equity_weight)) END FROM held h JOIN tgt g ON g.t = h.t + 1)"""
 #: Returns are shrunk, as the test tables' prices jump by tens of percent a day.
 PATHS = """rr AS (SELECT date, exp(0.02 * nifty_ret_1d) - 1 AS er, exp(0.02 * nifty_ret_1d) - 1 AS br FROM feat),
-p0 AS (SELECT date, conviction, equity_weight, er, br, coalesce(abs(equity_weight - lag(equity_weight) OVER (ORDER BY date)), 0) AS turnover FROM held JOIN rr USING (date)),
+px AS (SELECT date, lag(conviction) OVER (ORDER BY date) AS conviction, lag(equity_weight) OVER (ORDER BY date) AS equity_weight, er, br FROM held JOIN rr USING (date)),
+p0 AS (SELECT date, conviction, equity_weight, er, br, coalesce(abs(equity_weight - lag(equity_weight) OVER (ORDER BY date)), 0) AS turnover FROM px WHERE equity_weight IS NOT NULL),
 p1 AS (SELECT *, equity_weight * er + (1 - equity_weight) * (0.065 / 252) - turnover * 0.0015 AS strategy_return FROM p0),
 p2 AS (SELECT *, exp(sum(ln(1 + strategy_return)) OVER (ORDER BY date)) AS strategy_wealth, exp(sum(ln(1 + br)) OVER (ORDER BY date)) AS benchmark_wealth FROM p1),
 paths AS (SELECT *, strategy_wealth / max(strategy_wealth) OVER (ORDER BY date) - 1 AS drawdown, benchmark_wealth / max(benchmark_wealth) OVER (ORDER BY date) - 1 AS bdrawdown, br AS benchmark_return FROM p2)"""
