@@ -278,3 +278,56 @@ def test_reconciled_estimates(spark):
     a = spark.createDataFrame([("x", 1.0, [[1.0, 0.0], [0.0, 1.0]]), ("alone", 1.0, [[1.0]])], "model string, ll double, trans array<array<double>>")
     b = spark.createDataFrame([("x", 2.0, [[0.9, 0.1], [0.0, 1.0]])], "model string, ll double, trans array<array<double>>")
     assert {r.model: (r.is_reconciled, r.frobenius and round(r.frobenius, 6)) for r in ensemble.reconcile_estimates(a, b).collect()} == {"x": (True, round(math.sqrt(0.02), 6)), "alone": (False, None)}
+
+
+@pytest.mark.parametrize("kind", ["variance", "mean_variance"])
+@pytest.mark.parametrize("penalty", [None, "mbic", 4.0])
+def test_changepoints_are_the_best_of_all(kind, penalty):
+    for seed in range(6):
+        rng = np.random.RandomState(seed)
+        x = np.concatenate([rng.normal(rng.choice([0.0, 1.5]), rng.choice([0.3, 1.0, 4.0]), rng.randint(4, 40)) for _ in range(5)])
+        n, least = len(x), 4
+        value = {None: 3 * np.log(n), "mbic": (4 if kind == "mean_variance" else 3) * np.log(n)}.get(penalty, penalty)
+
+        def cost(a, b):
+            part = x[a:b] - (x.mean() if kind == "variance" else x[a:b].mean())
+            return (b - a) * np.log(max((part**2).mean(), 1e-12)) + value + (np.log(b - a) if penalty == "mbic" else 0.0)
+
+        best = np.r_[0.0, np.full(n, np.inf)]
+        for t in range(least, n + 1):
+            best[t] = min((best[s] + cost(s, t) for s in range(t - least + 1)), default=np.inf)
+        ends = K.pelt(x, penalty, least, kind)
+        assert ends[-1] == n and min(np.diff([0, *ends])) >= least
+        assert sum(cost(a, b) for a, b in zip([0, *ends], ends, strict=False)) == pytest.approx(best[n])
+
+
+def test_changepoints_of_short_series():
+    assert K.pelt(np.zeros(0)) == [] and K.pelt(np.ones(5)) == [5] and K.pelt(np.ones(5), "mbic") == [5]
+    with pytest.raises(ValueError):
+        K.segment_cost(np.ones(5), "median")
+
+
+def test_regression_mean_is_least_squares(spark):
+    rng = np.random.RandomState(3)
+    v = rng.normal(size=300)
+    rows = spark.createDataFrame([("p", k, float(a), float(b)) for k, (a, b) in enumerate(zip(v, 1 + 2 * v + rng.normal(size=300), strict=True))], "panel string, date int, v double, y double")
+    found = {r["term"]: r["mean"] for r in latent.bayes_regression(rows, ["v"], "y").collect()}
+    plain = np.linalg.lstsq(np.column_stack([np.ones(300), v]), np.array([r.y for r in rows.orderBy("date").collect()]), rcond=None)[0]
+    assert [found["intercept"], found["v"]] == pytest.approx(plain.tolist(), abs=1e-8)
+
+
+def test_leaks_are_counted(spark):
+    rows = spark.createDataFrame([("1998-06-29",), ("1998-06-30",), ("1998-07-02",), ("1998-07-05",), (None,)], "date string").select(F.to_date("date").alias("date"))
+    day = F.lit("1998-06-30").cast("date")
+    found = pit.leak_report(rows, day).first()
+    assert (found.n, found.n_leaking, str(found.first_leak), str(found.last_leak)) == (5, 2, "1998-07-02", "1998-07-05")
+    with pytest.raises(Exception, match="as-of"):
+        pit.assert_no_leak(rows, day).collect()
+
+
+def test_lookup_of_records(spark):
+    records = spark.createDataFrame([("a", "1", 0.5), ("a", "1", 0.5), ("b", "1", 0.5), ("b", "1", 0.6), ("c", "1", None), ("d", "1", float("nan")), ("e", "1", float("inf")), (None, "1", 1.0)], "model string, version string, score double")
+    asked = spark.createDataFrame([("a", "1"), ("a", "1"), ("a", "2"), ("b", "1"), ("c", "1"), ("d", "1"), ("e", "1"), (None, "1")], "model string, version string")
+    found = sorted(((r.model or "", r.version, r.score, r.status) for r in governance.record_lookup(asked, records, ["model", "version"], ["score"]).collect()), key=str)
+    assert found == [("", "1", None, "UNAVAILABLE"), ("a", "1", 0.5, "VERIFIED"), ("a", "1", 0.5, "VERIFIED"), ("a", "2", None, "UNAVAILABLE"), *((m, "1", None, "QUARANTINED") for m in "bcde")]
+    assert governance.record_lookup(asked, records.limit(0), ["model", "version"], ["score"]).filter("status <> 'UNAVAILABLE'").count() == 0

@@ -203,6 +203,29 @@ def exact_lookup(probes: DataFrame, facts: DataFrame, values: list[str], at: str
     return rows.select(*probes.columns, *values, F.when(F.col("_d").isNull(), "UNAVAILABLE").otherwise("VERIFIED").alias("status"))
 
 
+def record_lookup(asked: DataFrame, records: DataFrame, key: list[str], values: list[str]) -> DataFrame:
+    """asked (columns key) with the values of the artifact's record of that key, a status and a reason.
+
+    VERIFIED: one record, all its values known. QUARANTINED: records that contradict each other, or a value that is missing or
+    isn't finite; values are then null. UNAVAILABLE: no record. Repeated equal records count once, repeated questions are answered
+    each, a null key finds nothing, and no other record stands in.
+    """
+    finite = [~F.isnan(c) & (F.abs(c) < float("inf")) for c in values if dict(records.dtypes)[c] in ("double", "float")]
+    sound = F.lit(True)
+    for ok in (*(F.col(c).isNotNull() for c in values), *finite):
+        sound = sound & ok
+    known = records.select(*(F.col(c).alias(f"_k_{c}") for c in key), F.struct(*values).alias("_v"), F.coalesce(sound, F.lit(False)).alias("_ok"))
+    known = known.groupBy(*(f"_k_{c}" for c in key)).agg(F.min("_v").alias("_v"), (F.min("_v") == F.max("_v")).alias("_one"), F.min("_ok").alias("_ok"))
+    same = F.lit(True)
+    for c in key:
+        same = same & (F.col(c) == F.col(f"_k_{c}"))
+    rows = asked.select(*key).join(known, same, "left")
+    reason = F.when(F.col("_v").isNull(), "no record").when(~F.col("_one"), "records contradict each other").when(~F.col("_ok"), "a value is missing or not finite").otherwise("")
+    status = F.when(F.col("_v").isNull(), "UNAVAILABLE").when(F.col("_one") & F.col("_ok"), "VERIFIED").otherwise("QUARANTINED")
+    rows = rows.select(*key, "_v", status.alias("status"), reason.alias("reason"))
+    return rows.select(*key, *(F.when(F.col("status") == "VERIFIED", F.col(f"_v.{c}")).alias(c) for c in values), "status", "reason")
+
+
 #: Tilts that the committee's memo gives for each regime (fixed values).
 TILTS = {"Risk-On": "cyclicals and midcaps", "Late-Cycle": "quality and energy", "Transitional": "balanced sectors", "Post-Shock": "beaten-down leaders", "Risk-Off": "staples, health care and cash"}
 

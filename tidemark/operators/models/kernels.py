@@ -267,17 +267,24 @@ def rsvar_proba(x: np.ndarray, m: dict) -> np.ndarray:
 
 def gibbs_regression(x: np.ndarray, y: np.ndarray, seed: int, scale: np.ndarray | None = None, rounds: int = 1000, burn: int = 200) -> np.ndarray:
     """Draws of the coefficients of y on the columns of x; scale: deviations of their normal priors around 0 (infinite: flat)."""
+    return regression_chain(x, y, seed, scale, rounds, burn)[0]
+
+
+def regression_chain(x: np.ndarray, y: np.ndarray, seed: int, scale: np.ndarray | None = None, rounds: int = 1000, burn: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """The draws of gibbs_regression() and the mean that each was drawn around, whose average has less noise than that of the draws."""
     rng = np.random.RandomState(seed)
     n, d = x.shape
     precision = np.zeros((d, d)) if scale is None else np.diag(1 / scale**2)
-    xx, xy, var, out = x.T @ x, x.T @ y, float(y.var()) + 1e-12, []
+    xx, xy, var, out, centres = x.T @ x, x.T @ y, float(y.var()) + 1e-12, [], []
     for it in range(rounds):
         cov = np.linalg.inv(xx / var + precision + 1e-12 * np.eye(d))
-        b = rng.multivariate_normal(cov @ (xy / var), cov)
+        centre = cov @ (xy / var)
+        b = rng.multivariate_normal(centre, cov)
         var = float(((y - x @ b) ** 2).sum() / 2 + 1e-12) / rng.gamma(n / 2)
         if it >= burn:
             out.append(b)
-    return np.array(out)
+            centres.append(centre)
+    return np.array(out), np.array(centres)
 
 
 def gibbs_mixture(x: np.ndarray, seed: int, k: int = 5, rounds: int = 600, burn: int = 200) -> dict:
@@ -342,25 +349,44 @@ def _pareto(x: np.ndarray) -> tuple[float, float]:
     return float((n * k + 5) / (n + 10)), float(-k / beta)
 
 
-def pelt(x: np.ndarray, penalty: float | None = None, least: int = 10) -> list[int]:
-    """Ends of segments of constant mean and variance with the least penalized cost (pruned exact search)."""
-    n = len(x)
-    penalty = 3 * math.log(n) if penalty is None else penalty
+def segment_cost(x: np.ndarray, kind: str):
+    """cost(starts, end) of normal segments, twice the negative log-likelihood but for constants. `mean_variance`: both are a
+    segment's own; `variance`: the mean is that of all of x."""
+    x = x - x.mean() if kind == "variance" else x
     s1, s2 = np.r_[0, np.cumsum(x)], np.r_[0, np.cumsum(x**2)]
+    if kind not in ("mean_variance", "variance"):
+        raise ValueError(f"no such cost: {kind}")
 
     def cost(a: np.ndarray, b: int) -> np.ndarray:
         m = b - a
-        return m * np.log(np.maximum((s2[b] - s2[a]) / m - ((s1[b] - s1[a]) / m) ** 2, 1e-12))
+        centre = 0.0 if kind == "variance" else (s1[b] - s1[a]) / m
+        return m * np.log(np.maximum((s2[b] - s2[a]) / m - centre**2, 1e-12))
+
+    return cost
 
-    best, last, open_ = np.full(n + 1, np.inf), np.zeros(n + 1, int), np.array([0])
-    best[0] = -penalty
+
+def pelt(x: np.ndarray, penalty: float | str | None = None, least: int = 10, kind: str = "mean_variance") -> list[int]:
+    """Ends of the segments of at least `least` rows with the least penalized cost (pruned exact search); see segment_cost() for kinds.
+
+    penalty is a number for each segment (None: three times the logarithm of the length), or `mbic`: the logarithm of the length for
+    each parameter and two more, and that of its own length for each segment. A start that is beaten at t stays open for
+    `least` more rows, as only then may a segment have begun at t; under `mbic` the bound allows for the lengths' logarithms.
+    """
+    n, modified = len(x), penalty == "mbic"
+    value = (2 + (2 if kind == "mean_variance" else 1)) * math.log(max(n, 1)) if modified else 3 * math.log(max(n, 1)) if penalty is None else penalty
+    slack = max(0.0, math.log(max(n, 1) / 4)) if modified else 0.0
+    cost = segment_cost(x, kind) if n else None
+    best, last, open_, until = np.full(n + 1, np.inf), np.zeros(n + 1, int), np.array([0]), np.full(n + 1, n + 1)
+    best[0] = -value
     for t in range(least, n + 1):
         usable = open_[t - open_ >= least]
-        c = best[usable] + cost(usable, t) + penalty
+        c = best[usable] + cost(usable, t) + value + (np.log(t - usable) if modified else 0.0)
         i = int(np.argmin(c))
         best[t], last[t] = c[i], usable[i]
-        open_ = np.r_[usable[c - penalty <= best[t]], open_[t - open_ < least], t - least + 1]
-        open_ = np.unique(open_[np.isfinite(best[open_])])
+        beaten = usable[c - value - slack > best[t]]
+        until[beaten] = np.minimum(until[beaten], t + least)
+        open_ = np.unique(np.r_[open_[until[open_] > t + 1], t - least + 1])
+        open_ = open_[np.isfinite(best[open_])]
     out, t = [], n
     while t > 0:
         out.append(t)

@@ -174,16 +174,16 @@ def marginal_likelihood(features: DataFrame, columns: list[str], draws: DataFram
 
 def bayes_regression(rows: DataFrame, columns: list[str], target: str, prior_scale: float | None = None, chains: int = 2, rounds: int = 1000, burn: int = 200, seed: int = 42) -> DataFrame:
     """(panel, term, mean, sd, low, high, r_hat) of a normal linear regression by Gibbs sampling: the posterior's moments, its 2.5 and
-    97.5 % points and the chains' agreement. The prior is flat, or normal with `prior_scale` deviations of the target for each deviation of a column."""
+    97.5 % points and the chains' agreement. The mean is that of the conditional means, so under a flat prior it is the least-squares estimate. The prior is flat, or normal with `prior_scale` deviations of the target for each deviation of a column."""
     terms = ["intercept", *columns]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
         y, x = pdf[target].to_numpy(float), np.column_stack([np.ones(len(pdf)), pdf[columns].to_numpy(float)])
         scale = None if prior_scale is None else np.r_[np.inf, prior_scale * y.std() / np.maximum(x[:, 1:].std(0), 1e-12)]
-        b = np.stack([K.gibbs_regression(x, y, seed + c, scale, rounds, burn) for c in range(chains)])
+        b, centres = (np.stack(v) for v in zip(*(K.regression_chain(x, y, seed + c, scale, rounds, burn) for c in range(chains)), strict=True))
         flat = b.reshape(-1, len(terms))
-        return pd.DataFrame({"panel": pdf["panel"].iloc[0], "term": terms, "mean": flat.mean(0), "sd": flat.std(0, ddof=1), "low": np.quantile(flat, 0.025, axis=0), "high": np.quantile(flat, 0.975, axis=0), "r_hat": [K.gelman_rubin(b[:, :, k]) for k in range(len(terms))]})
+        return pd.DataFrame({"panel": pdf["panel"].iloc[0], "term": terms, "mean": centres.mean((0, 1)), "sd": flat.std(0, ddof=1), "low": np.quantile(flat, 0.025, axis=0), "high": np.quantile(flat, 0.975, axis=0), "r_hat": [K.gelman_rubin(b[:, :, k]) for k in range(len(terms))]})
 
     return rows.select("panel", "date", target, *columns).na.drop().groupBy("panel").applyInPandas(run, "panel string, term string, mean double, sd double, low double, high double, r_hat double")
 
@@ -209,13 +209,13 @@ def psis_loo(log_likelihood: DataFrame) -> DataFrame:
     return per.groupBy("panel", "model").agg(F.sum("e").alias("elpd_loo"), F.sqrt(F.count("*") * F.var_samp("e")).alias("se"), share(F.col("k") <= 0.5).alias("k_good"), share((F.col("k") > 0.5) & (F.col("k") <= 0.7)).alias("k_ok"), share(F.col("k") > 0.7).alias("k_bad"))
 
 
-def changepoints(features: DataFrame, column: str) -> DataFrame:
-    """(panel, segment, start_date, end_date, n, mean, sd) of segments of constant mean and variance."""
+def changepoints(features: DataFrame, column: str, cost: str = "mean_variance", penalty: float | str | None = None) -> DataFrame:
+    """(panel, segment, start_date, end_date, n, mean, sd) of segments of constant mean and variance, or of constant variance; see pelt()."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
         x, dates = pdf[column].to_numpy(float), pdf["date"].to_numpy()
-        ends = K.pelt(x) if len(x) >= 20 else [len(x)]
+        ends = K.pelt(x, penalty, kind=cost) if len(x) >= 20 else [len(x)]
         rows = [(pdf["panel"].iloc[0], i, dates[a], dates[b - 1], b - a, x[a:b].mean(), x[a:b].std()) for i, (a, b) in enumerate(zip([0, *ends], ends, strict=False))]
         return pd.DataFrame(rows, columns=["panel", "segment", "start_date", "end_date", "n", "mean", "sd"])
 

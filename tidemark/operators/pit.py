@@ -22,6 +22,12 @@ def assert_no_leak(features: DataFrame, as_of: Column) -> DataFrame:
     return features.filter(ok)
 
 
+def leak_report(features: DataFrame, as_of: Column) -> DataFrame:
+    """(n, n_leaking, first_leak, last_leak): what assert_no_leak() would stop at, counted instead. Rows without a date don't leak."""
+    leaks = F.col("date") > as_of
+    return features.agg(F.count("*").alias("n"), F.count_if(leaks).alias("n_leaking"), F.min(F.when(leaks, F.col("date"))).alias("first_leak"), F.max(F.when(leaks, F.col("date"))).alias("last_leak"))
+
+
 def _united(probes: DataFrame, facts: DataFrame, key: str, probe_at: str, fact_at: str, values: list[str]) -> DataFrame:
     rows = facts.select(key, F.col(fact_at).alias("_at"), F.lit(0).alias("_probe"), F.struct(F.col(fact_at).alias("_fact_at"), *values).alias("_fact"), F.lit(None).cast(probes.schema[probe_at].dataType).alias(probe_at))
     asks = probes.select(key, F.col(probe_at).alias("_at"), F.lit(1).alias("_probe"), F.lit(None).cast(rows.schema["_fact"].dataType).alias("_fact"), probe_at)

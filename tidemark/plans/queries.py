@@ -774,6 +774,14 @@ def changepoint_segments(spark, sf_dir):
     return latent.changepoints(_features(spark, sf_dir), "nifty_ret_1d").drop("panel")
 
 
+@query()
+def changepoint_costs(spark, sf_dir):
+    """Segments of constant variance, and of constant mean and variance, under the modified information criterion."""
+    f = _features(spark, sf_dir, often=True)
+    found = [latent.changepoints(f, "nifty_ret_1d", kind, "mbic").withColumn("cost", F.lit(kind)) for kind in ("variance", "mean_variance")]
+    return found[0].unionByName(found[1]).drop("panel")
+
+
 @query()
 def online_scores(spark, sf_dir):
     bars = market.hourly_bars(market.table(spark, sf_dir, "events"))
@@ -797,24 +805,6 @@ def evidence_bundles(spark, sf_dir):
     return governance.evidence_bundle(state, f.select("panel", "date", *LINEAR), _changes(f)).drop("panel")
 
 
-@query()
-def narratives(spark, sf_dir):
-    """A paragraph for each day from attributions, model votes and changepoints."""
-    f = _features(spark, sf_dir, often=True)
-    models = _models(f)
-    shares = governance.ablation(f.na.drop(subset=list(LINEAR)), lambda x: sum((x[c] * w for c, w in LINEAR.items()), F.lit(0.0)), list(LINEAR), dict.fromkeys(LINEAR, 0.0))
-    shares = shares.groupBy("panel", "date").agg(*(F.max(F.when(F.col("feature") == c, F.col("attribution"))).alias(f"a_{c}") for c in LINEAR))
-    votes = models.groupBy("panel", "date").agg(F.map_from_entries(F.collect_list(F.struct("model", S.label(S.argmax(F.col("p"))).alias("r")))).alias("votes"))
-    soft = models.filter("model = 'soft'").select("panel", "date", S.label(S.argmax(F.col("p"))).alias("regime"), F.array_max("p").alias("probability"))
-    rows = soft.join(f, ["panel", "date"]).join(shares, ["panel", "date"]).join(votes, ["panel", "date"]).join(_changes(f), ["panel", "date"], "left")
-    agree = F.sort_array(F.map_keys(F.map_filter("votes", lambda k, v: v == F.col("regime"))))
-    differ = F.sort_array(F.map_keys(F.map_filter("votes", lambda k, v: v != F.col("regime"))))
-    features = {c: F.col(c) for c in LINEAR} | {"nifty_vol_ewma_21d": F.col("nifty_vol_realized_21d")}
-    attributions = {c: F.col(f"a_{c}") for c in LINEAR} | {"nifty_vol_ewma_21d": F.lit(0.0)}
-    text = governance.narrative(F.col("regime"), F.col("probability"), features, attributions, agree, differ, F.coalesce("changepoint", F.lit(0.0)))
-    return rows.select("date", "regime", text.alias("narrative"))
-
-
 @query(with_(*EVAL, MC, recursive=True) + "SELECT round(1e6 * avg(r), 3) AS expected_return_amount, round(1e6 * any_value(a), 3) AS var_95_amount, round(1e6 * avg(r) FILTER (r <= a), 3) AS cvar_95_amount, round(1e6 * any_value(b), 3) AS var_99_amount, round(1e6 * avg(r) FILTER (r <= b), 3) AS cvar_99_amount FROM tot, vq")
 def position_at_risk(spark, sf_dir):
     amounts = portfolio.position_risk(1e6, simulation.tail_risk(simulation.simulate(spark, _start(spark, sf_dir))))

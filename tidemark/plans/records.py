@@ -142,10 +142,13 @@ def records_available(spark, sf_dir):
     return pit.records_available(records, F.lit("1998-06-30").cast("date")).groupBy("symbol").agg(F.count("*").alias("n"), F.max("date").alias("last_date"))
 
 
-@query(with_(*BASE) + "SELECT count(*) AS n, strftime(max(date), '%Y-%m-%d') AS last_date FROM feat WHERE date <= DATE '1998-06-30'")
+@query(with_(*BASE, "lk AS (SELECT date, date > DATE '1998-06-30' AS late FROM feat)") + """SELECT 'available' AS rows, count(*) FILTER (NOT late) AS n, 0 AS n_leaking, NULL AS first_leak, NULL AS last_leak FROM lk UNION ALL
+SELECT 'all', count(*), count(*) FILTER (late), strftime(min(date) FILTER (late), '%Y-%m-%d'), strftime(max(date) FILTER (late), '%Y-%m-%d') FROM lk""")
 def leak_free_features(spark, sf_dir):
-    day = F.lit("1998-06-30").cast("date")
-    return pit.assert_no_leak(_features(spark, sf_dir).filter(F.col("date") <= day), day).agg(F.count("*").alias("n"), F.max("date").alias("last_date"))
+    """Features as of a day, with the guard on, beside what the guard would stop at among all of them."""
+    day, f = F.lit("1998-06-30").cast("date"), _features(spark, sf_dir, often=True)
+    known = pit.leak_report(pit.assert_no_leak(pit.available(f, 0, day), day), day).withColumn("rows", F.lit("available"))
+    return known.unionByName(pit.leak_report(f, day).withColumn("rows", F.lit("all")))
 
 
 ATTR = ("b AS (SELECT " + ", ".join(f"{c} * ({w}) AS {c}" for c, w in LINEAR.items()) + ", date FROM feat WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in LINEAR) + "), u AS (UNPIVOT b ON " + ", ".join(LINEAR) + " INTO NAME feature VALUE d), "
@@ -170,6 +173,31 @@ def attribution_lookup(spark, sf_dir):
     return governance.exact_lookup(_asked(spark), first, ["feature", "attribution"]).drop("panel")
 
 
+ASKED_METRICS = [c for c in METRIC_COLUMNS if c != "n"] + ["omega_ratio", "proper_rps"]
+
+
+@query(with_(*EVAL, ALLOC, PATHS, METRICS, "mu AS (UNPIVOT (SELECT " + ", ".join(c for c in METRIC_COLUMNS if c != "n") + " FROM met) ON COLUMNS(*) INTO NAME metric VALUE value)", recursive=True)
+       + f"SELECT a.metric, round(value, 6) AS value, CASE WHEN value IS NULL THEN 'UNAVAILABLE' ELSE 'VERIFIED' END AS status, CASE WHEN value IS NULL THEN 'no record' ELSE '' END AS reason FROM (SELECT unnest({ASKED_METRICS}) AS metric) a LEFT JOIN mu USING (metric)")
+def backtest_lookup(spark, sf_dir):
+    """Figures of the stored backtest by name, and what isn't there."""
+    names = [c for c in METRIC_COLUMNS if c != "n"]
+    found = written(portfolio.backtest_metrics(_paths(spark, sf_dir)).select(*names), "metrics").unpivot([], names, "metric", "value")
+    return governance.record_lookup(spark.createDataFrame([(m,) for m in ASKED_METRICS], "metric string"), found, ["metric"], ["value"])
+
+
+ASKED_CARDS = [("soft", "1996"), ("trend", "2000"), ("bucket", "1998"), ("gibbs", "2000"), ("soft", "2035")]
+
+
+@query(with_(*EVAL, "cl AS (SELECT model, CAST(year(date) AS VARCHAR) AS version, count(*) AS n, avg(-ln(greatest(p, 1e-12))) AS log_loss FROM preds JOIN truth USING (date) WHERE k = y GROUP BY 1, 2)", "ca(model, version) AS (VALUES " + ", ".join(map(str, ASKED_CARDS)) + ")")
+       + "SELECT model, version, n, round(log_loss, 6) AS log_loss, CASE WHEN n IS NULL THEN 'UNAVAILABLE' ELSE 'VERIFIED' END AS status, CASE WHEN n IS NULL THEN 'no record' ELSE '' END AS reason FROM ca LEFT JOIN cl USING (model, version)")
+def governance_lookup(spark, sf_dir):
+    """Cards of models and years, computed and stored, by model and version."""
+    models, truth = _setup(spark, sf_dir)
+    days = models.join(truth.filter("y is not null"), ["panel", "date"]).select("model", F.year("date").cast("string").alias("version"), S.log_loss(F.col("p"), F.col("y")).alias("ll"))
+    cards = written(days.groupBy("model", "version").agg(F.count("*").alias("n"), F.avg("ll").alias("log_loss")), "cards")
+    return governance.record_lookup(spark.createDataFrame(ASKED_CARDS, "model string, version string"), cards, ["model", "version"], ["n", "log_loss"])
+
+
 BROKEN = """br AS (SELECT date, list(CASE WHEN day(date) % 7 = 0 THEN 1.1 * p ELSE p END ORDER BY k) AS p, (day(date) % 10) / 8.0 - 0.05 AS cp, CASE WHEN day(date) % 11 = 0 THEN 0 ELSE 1 END AS m FROM soft GROUP BY date),
 fl AS (SELECT date, concat_ws(',', CASE WHEN abs(list_sum(p) - 1) > 1e-4 OR list_max(p) > 1 THEN 'probabilities' END, CASE WHEN cp < 0 OR cp > 1 THEN 'changepoint' END, CASE WHEN m = 0 THEN 'set' END) AS faults FROM br)"""
 
@@ -201,11 +229,34 @@ def node_returns(spark, sf_dir):
     return network.returns(market.panel(spark, sf_dir)).unpivot(["panel", "date"], network.NODES, "node", "ret").drop("panel")
 
 
-@query(with_(*BASE, "n AS (SELECT date, count(*) OVER (ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) = 60 AS full_window FROM panel)")
-       + "SELECT strftime(date, '%Y-%m-%d') AS date, round(nifty_ret_1d, 6) AS nifty_ret_1d, round(vix_level, 6) AS vix_level, full_window AS has_graph, full_window AS has_topology FROM feat JOIN n USING (date)")
+def _squared(m: str) -> str:
+    """SQL for the square of a 5 by 5 matrix kept as a list."""
+    return "[" + ", ".join(" + ".join(f"{m}[{5 * i + k + 1}] * {m}[{5 * k + j + 1}]" for k in range(5)) for i in range(5) for j in range(5)) + "]"
+
+
+def _matrix(entry) -> str:
+    return "[" + ", ".join(entry(i, j) for i in range(5) for j in range(5)) + "]"
+
+
+NODES = network.NODES
+_EDGE = lambda i, j: f"{NODES[min(i, j)]}_{NODES[max(i, j)]}"
+_DEGREE = lambda i: "(" + " + ".join(_EDGE(i, j) for j in range(5) if j != i) + ")"
+#: The graph's largest eigenvalue and its Laplacian's second least, from traces of a matrix squared again and again: A + 1, and
+#: c (1 - J / 5) - L with c above all of L's eigenvalues.
+SPECTRUM = ("r AS (SELECT date, " + ", ".join(f"coalesce(ln({c} / lag({c}) OVER (ORDER BY date)), 0) AS {c}" for c in NODES) + " FROM panel)",
+    "ew0 AS (SELECT date, count(*) OVER w AS n, " + ", ".join(f"CASE WHEN least(stddev_pop({a}) OVER w, stddev_pop({b}) OVER w) > 0 THEN corr({a}, {b}) OVER w * (stddev_pop({a}) OVER w / (stddev_pop({a}) OVER w + 1e-8)) * (stddev_pop({b}) OVER w / (stddev_pop({b}) OVER w + 1e-8)) END AS {a}_{b}" for i, a in enumerate(NODES) for b in NODES[i + 1 :]) + " FROM r WINDOW w AS (ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))",
+    "ew AS (SELECT date, " + ", ".join(f"greatest(0.0, coalesce({a}_{b}, 0)) AS {a}_{b}" for i, a in enumerate(NODES) for b in NODES[i + 1 :]) + " FROM ew0 WHERE n = 60)",
+    "gm0 AS (SELECT *, 2 * greatest(" + ", ".join(_DEGREE(i) for i in range(5)) + ") + 1 AS c FROM ew)",
+    "gm AS (SELECT date, 'radius' AS what, " + _matrix(lambda i, j: "1.0::DOUBLE" if i == j else _EDGE(i, j)) + " AS m0, c FROM gm0 UNION ALL SELECT date, 'gap', " + _matrix(lambda i, j: f"0.8 * c - {_DEGREE(i)}" if i == j else f"{_EDGE(i, j)} - 0.2 * c") + ", c FROM gm0)",
+    "pw AS (SELECT 0 AS t, date, what, m0 AS m FROM gm UNION ALL SELECT t + 1, date, what, " + _squared("x") + " FROM (SELECT t, date, what, list_transform(m, lambda v: v / s) AS x FROM (SELECT *, list_max(m) AS s FROM pw WHERE t < 30)))",
+    "sp AS (SELECT date, what, c, (" + " + ".join(f"m0[{5 * i + j + 1}] * m[{5 * j + i + 1}]" for i in range(5) for j in range(5)) + ") / (" + " + ".join(f"m[{6 * i + 1}]" for i in range(5)) + ") AS top FROM pw JOIN gm USING (date, what) WHERE t = 30)")
+
+
+@query(with_(*BASE, *SPECTRUM, "n AS (SELECT date, count(*) OVER (ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) = 60 AS full_window FROM panel)", recursive=True)
+       + "SELECT strftime(feat.date, '%Y-%m-%d') AS date, round(nifty_ret_1d, 6) AS nifty_ret_1d, round(vix_level, 6) AS vix_level, round(a.top - 1, 6) AS gnn_spectral_radius, round(b.c - b.top, 6) AS gnn_algebraic_connectivity, full_window AS has_topology FROM feat JOIN n USING (date) LEFT JOIN sp a ON a.date = feat.date AND a.what = 'radius' LEFT JOIN sp b ON b.date = feat.date AND b.what = 'gap'")
 def full_feature_matrix(spark, sf_dir):
     f = contracts.full_feature_matrix(written(market.panel(spark, sf_dir), "panel"))
-    return f.select("date", "nifty_ret_1d", "vix_level", F.col("gnn_spectral_radius").isNotNull().alias("has_graph"), F.col("tda_h0_amplitude").isNotNull().alias("has_topology"))
+    return f.select("date", "nifty_ret_1d", "vix_level", "gnn_spectral_radius", "gnn_algebraic_connectivity", F.col("tda_h0_amplitude").isNotNull().alias("has_topology"))
 
 
 EWMA = """br AS (SELECT symbol, date, close, row_number() OVER w AS k, ln(close / lag(close) OVER w) AS r, close - lag(close) OVER w AS d FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
@@ -492,6 +543,35 @@ def scenario_display(spark, sf_dir):
     return simulation.display_rows(simulation.parse_scenarios(_scenarios(spark, sf_dir))).filter("feature <> 'not understood'").select("id", "feature", "shock")
 
 
+#: Words of the drivers that the linear score has, above and below their parting value.
+SAID = ", ".join(f"'{c}', CASE WHEN {c} > {mid} THEN '{high}' ELSE '{low}' END" for c, (high, low, mid) in governance.DRIVERS.items() if c in LINEAR)
+TOLD = f"""wd AS (SELECT date, feature, attribution AS a, map_extract(MAP {{{SAID.replace("', CASE", "': CASE")}}}, feature)[1] AS words FROM attr JOIN feat USING (date)),
+wr AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY a DESC, feature DESC) AS up, row_number() OVER (PARTITION BY date ORDER BY a, feature) AS down FROM wd),
+wy AS (SELECT date, string_agg(words, ', ' ORDER BY up) FILTER (a > 0.05 AND up <= 3) AS why, string_agg(words, ', ' ORDER BY down) FILTER (a < -0.05 AND down <= 2) AS why_not FROM wr GROUP BY date),
+tp AS (SELECT model, date, arg_max(k, p * 1e9 - k) AS top FROM preds GROUP BY ALL),
+vt AS (SELECT t.date, count(*) FILTER (t.top = s.top) AS agree, count(*) AS votes, list(t.model ORDER BY t.model) FILTER (t.top <> s.top) AS differ FROM tp t JOIN tp s ON s.date = t.date AND s.model = 'soft' GROUP BY t.date)"""
+
+
+@query(with_(*EVAL, STATE, ATTR, BOCPD, TOLD, recursive=True) + """SELECT strftime(ent.date, '%Y-%m-%d') AS date, n[top + 1] AS regime, n[top + 1] || ' at ' || printf('%.1f', 100 * probability) || ' %.' || coalesce(' It rests on ' || why || '.', ' No single feature carries it.') || coalesce(' Against it: ' || why_not || '.', '')
+  || ' ' || agree || ' of ' || votes || ' models agree' || coalesce('; not ' || array_to_string(differ[1:2], ', '), '') || '.' || CASE WHEN coalesce(changepoint, 0) > 0.3 THEN ' A break is ' || printf('%.1f', 100 * changepoint) || ' % likely.' ELSE '' END AS narrative
+FROM ent JOIN wy USING (date) JOIN vt USING (date) LEFT JOIN cp USING (date), names""")
+def narratives(spark, sf_dir):
+    """A paragraph for each day from attributions, model votes and changepoints."""
+    f = _features(spark, sf_dir, often=True)
+    models = _models(f)
+    shares = governance.ablation(f.na.drop(subset=list(LINEAR)), lambda x: sum((x[c] * w for c, w in LINEAR.items()), F.lit(0.0)), list(LINEAR), dict.fromkeys(LINEAR, 0.0))
+    shares = shares.groupBy("panel", "date").agg(*(F.max(F.when(F.col("feature") == c, F.col("attribution"))).alias(f"a_{c}") for c in LINEAR))
+    votes = models.groupBy("panel", "date").agg(F.map_from_entries(F.collect_list(F.struct("model", S.label(S.argmax(F.col("p"))).alias("r")))).alias("votes"))
+    soft = models.filter("model = 'soft'").select("panel", "date", S.label(S.argmax(F.col("p"))).alias("regime"), F.array_max("p").alias("probability"))
+    rows = soft.join(f, ["panel", "date"]).join(shares, ["panel", "date"]).join(votes, ["panel", "date"]).join(_changes(f), ["panel", "date"], "left")
+    agree = F.sort_array(F.map_keys(F.map_filter("votes", lambda k, v: v == F.col("regime"))))
+    differ = F.sort_array(F.map_keys(F.map_filter("votes", lambda k, v: v != F.col("regime"))))
+    features = {c: F.col(c) for c in LINEAR} | {"nifty_vol_ewma_21d": F.col("nifty_vol_realized_21d")}
+    attributions = {c: F.col(f"a_{c}") for c in LINEAR} | {"nifty_vol_ewma_21d": F.lit(0.0)}
+    text = governance.narrative(F.col("regime"), F.col("probability"), features, attributions, agree, differ, F.coalesce("changepoint", F.lit(0.0)))
+    return rows.select("date", "regime", text.alias("narrative"))
+
+
 #: Shock vectors that are equal share one group g, which is what is simulated.
 STRESS = LAST + ", " + PARSED + """, sv0 AS (SELECT id, min(form) AS form, min(n) AS n, sum(abs(shock)) AS sev, coalesce(max(shock) FILTER (feature = 'vix_level'), 0) AS vix, coalesce(max(shock) FILTER (feature = 'nifty_ret_1d'), 0) AS ret FROM pr GROUP BY id),
 sv AS (SELECT DISTINCT form * 10 + n AS g, sev, vix, ret FROM sv0), sg AS (SELECT id, form * 10 + n AS g FROM sv0),
@@ -507,6 +587,15 @@ def probability_shift(spark, sf_dir):
     return simulation.probability_shift(simulation.simulate_scenarios(vectors, start, parametric=True), start)
 
 
+#: What each preset asks for, read by hand from the rules: feature and shock of its clauses.
+READ = {
+    "Volatility up by a third": [("vix_level", 4.5)], "Volatility at a crisis level": [("vix_level", 30)], "Market fall in a day": [("nifty_ret_1d", -0.05)], "Dollar up": [("usdinr_ret_21d", 0.03)], "Dollar down": [("usdinr_ret_21d", -0.03)],
+    "Rupee stronger": [("usdinr_ret_21d", -0.03)], "Rupee weaker": [("usdinr_ret_21d", 0.03)], "Volatility up, market down": [("vix_level", 3.75), ("nifty_ret_1d", -0.04)], "Recovery": [("vix_level", -3), ("nifty_ret_1d", 0.03)],
+    "Volatility spike": [("vix_level", 20), ("nifty_ret_1d", -0.03)], "Currency stress": [("usdinr_ret_21d", 0.04), ("breadth_midcap_ret_21d", -0.02)], "Relief rally": [("nifty_ret_1d", 0.03), ("vix_level", -4)], "Slow grind": [("nifty_ret_1d", -0.01), ("nifty_vol_ewma_21d", 0.03)],
+}
+PRESET_ROWS = "pr(id, form, n, feature, shock) AS (VALUES " + ", ".join(f"('{name}', {k}, 0, '{feature}', {shock}::DOUBLE)" for k, (name, clauses) in enumerate(READ.items()) for feature, shock in clauses) + ")"
+
+
 PATHS5 = f"""cm AS (SELECT gid AS id, list(c ORDER BY k) AS cum FROM (SELECT gid, k, sum(p) OVER (PARTITION BY gid ORDER BY k) AS c FROM mv) GROUP BY gid),
 sgrid AS (SELECT path, day, {U.format(at=1)} AS u0, {U.format(at=9)} AS u1, {U.format(at=17)} AS u2, {U.format(at=25)} AS u3, {U.format(at=33)} AS u4 FROM (SELECT unnest(range(0, 5000)) AS path), (SELECT unnest(range(0, 21)) AS day)),
 sst AS (SELECT id, path, day, least(4, len(list_filter(cum, lambda c: c < u0))) AS state FROM sgrid, cm WHERE day = 0 UNION ALL SELECT s.id, g.path, g.day, least(4, len(list_filter({CUM}[s.state + 1], lambda c: c < g.u0))) FROM sst s JOIN sgrid g ON g.path = s.path AND g.day = s.day + 1),
@@ -520,6 +609,13 @@ def scenario_stress(spark, sf_dir):
     return simulation.simulate_scenarios(simulation.shock_vectors(simulation.parse_scenarios(_scenarios(spark, sf_dir))), _start(spark, sf_dir))
 
 
+@query(with_(*EVAL, STRESS.replace(PARSED, PRESET_ROWS), PATHS5, recursive=True) + f"SELECT sg.id, round(p0, 6) AS p0, round(p1, 6) AS p1, round(p2, 6) AS p2, round(p3, 6) AS p3, round(p4, 6) AS p4, {NAMES5}[top + 1] AS dominant_regime, round(entropy, 6) AS entropy, round(var_95, 6) AS var_95, round(cvar_95, 6) AS cvar_95, round(expected_return, 6) AS expected_return FROM sg JOIN sp ON sp.id = g JOIN srk ON srk.id = g")
+def scenario_presets(spark, sf_dir):
+    """The offered scenarios, each stressed from the last day's probabilities."""
+    texts = spark.createDataFrame(list(simulation.PRESETS.items()), "id string, text string")
+    return simulation.simulate_scenarios(simulation.shock_vectors(simulation.parse_scenarios(texts)), _start(spark, sf_dir))
+
+
 # --- streams as tables -----------------------------------------------------------------------------------------------
 
 
@@ -577,14 +673,14 @@ def estimate_reconciliation(spark, sf_dir):
     return ensemble.reconcile_estimates(_chain(models, False), _chain(models, True))
 
 
-@query(with_(*BASE, "g AS (SELECT regr_slope(nifty_ret_1d, vix_level) AS slope, regr_intercept(nifty_ret_1d, vix_level) AS intercept FROM feat)") + "SELECT unnest(['intercept', 'vix_level']) AS term, TRUE AS covers_least_squares, TRUE AS converged FROM g")
+@query(with_(*BASE, "g AS (SELECT regr_slope(nifty_ret_1d, vix_level) AS slope, regr_intercept(nifty_ret_1d, vix_level) AS intercept FROM feat)") + "SELECT unnest(['intercept', 'vix_level']) AS term, round(unnest([intercept, slope]), 6) AS mean, TRUE AS covers_least_squares, TRUE AS converged FROM g")
 def return_regression(spark, sf_dir):
-    """A Bayesian regression by sampling, held against least squares: its interval covers them and its chains agree."""
+    """A Bayesian regression by sampling, held against least squares: its mean is theirs, its interval covers them and its chains agree."""
     f = _features(spark, sf_dir, often=True)
     ols = f.agg(F.regr_slope("nifty_ret_1d", "vix_level").alias("s"), F.regr_intercept("nifty_ret_1d", "vix_level").alias("i"))
     out = latent.bayes_regression(f, ["vix_level"], "nifty_ret_1d").join(F.broadcast(ols))
     plain = F.when(F.col("term") == "intercept", F.col("i")).otherwise(F.col("s"))
-    return out.select("term", plain.between(F.col("low"), F.col("high")).alias("covers_least_squares"), (F.col("r_hat") < 1.05).alias("converged"))
+    return out.select("term", "mean", plain.between(F.col("low"), F.col("high")).alias("covers_least_squares"), (F.col("r_hat") < 1.05).alias("converged"))
 
 
 @query()
