@@ -10,7 +10,7 @@ from tidemark.plans.queries import QUERIES, SQL
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: One query of each kind; the whole list is compared by the driver.
 CHOSEN = [
-    "daily_bars", "quality_report", "series_availability", "asof_backward", "asof_nearest", "carried_panel", "snapshot_hashes", "technical_features", "recursive_features", "graph_adjacency", "variance_inflation",
+    "daily_bars", "quality_report", "series_availability", "asof_backward", "asof_nearest", "carried_panel", "snapshot_hashes", "technical_features", "recursive_features", "graph_adjacency", "graph_features", "variance_inflation",
     "forward_target", "tournament", "conformal_sets", "adaptive_conformal", "uncertainty", "model_disagreement", "regime_spells", "psi_report", "champion_registry", "allocation", "backtest_metrics",
     "crisis_episodes", "tail_risk", "scenario_parse", "scenario_grid", "response_claims", "feature_attribution", "stored_bars", "stored_scores", "series_contract", "frame_hash", "raw_quality", "index_quality",
     "top_drivers", "narratives", "backtest_lookup", "governance_lookup", "leak_free_features", "return_regression", "full_feature_matrix", "prediction_contracts", "score_ranking", "stacking_weights", "full_conviction", "deflated_sharpe", "audit_records", "committee_memos", "scenario_stress", "user_sessions", "late_events", "decayed_counts",

@@ -331,3 +331,19 @@ def test_lookup_of_records(spark):
     found = sorted(((r.model or "", r.version, r.score, r.status) for r in governance.record_lookup(asked, records, ["model", "version"], ["score"]).collect()), key=str)
     assert found == [("", "1", None, "UNAVAILABLE"), ("a", "1", 0.5, "VERIFIED"), ("a", "1", 0.5, "VERIFIED"), ("a", "2", None, "UNAVAILABLE"), *((m, "1", None, "QUARANTINED") for m in "bcde")]
     assert governance.record_lookup(asked, records.limit(0), ["model", "version"], ["score"]).filter("status <> 'UNAVAILABLE'").count() == 0
+
+
+def test_written_tables_can_be_released(spark, sf):
+    kept = durable.written(spark.range(10).toDF("x"), "kept")
+    once = durable.written(spark.range(5).toDF("x"), "once")
+    assert durable.tables(once) == [p for p in durable.tables(once.union(kept)) if "/once-" in p] and len(durable.tables(once)) == 1
+    assert durable.tables(spark.read.parquet(f"{sf}/region.parquet")) == []
+    assert durable.release(spark, [*durable.tables(once), f"{sf}/region.parquet", durable.folder(spark), durable.folder(spark) + "/../x"]) == 1
+    assert durable.release(spark, ["nowhere"]) == 0 and kept.count() == 10
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        once.count()
+
+
+def test_graphs_without_edges():
+    values = network.graph_metrics(np.zeros((60, 5)))
+    assert values[:3] == [0.0, 0.0, 0.0] and values[3] == 1.0 and values[4] == 0.0

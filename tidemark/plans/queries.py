@@ -232,11 +232,6 @@ def graph_adjacency(spark, sf_dir):
     return network.adjacency(market.panel(spark, sf_dir)).drop("panel")
 
 
-@query()
-def graph_features(spark, sf_dir):
-    return network.graph_features(market.panel(spark, sf_dir)).drop("panel")
-
-
 @query()
 def topology_features(spark, sf_dir):
     return network.topology_features(market.panel(spark, sf_dir)).drop("panel")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -238,6 +239,15 @@ def _matrix(entry) -> str:
     return "[" + ", ".join(entry(i, j) for i in range(5) for j in range(5)) + "]"
 
 
+def _leading(level: str, source: str) -> tuple[str, str]:
+    """SQL for the largest eigenvalue `top` of each matrix m0 of source and the projection q onto its d vectors, by d, as sp<level>: squared thirty times, by traces."""
+    trace = "(" + " + ".join(f"m[{6 * i + 1}]" for i in range(5)) + ")"
+    return (
+        f"pw{level} AS (SELECT 0 AS t, date, what, m0 AS m FROM {source} UNION ALL SELECT t + 1, date, what, " + _squared("x") + f" FROM (SELECT t, date, what, list_transform(m, lambda v: v / s) AS x FROM (SELECT *, list_max(m) AS s FROM pw{level} WHERE t < 30)))",
+        f"sp{level} AS (SELECT *, round(1 / list_sum(list_transform(q, lambda v: v * v))) AS d FROM (SELECT date, what, c, m0, (" + " + ".join(f"m0[{5 * i + j + 1}] * m[{5 * j + i + 1}]" for i in range(5) for j in range(5)) + f") / {trace} AS top, list_transform(m, lambda v: v / {trace}) AS q FROM pw{level} JOIN {source} USING (date, what) WHERE t = 30))",
+    )
+
+
 NODES = network.NODES
 _EDGE = lambda i, j: f"{NODES[min(i, j)]}_{NODES[max(i, j)]}"
 _DEGREE = lambda i: "(" + " + ".join(_EDGE(i, j) for j in range(5) if j != i) + ")"
@@ -248,17 +258,52 @@ SPECTRUM = ("r AS (SELECT date, " + ", ".join(f"coalesce(ln({c} / lag({c}) OVER
     "ew AS (SELECT date, " + ", ".join(f"greatest(0.0, coalesce({a}_{b}, 0)) AS {a}_{b}" for i, a in enumerate(NODES) for b in NODES[i + 1 :]) + " FROM ew0 WHERE n = 60)",
     "gm0 AS (SELECT *, 2 * greatest(" + ", ".join(_DEGREE(i) for i in range(5)) + ") + 1 AS c FROM ew)",
     "gm AS (SELECT date, 'radius' AS what, " + _matrix(lambda i, j: "1.0::DOUBLE" if i == j else _EDGE(i, j)) + " AS m0, c FROM gm0 UNION ALL SELECT date, 'gap', " + _matrix(lambda i, j: f"0.8 * c - {_DEGREE(i)}" if i == j else f"{_EDGE(i, j)} - 0.2 * c") + ", c FROM gm0)",
-    "pw AS (SELECT 0 AS t, date, what, m0 AS m FROM gm UNION ALL SELECT t + 1, date, what, " + _squared("x") + " FROM (SELECT t, date, what, list_transform(m, lambda v: v / s) AS x FROM (SELECT *, list_max(m) AS s FROM pw WHERE t < 30)))",
-    "sp AS (SELECT date, what, c, (" + " + ".join(f"m0[{5 * i + j + 1}] * m[{5 * j + i + 1}]" for i in range(5) for j in range(5)) + ") / (" + " + ".join(f"m[{6 * i + 1}]" for i in range(5)) + ") AS top FROM pw JOIN gm USING (date, what) WHERE t = 30)")
+    *_leading("1", "gm"))
 
 
 @query(with_(*BASE, *SPECTRUM, "n AS (SELECT date, count(*) OVER (ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) = 60 AS full_window FROM panel)", recursive=True)
-       + "SELECT strftime(feat.date, '%Y-%m-%d') AS date, round(nifty_ret_1d, 6) AS nifty_ret_1d, round(vix_level, 6) AS vix_level, round(a.top - 1, 6) AS gnn_spectral_radius, round(b.c - b.top, 6) AS gnn_algebraic_connectivity, full_window AS has_topology FROM feat JOIN n USING (date) LEFT JOIN sp a ON a.date = feat.date AND a.what = 'radius' LEFT JOIN sp b ON b.date = feat.date AND b.what = 'gap'")
+       + "SELECT strftime(feat.date, '%Y-%m-%d') AS date, round(nifty_ret_1d, 6) AS nifty_ret_1d, round(vix_level, 6) AS vix_level, round(a.top - 1, 6) AS gnn_spectral_radius, round(b.c - b.top, 6) AS gnn_algebraic_connectivity, full_window AS has_topology FROM feat JOIN n USING (date) LEFT JOIN sp1 a ON a.date = feat.date AND a.what = 'radius' LEFT JOIN sp1 b ON b.date = feat.date AND b.what = 'gap'")
 def full_feature_matrix(spark, sf_dir):
     f = contracts.full_feature_matrix(written(market.panel(spark, sf_dir), "panel"))
     return f.select("date", "nifty_ret_1d", "vix_level", "gnn_spectral_radius", "gnn_algebraic_connectivity", F.col("tda_h0_amplitude").isNotNull().alias("has_topology"))
 
 
+def _embedding() -> tuple[str, str]:
+    """SQL for the means over nodes of two rounds of spreading over the graph with loops, with the operator's fixed weights."""
+    rng = np.random.RandomState(42)
+    w0, w1 = rng.normal(0, 0.5, (3, 8)), rng.normal(0, 0.5, (8, 4))
+    spread = lambda i, j: f"s[{5 * i + j + 1}]"
+    inputs = [[f"{n}_mean * 252", f"{n}_sd * sqrt(252)", f"{n}_last"] for n in NODES]
+    one = ", ".join("(" + " + ".join(f"{spread(i, j)} * {inputs[j][f]}" for j in range(5)) + f") AS x{i}{f}" for i in range(5) for f in range(3))
+    share = [" + ".join(spread(i, j) for i in range(5)) for j in range(5)]
+    two = ", ".join("(" + " + ".join(f"({share[j]}) / 5 * (" + " + ".join(f"{w1[h, m]!s} * greatest(0, " + " + ".join(f"{w0[f, h]!s} * x{j}{f}" for f in range(3)) + ")" for h in range(8)) + ")" for j in range(5)) + f") AS gnn_emb_{m}" for m in range(4))
+    root = lambda i: f"sqrt(1 + {_DEGREE(i)})"
+    loops = _matrix(lambda i, j: f"1 / (1 + {_DEGREE(i)})" if i == j else f"{_EDGE(i, j)} / {root(i)} / {root(j)}")
+    stats = ", ".join(f"avg({n}) OVER w AS {n}_mean, stddev_pop({n}) OVER w AS {n}_sd, lag({n}) OVER (ORDER BY date) AS {n}_last" for n in NODES)
+    return f"em0 AS (SELECT date, {loops} AS s FROM ew)", f"em1 AS (SELECT date, {stats} FROM r WINDOW w AS (ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))", f"em AS (SELECT date, {two} FROM (SELECT date, s, {one} FROM em0 JOIN em1 USING (date)))"
+
+
+def _rest(level: int) -> str:
+    """The Laplacian's matrices without the eigenvalues found so far."""
+    return f"ds{level} AS (SELECT date, what, c, list_transform(list_zip(m0, q), lambda v: v[1] - top * d * v[2]) AS m0 FROM sp{level} WHERE what = 'gap')"
+
+
+#: The Laplacian's eigenvalues one after the other, equal ones at once, the last by the trace; shares of their sum.
+#: In a graph without edges the first node holds all centrality, as in what this is modelled on.
+LAPLACIAN = (
+    *SPECTRUM, _rest(1), *_leading("2", "ds1"), _rest(2), *_leading("3", "ds2"), "lp0 AS (SELECT g.date, " + " + ".join(_DEGREE(i) for i in range(5)) + " AS total, a.c - a.top AS l2, a.c - b.top AS l3, a.c - e.top AS l4, a.d AS d2, least(b.d, 4 - d2) AS d3, least(e.d, 4 - d2 - d3) AS d4 FROM gm0 g JOIN sp1 a ON a.date = g.date AND a.what = 'gap' JOIN sp2 b ON b.date = g.date JOIN sp3 e ON e.date = g.date)",
+    "lp1 AS (SELECT *, d2 * l2 + CASE WHEN d3 > 0 THEN d3 * l3 ELSE 0 END + CASE WHEN d4 > 0 THEN d4 * l4 ELSE 0 END AS known FROM lp0)",
+    "lp AS (SELECT date, l2 AS gnn_algebraic_connectivity, CASE WHEN total > 0 THEN -list_sum(list_transform([[d2, l2 / total], [d3, l3 / total], [d4, l4 / total], [4 - d2 - d3 - d4, 1 - known / total]], lambda v: CASE WHEN v[1] > 0 AND v[2] > 1e-10 THEN v[1] * v[2] * ln(v[2]) ELSE 0 END)) ELSE 0 END AS gnn_graph_entropy FROM lp1)",
+    "ce AS (SELECT date, top - 1 AS gnn_spectral_radius, CASE WHEN top - 1 < 1e-12 THEN [1.0, 0.0] ELSE list_transform([1, 7, 13, 19, 25], lambda k: sqrt(q[k])) END AS v FROM sp1 WHERE what = 'radius')",
+)
+
+
+@query(with_(*BASE[:2], *LAPLACIAN, *_embedding(), "gf AS (SELECT *, v[1] / list_sum(v) AS gnn_bank_centrality, v[2] / list_sum(v) AS gnn_it_centrality FROM ce JOIN lp USING (date) JOIN em USING (date))", recursive=True) + rounded("@date " + " ".join("#" + c for c in network.GRAPH), "gf"))
+def graph_features(spark, sf_dir):
+    """Spectrum, entropy, centralities and embedding of each window's graph."""
+    return network.graph_features(market.panel(spark, sf_dir)).drop("panel")
+
+
 EWMA = """br AS (SELECT symbol, date, close, row_number() OVER w AS k, ln(close / lag(close) OVER w) AS r, close - lag(close) OVER w AS d FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
 er AS (SELECT symbol, k, date, r * r AS v, greatest(d, 0) AS g, greatest(-d, 0) AS l FROM br WHERE k = 2 UNION ALL
   SELECT b.symbol, b.k, b.date, 0.94 * e.v + (1 - 0.94) * b.r * b.r, 13 * e.g / 14 + greatest(b.d, 0) / 14, 13 * e.l / 14 + greatest(-b.d, 0) / 14 FROM er e JOIN br b ON b.symbol = e.symbol AND b.k = e.k + 1)"""

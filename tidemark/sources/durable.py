@@ -39,3 +39,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = place(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, paths: list[str]) -> int:
+    """Delete tables of place() and written() that no later plan reads, such as those of a result that is stored by now; how many were there.
+
+    Paths outside the shared folder aren't touched. `tables()` lists what a DataFrame reads from there.
+    """
+    home, gone = folder(spark) + "/", 0
+    for path in sorted(set(paths)):
+        if path.startswith(home) and ".." not in path and path.rstrip("/") != home.rstrip("/"):
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            gone += bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True))
+    return gone
+
+
+def tables(df: DataFrame) -> list[str]:
+    """The tables in the shared folder that df reads: what release() may take once df's rows are stored elsewhere."""
+    home = folder(df.sparkSession)
+    own = "/" + re.sub(r"^[a-z]+:/+", "", home).strip("/") + "/"
+    found = set()
+    for file in df.inputFiles():
+        path = "/" + re.sub(r"^[a-z]+:/+", "", file).lstrip("/")
+        if path.startswith(own):
+            found.add(f"{home}/{path[len(own):].split('/')[0]}")
+    return sorted(found)
