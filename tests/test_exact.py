@@ -171,3 +171,11 @@ def test_weights_earn_from_the_next_day_on(spark):
     got = portfolio.backtest_paths(frame(weights), frame(returns), cost_bps=0, risk_free=0).orderBy("date").collect()
     assert [str(r.date) for r in got] == days[1:]
     assert [r.strategy_return for r in got] == pytest.approx([0.2 * 0.01, 0.8 * 0.02, 0.8 * 0.03, 0.1 * 0.04, 0.5 * 0.05, 0.5 * 0.06, 1.0 * 0.07])
+
+
+def test_windows_are_dealt_out(spark):
+    """One panel's windows come out of one task; most tasks of what is computed from them must have some."""
+    days = spark.range(120).selectExpr("'main' AS panel", "date_add(date'2000-01-01', CAST(id AS int)) AS date", *(f"100 + pmod(hash(id, {k}), 50) AS {n}" for k, n in enumerate(network.NODES)))
+    for found in (network.topology_features(days), network.graph_features(days)):
+        rows = found.select("date", F.spark_partition_id().alias("part")).collect()
+        assert len({r.date for r in rows}) == len(rows) == 60 and len({r.part for r in rows}) >= 3

@@ -101,9 +101,10 @@ def cycle_lifetimes(d: np.ndarray, tree: np.ndarray, most: int = 20) -> np.ndarr
 def loop_lifetimes(d: np.ndarray) -> np.ndarray:
     """Lifetimes, zeros left out, of the loops (H1, coefficients modulo 2) of the Vietoris-Rips filtration of all points.
 
-    Columns of triangles are reduced in the order of their longest edges, as sets of edges in the bits of whole numbers. Edges
-    that join two components have no part in it (their column isn't a loop's birth). Beyond the least radius at which one
-    point reaches all others the complex is a cone, so every loop is filled by then.
+    Coboundaries of edges (the triangles over them) are reduced, the longest edges first; the earliest triangle left is the one that
+    fills an edge's loop. Edges that join two components are left out, as they make no loop; those that are the longest of a
+    triangle are filled at once, so only the others are reduced. A triangle is known by its longest edge and the point across it. Beyond the
+    least radius at which one point reaches all others the complex is a cone, so every loop is filled by then.
     """
     n = len(d)
     radius = d.max(1).min() if n else 0.0
@@ -122,30 +123,37 @@ def loop_lifetimes(d: np.ndarray) -> np.ndarray:
             i = root[i]
         return i
 
-    open_ = set()
+    def over(e: int) -> set[int]:
+        """The triangles over an edge, as numbers that order as they come."""
+        i, j = int(a[e]), int(b[e])
+        k = np.flatnonzero((rank[i] >= 0) & (rank[j] >= 0))
+        x, y = rank[i, k], rank[j, k]
+        across = np.where((x > e) & (x > y), j, np.where(y > e, i, k))
+        return set((np.maximum(np.maximum(x, y), e) * n + across).tolist())
+
+    loops = []
     for e, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
         x, y = find(i), find(j)
         if x == y:
-            open_.add(e)
+            loops.append(e)
         root[x] = y
-    columns, out = {}, []
-    for e, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        if not open_:
-            break
-        sides = np.maximum(rank[i], rank[j])
-        third = np.flatnonzero((rank[i] >= 0) & (rank[j] >= 0) & (sides < e))
-        for k in third.tolist():
-            column = 1 << e | 1 << int(rank[i, k]) | 1 << int(rank[j, k])
-            while column:
-                low = column.bit_length() - 1
-                if low not in columns:
-                    break
-                column ^= columns[low]
-            if column:
-                columns[low] = column
-                open_.discard(low)
-                if length[e] > length[low]:
-                    out.append(length[e] - length[low])
+    sides = np.maximum(rank[a], rank[b])
+    filled = (rank[a] >= 0) & (rank[b] >= 0) & (sides < np.arange(len(a))[:, None])
+    point = np.where(filled.any(axis=1), filled.argmax(axis=1), -1).tolist() if n else []
+    columns, out = {e * n + point[e]: e for e in loops if point[e] >= 0}, []
+    for e in reversed(loops):
+        if point[e] >= 0:
+            continue
+        column = over(e)
+        while column:
+            first = min(column)
+            if first not in columns:
+                columns[first] = column
+                if length[first // n] > length[e]:
+                    out.append(length[first // n] - length[e])
+                break
+            other = columns[first]
+            column = column ^ (over(other) if isinstance(other, int) else other)
     return np.array(sorted(out, reverse=True))
 
 
@@ -171,12 +179,15 @@ def topology_metrics(x: np.ndarray) -> list[float]:
 
 
 def _mapped(windows: DataFrame, fn, names: list[str]) -> DataFrame:
+    """fn of each window. They come out of one task for each panel, so they are dealt out by date first."""
+    n = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             rows = [fn(np.array([list(r) for r in w], float)) for w in pdf["window"]]
             yield pd.concat([pdf[["panel", "date"]].reset_index(drop=True), pd.DataFrame(rows, columns=names, dtype=float)], axis=1)
 
-    return windows.mapInPandas(run, "panel string, date date, " + ", ".join(f"{n} double" for n in names))
+    return windows.repartition(n, "panel", "date").mapInPandas(run, "panel string, date date, " + ", ".join(f"{n} double" for n in names))
 
 
 def graph_features(panel: DataFrame, nodes: list[str] = NODES) -> DataFrame:
