@@ -725,6 +725,27 @@ def test_near_copies_edges(odd, empty):
     assert near_copies.near_copies(empty)[1].count() == 0
 
 
+def test_near_copies_by_golay_keys(spark, monkeypatch):
+    """Without bands, what is left is the first step: groups of fingerprints of 5-word shingles at most 3 bits apart, nothing more."""
+    rng, data = np.random.default_rng(12), []
+    for k in range(40):
+        w = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+        data.append((10 * k, " ".join(w)))
+        for j in (1, 2):
+            c = list(w)
+            c[int(rng.integers(400))] = f"x{j}"
+            data.append((10 * k + j, " ".join(c)))
+
+    def bits(text):
+        h = near_copies.shingles(text).tolist()
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    want = grouped([(i, bits(t)) for i, t in data], lambda a, b: (a ^ b).bit_count() <= 3)
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(near_copies, "_spread", lambda batches: iter(()))
+    assert {r.doc_id for r in near_copies.near_copies(df)[1].collect()} == want and 40 <= len(want) < 100
+
+
 def test_documents_are_rows_not_ids(spark, sf):
     rng = np.random.default_rng(6)
     a, b, c, d, e = (" ".join(f"w{x}" for x in rng.integers(0, 5000, 80)) for _ in range(5))

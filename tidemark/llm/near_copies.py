@@ -1,8 +1,12 @@
 """Near copies: texts whose sets of SHINGLE-word shingles have a Jaccard similarity of at least LEAST.
 
-Fingerprints a few bits apart (simhash) only reach copies that are nearly equal. Here a text has BANDS * ROWS minima of
-hashes of its shingles, and texts that agree in all minima of a band are candidates: at a similarity of 0.8 one pair in
-about 150,000 shares none. Candidates are verified on the shingles of both texts, so no link is too weak.
+The first step is that of op6: a SimHash of each text's shingles, Golay keys, groups of fingerprints at most 3 bits apart. Each text
+is verified against the first one of its group, on the shingles of both, so no link is too weak. That reaches copies that are
+nearly equal: at a similarity of 0.8 fingerprints differ in about 10 bits, too many for any key of a code of 23.
+
+So the second step finds what lies further apart. A text has BANDS * ROWS minima of hashes of its shingles, and texts that agree in
+all minima of a band are candidates: at a similarity of 0.8 one pair in about 150,000 shares none. Candidates that the first step
+has put into one group are settled, the others are verified in the same way.
 
 Equal texts are one node. Up to ALL texts of a band are paired with each other. The texts of a larger (hot) band are paired with
 one leader: in a group of copies that settles all, with pairs in proportion to the texts. What is left, texts that share a band but
@@ -22,6 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import discard, materialize, mix
 from .components import connected_components
 from .spotsigs import BASE, INVERSE
@@ -92,8 +97,12 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [sketch(shingles(t.as_py())).tobytes() for t in b.column(2)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], names=["node", "doc_id", "sketch"])
+        found, prints = [], np.zeros(b.num_rows, np.uint64)
+        for i, t in enumerate(b.column(2)):
+            h = shingles(t.as_py())
+            found.append(sketch(h).tobytes())
+            prints[i] = simhash.majority(simhash.ones(h), len(h))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary()), pa.array(prints.view(np.int64))], names=["node", "doc_id", "sketch", "fp"])
     _release()
 
 
@@ -240,6 +249,17 @@ def _strays(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return open_, open_.filter("root <> main")
 
 
+def print_pairs(nodes: DataFrame) -> DataFrame:
+    """(u, v): the first node of each group of fingerprints (fp) that links of few bits connect, with every other of its nodes."""
+    return simhash.grouped(nodes.select("node", "fp"), "node").filter("node <> component_id").select(F.col("component_id").alias("u"), F.col("node").alias("v"))
+
+
+def _beyond(pairs: DataFrame, settled: DataFrame) -> DataFrame:
+    """Pairs of nodes that aren't in one group yet; a node that has no row in settled is its own group's root."""
+    roots = [settled.toDF("u", "_u"), settled.toDF("v", "_v")]
+    return pairs.join(roots[0], "u", "left").join(roots[1], "v", "left").filter(F.coalesce("_u", "u") != F.coalesce("_v", "v")).select("u", "v")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = ALL) -> tuple[DataFrame, DataFrame]:
     """(rows, kept). rows: (node, doc_id) of every row. kept: (node, doc_id) of the row that stays of each group of texts that
     links connect: the smallest id's; of several such texts, the smallest node's. Null ids come last.
@@ -249,9 +269,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = docs.select(node(F.col(text_col)).alias("node"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    rows = materialize(plain.mapInArrow(_sketch, "node long, doc_id long, sketch binary"), "sketches")
+    rows = materialize(plain.mapInArrow(_sketch, "node long, doc_id long, sketch binary, fp long"), "sketches")
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("node"))
-    nodes = materialize(rows.groupBy("node").agg(F.min(first).alias("first"), F.min("sketch").alias("sketch")), "nodes")
+    nodes = materialize(rows.groupBy("node").agg(F.min(first).alias("first"), F.min("sketch").alias("sketch"), F.min("fp").alias("fp")), "nodes")
 
     def compressed(ends: DataFrame) -> DataFrame:
         """(node, data): the texts of some nodes, compressed."""
@@ -277,11 +297,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         """Of all strays with all texts of their bands."""
         return int(strays.agg(F.sum("all")).first()[0] or 0)
 
+    close = verified(print_pairs(nodes))
+    settled = close.select(F.col("v").alias("node"), F.col("u").alias("root"))
     spread = nodes.select("node", "sketch").mapInArrow(_spread, "key long, node long")
     hot = materialize(spread.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key"), "hot")
     members = materialize(spread.join(hot, "key"), "members")
     near = spread.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(_pairs, "u long, v long")
-    links = verified(near.unionByName(starred(members, 1)))
+    links = close.unionByName(verified(_beyond(near.unionByName(starred(members, 1)).distinct(), settled)))
     grouped, found = _grouped(members, links)
     open_, strays = _strays(grouped)
     many, work, before = members.count(), comparisons(strays), None

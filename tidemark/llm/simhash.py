@@ -133,21 +133,32 @@ def _words(data: bytes) -> Iterator[list[bytes]]:
         at, tail = end, words[-(SHINGLE - 1) :]
 
 
+def ones(h: np.ndarray) -> np.ndarray:
+    """How many of some hashes have each of the 64 bits set."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 16):
+        counts += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return counts
+
+
+def majority(counts: np.ndarray, total: int) -> int:
+    """The number whose bits are those that over half of `total` hashes have set."""
+    return int(np.packbits(counts * 2 > total, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str) -> int:
     """The 64-bit SimHash of a text's word shingles, repeats included, as an unsigned number."""
     data = text.encode("utf-8", "surrogatepass").lower()
-    total, counts, short = 0, None, []
+    total, counts, short = 0, np.zeros(64, np.int64), []
     digest = xxhash.xxh64_intdigest
     for words in _words(data):
         short = words if len(words) < SHINGLE else []
         h = np.array([digest(b" ".join(x), SEED) for x in zip(*(words[i:] for i in range(SHINGLE)), strict=False)], np.uint64)
-        for i in range(0, len(h), 1 << 16):
-            bits = np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            counts = bits if counts is None else counts + bits
+        counts += ones(h)
         total += len(h)
     if not total:
         return digest(b" ".join(short), SEED) if short else 0
-    return int(np.packbits(counts * 2 > total, bitorder="little").view("<u8")[0])
+    return majority(counts, total)
 
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,6 +234,15 @@ def near_links(distinct: DataFrame, most: int = BLOCK) -> DataFrame:
     return every.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "u long, v long")
 
 
+def grouped(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows with a fingerprint (fp) and an id, with component_id: the smallest id among all rows that links of fingerprints reach."""
+    nodes = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("rep")), "nodes")
+    found = connected_components(near_links(nodes))
+    member = nodes.join(found, nodes.fp == found.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    lowest = member.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return prints.join(member.join(lowest, "root").select("fp", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for every row: its SimHash and the smallest id among all documents reachable by links.
 
@@ -231,12 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has a null component_id; an empty table gives an empty one.
     """
     prints = materialize(simhash(docs, id_col, text_col), "simhash")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    found = connected_components(near_links(nodes))
-    member = nodes.join(found, nodes.fp == found.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    lowest = member.groupBy("root").agg(F.min("rep").alias("component_id"))
-    group = member.join(lowest, "root").select("fp", "component_id")
-    return prints.join(group, "fp").select("doc_id", "fp", "component_id")
+    return grouped(prints).select("doc_id", "fp", "component_id")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
