@@ -179,3 +179,24 @@ def test_windows_are_dealt_out(spark):
     for found in (network.topology_features(days), network.graph_features(days)):
         rows = found.select("date", F.spark_partition_id().alias("part")).collect()
         assert len({r.date for r in rows}) == len(rows) == 60 and len({r.part for r in rows}) >= 3
+
+
+def test_exact_topology_of_every_window(spark, sf):
+    """Each day's values are those of its own sixty days, none carried forward from an earlier window."""
+    from tidemark.plans import fitted
+    from tidemark.plans.queries import QUERIES
+
+    days = fitted.market.panel(spark, sf).orderBy("date").select("date", "bench", "midcap", "bank", "it").collect()
+    prices = np.array([r[1:] for r in days], float)
+    moves = np.vstack([np.zeros(4), np.nan_to_num(np.log(prices[1:] / prices[:-1]))])
+    rows = QUERIES["topology_exact"](spark, sf).orderBy("date").collect()
+    assert len(rows) > 60 and [r.date for r in rows] == [str(r.date) for r in days[60:]]
+    for k, row in enumerate(rows):
+        z = moves[k : k + 60]
+        z = (z - z.mean(0)) / (z.std(0) + 1e-8)
+        d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(-1))
+        assert row.tda_h0_amplitude == pytest.approx(network.tree_weights(d).sum(), abs=2e-6), row.date
+        if k < 30:
+            loops = network.loop_lifetimes(d)
+            want = [loops.max(), 0.5 * sum(v * v for v in sorted(loops)[-5:]), -sum(v / loops.sum() * math.log(v / loops.sum()) for v in loops if v > 1e-8)]
+            assert [row.tda_h1_max_lifetime, row.tda_landscape_l1, row.tda_persistence_entropy_h1] == pytest.approx(want, abs=2e-6), row.date

@@ -116,5 +116,5 @@ def hamiltonian_convergence(spark, sf_dir):
 
 @query()
 def topology_exact(spark, sf_dir):
-    """Topological features with the loops of all sixty points of a window, each fifth window's carried forward."""
-    return network.topology_features(written(market.panel(spark, sf_dir), "panel"), step=5, exact=True).drop("panel")
+    """Topological features of every window with the loops of all its sixty points."""
+    return network.topology_features(market.panel(spark, sf_dir), exact=True).drop("panel")
